@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veranico.llm.packing import pack_items
 from veranico.llm.quantiles import select_percentiles, summarise
+from veranico.llm.subjects import label_subjects
 from veranico.llm.tokenizer import count_tokens, encode_texts
 from veranico.session import table
 
@@ -37,7 +38,17 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_items(count_tokens(docs, "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json"), key="doc_id", size="n_tokens", capacity=CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p6_percentiles, p8_ids, p9_containers)}
+def p10_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    subjects = sorted(r["subject"] for r in table(spark, sf_dir, "subject_list").select("subject").distinct().collect())  # fixed, 12 rows
+    return label_subjects(docs, table(spark, sf_dir, "subject_labels"), subjects)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+QUERIES = {f.__name__: f for f in (p6_percentiles, p8_ids, p9_containers, p10_found, p10_subjects)}
 
 _P6 = [
     f"select '{kind}' grouping, cast({col} as varchar) group_key, '{v}' variable, cast({p} as double) p, quantile_disc({v}, {p}) as value from daily_grid where {v} is not null and not isnan({v}) group by {col}"
