@@ -19,9 +19,9 @@ EARTH_KM = 6371.0088
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance on a sphere of radius 6371.0088 km."""
+    """Great-circle distance on a sphere of radius 6371.0088 km; NULL if a coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))
 
 
 def valid_points(df: DataFrame, key: str, lat: str, lon: str, box: tuple[float, float, float, float]) -> DataFrame:
