@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veranico.functions.thermo import noleap_index
+from veranico.session import join_groups
 
 
 def islands(df: DataFrame, keys: Sequence[str], day: str, flag: Column, *, also: Sequence[str] = ()) -> DataFrame:
@@ -43,7 +44,7 @@ def annual_events(df: DataFrame, keys: Sequence[str], day: str, flag: Column, se
         F.sum("__starts").alias("frequency"), F.count(F.lit(1)).alias("duration"), F.sum(F.when(F.col("__sev") > 0, F.col("__sev")).otherwise(0.0)).alias("intensity")
     )
     years = df.select(*keys, F.year(day).alias("year")).distinct()
-    out = years.join(found, [*keys, "year"], "left")
+    out = join_groups(years, found, [*keys, "year"], "left")
     return out.select(*keys, "year", *[F.coalesce(c, F.lit(z)).alias(c) for c, z in (("frequency", 0), ("duration", 0), ("intensity", 0.0))])
 
 

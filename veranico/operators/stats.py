@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veranico.functions.thermo import normal_tail
-from veranico.session import cut, null_if_nan
+from veranico.session import cut, join_groups, null_if_nan
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -24,9 +24,9 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
 
     keys = list(keys)
     ones = df.select(*keys, null_if_nan(value).cast("double").alias("__v")).withColumn("__one", F.lit(1.0))
-    cdf = weighted_cdf(ones, keys, "__v", "__one").select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("v").alias("__cv"), (F.col("upto") - (F.col("w") - 1) / 2).alias(out))
-    on = [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)] + [null_if_nan(value).cast("double") == F.col("__cv")]
-    return df.join(cdf, on, "left").drop("__cv", *[f"__k{i}" for i in range(len(keys))])
+    cdf = weighted_cdf(ones, keys, "__v", "__one").select(*keys, F.col("v").alias("__v"), (F.col("upto") - (F.col("w") - 1) / 2).alias(out))
+    found = join_groups(df.withColumn("__v", null_if_nan(value).cast("double")), cdf, [*keys, "__v"], "left")
+    return found.drop("__v")
 
 
 def correlations(df: DataFrame, keys: Sequence[str], x: str, y: str, *, least: int = 5) -> DataFrame:
@@ -108,10 +108,10 @@ def capped_outliers(df: DataFrame, keys: Sequence[str], row_id: str, difference:
     keys = list(keys)
     rows = df.select(*keys, F.col(row_id).alias("__id"), null_if_nan(difference).cast("double").alias("d")).filter("d is not null")
     first = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("d", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_samp("d").alias("sd")).filter(F.col("n") >= least)
-    dev = rows.join(first, keys).withColumn("dev", F.abs(F.col("d") - F.col("q")[1]))
+    dev = join_groups(rows, first, keys).withColumn("dev", F.abs(F.col("d") - F.col("q")[1]))
     second = dev.groupBy(*keys).agg((F.percentile("dev", 0.5) * 1.4826).alias("mad"))
     sigma = F.when(F.col("mad") > 0, F.col("mad")).when(F.col("q")[2] > F.col("q")[0], (F.col("q")[2] - F.col("q")[0]) / 1.349).otherwise(F.col("sd"))
-    out = dev.join(second, keys).withColumn("limit", F.greatest(F.lit(float(least_abs)), sigma * k)).filter(F.col("dev") > F.col("limit"))
+    out = join_groups(dev, second, keys).withColumn("limit", F.greatest(F.lit(float(least_abs)), sigma * k)).filter(F.col("dev") > F.col("limit"))
     order = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("dev"), "__id"))
     kept = out.withColumn("__r", order).filter(F.col("__r") <= F.greatest(F.lit(1), F.floor(F.col("n") * most + 1e-9)))
     return kept.select(*keys, F.col("__id").alias(row_id), F.col("dev").alias("deviation"))
@@ -146,7 +146,7 @@ def bootstrap_mean(df: DataFrame, keys: Sequence[str], row_id: str, value: str,
     means = each.groupBy(*keys, "rep").agg((F.sum(F.col("v") * F.col("w")) / F.when(F.sum("w") > 0, F.sum("w"))).alias("m"))
     band = means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     mean = rows.groupBy(*keys).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"))
-    return mean.join(band, keys) if keys else mean.crossJoin(F.broadcast(band))  # one row each
+    return join_groups(mean, band, keys)
 
 
 def wls(df: DataFrame, response: str, predictors: Sequence[str], weight: str, *, fixed: Sequence[str] = (), least: int = 80) -> DataFrame:
@@ -204,7 +204,7 @@ def wls(df: DataFrame, response: str, predictors: Sequence[str], weight: str, *,
     out = []
     for name, c, s in zip(names, beta, se):
         z = float(c / s) if s > 0 else None
-        out.append((name, float(c), float(s), z, math.erfc(abs(z) / math.sqrt(2)) if z is not None else None, int(n), r2, None if r2 is None else 1 - (1 - r2) * (n - 1) / (n - k), None if like is None else 2 * k - 2 * like, None if like is None else k * math.log(n) - 2 * like))
+        out.append((name, float(c), float(s), z, math.erfc(abs(z) / math.sqrt(2)) if z is not None else None, int(n), None if r2 is None else float(r2), None if r2 is None else float(1 - (1 - r2) * (n - 1) / (n - k)), None if like is None else float(2 * k - 2 * like), None if like is None else float(k * math.log(n) - 2 * like)))
     return spark.createDataFrame(out, schema)
 
 

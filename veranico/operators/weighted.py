@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veranico.session import null_if_nan
+from veranico.session import join_groups, null_if_nan
 
 
 def _both(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
@@ -31,13 +31,12 @@ def weighted_cdf(df: DataFrame, keys: Sequence[str], value: str, weight: str, *,
     merged = _both(df, keys, value, weight).groupBy(*keys, "v").agg(F.sum("w").alias("w"))
     keys = list(keys)
     edges = merged.groupBy(*keys).agg(F.percentile_approx("v", [i / stretches for i in range(1, stretches)], 1000).alias("edges"))
-    join = merged.join(edges, keys) if keys else merged.crossJoin(F.broadcast(edges))  # one row of edges
-    cut = join.withColumn("stretch", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
+    cut = join_groups(merged, edges, keys).withColumn("stretch", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
     totals = cut.groupBy(*keys, "stretch").agg(F.sum("w").alias("sw"))
     by = Window.partitionBy(*keys)  # at most `stretches` rows per group
     totals = totals.withColumn("before", F.sum("sw").over(by.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))).withColumn("total", F.sum("sw").over(by)).drop("sw")
     inner = F.sum("w").over(Window.partitionBy(*keys, "stretch").orderBy("v"))
-    return cut.join(totals, [*keys, "stretch"]).select(*keys, "v", "w", (inner + F.coalesce("before", F.lit(0.0))).alias("upto"), "total")
+    return join_groups(cut, totals, [*keys, "stretch"]).select(*keys, "v", "w", (inner + F.coalesce("before", F.lit(0.0))).alias("upto"), "total")
 
 
 def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: str, probs: Mapping[str, float], *, method: str = "inverted_cdf") -> DataFrame:
@@ -74,7 +73,7 @@ def weighted_zscore(df: DataFrame, keys: Sequence[str], value: str, weight: str,
     good = null_if_nan(value).isNotNull() & (null_if_nan(weight) > 0)
     v, w = F.when(good, null_if_nan(value)), F.when(good, null_if_nan(weight))
     stats = df.groupBy(*keys).agg((F.sum(v * w) / F.sum(w)).alias("__m"), (F.sum(v * v * w) / F.sum(w)).alias("__q"))
-    joined = df.join(stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))  # one row
+    joined = join_groups(df, stats, keys)
     var = F.col("__q") - F.col("__m") * F.col("__m")
     return joined.withColumn(out, F.when(var > 1e-12 * F.abs(F.col("__q")), (v - F.col("__m")) / F.sqrt(var))).drop("__m", "__q")
 
@@ -90,8 +89,7 @@ def area_percent(df: DataFrame, keys: Sequence[str], value: str, weight: str, p_
         aggs += [share(sig & (v > 0)).alias("significant_positive"), share(sig & (v < 0)).alias("significant_negative")]
     shares = df.filter(good).groupBy(*keys).agg(*aggs)
     quantiles = weighted_quantiles(df, keys, value, weight, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, method="interp_cdf")
-    both = shares.join(quantiles, list(keys)) if keys else shares.crossJoin(F.broadcast(quantiles))  # one row
-    return both.withColumn("iqr", F.col("q75") - F.col("q25"))
+    return join_groups(shares, quantiles, keys).withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
 def all_and_each(df: DataFrame, key: str, aggs: Sequence[Column], whole: str = "ALL") -> DataFrame:

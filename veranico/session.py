@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,16 @@ def clean_missing(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: null_if_nan(F.col(f"`{f.name}`")) for f in df.schema.fields if f.dataType.typeName() in ("double", "float")})
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group keys where NULL is a key like any other; without keys, ``right`` is one row for all."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row of totals
+    names = {k: fresh(f"k{i}") for i, k in enumerate(keys)}
+    renamed = right.withColumnsRenamed(names)
+    on = [left[f"`{k}`"].eqNullSafe(renamed[n]) for k, n in names.items()]
+    return left.join(renamed, on, how).drop(*names.values())
+
+
 def fresh(stem: str) -> str:
     """A column name that no input has."""
     return f"__{stem}_{uuid.uuid4().hex[:8]}"
