@@ -79,6 +79,8 @@ def points_in_regions(points: DataFrame, regions: DataFrame, *, tile_deg: float
     hot = tiled.groupBy("strip", "tile").count().filter(F.col("count") > rows_per_salt).select("strip", "tile", F.ceil(F.col("count") / rows_per_salt).cast("int").alias("salts"))
     salts = F.coalesce("salts", F.lit(1))
     tiled = tiled.join(hot, ["strip", "tile"], "left").withColumn("salt", F.pmod(F.xxhash64("key", "x", "y"), salts).cast("int")).drop("salts")
+    # Repeated rows would cross each edge twice; they are dropped in the partitioning that the join uses.
+    tiled = tiled.repartition("strip", "tile", "salt").dropDuplicates()
     edges = edges.join(hot, ["strip", "tile"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     met = tiled.join(edges, ["strip", "tile", "salt"])
     x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))

@@ -12,10 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veranico.session import null_if_nan
+from veranico.session import null_if_nan, ship
 
 
 def _rows(df: DataFrame, key: str, row_id: str, x: str, y: str, w: str | None, blocks: int) -> DataFrame:
+    ship(df.sparkSession)
     weight = null_if_nan(w).cast("double") if w else F.lit(1.0)
     rows = df.select(F.col(key).alias("key"), null_if_nan(x).cast("double").alias("x"), null_if_nan(y).cast("double").alias("y"), weight.alias("w"), F.pmod(F.xxhash64(row_id), F.lit(blocks)).cast("int").alias("block"))
     return rows.filter("x is not null and y is not null and w > 0")

@@ -145,10 +145,14 @@ def parse_instants(
     NULL. All rows are kept, repeated rows too, and other columns pass through
     under their own names (a column named ``out`` is replaced).
     """
-    spark = df.sparkSession
+    spark, names = df.sparkSession, df.columns
     joined = F.concat_ws(SEPARATOR, F.coalesce(F.col(f"`{date_col}`"), F.lit("")), F.coalesce(F.col(f"`{time_col}`"), F.lit("")))
     tidy = F.regexp_replace(joined, "[\\u00a0\\u2007\\u202f\\s]+", " ")
     fields = SEPARATOR.join(f"${{{g}}}" for g in _GROUPS)
+    is_local = F.lower(F.trim(F.col(f"`{clock_col}`"))) == "local" if clock_col else F.lit(False)
+    # The input's own columns travel in one struct, so no name of theirs can clash.
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), tidy.alias("__text"), is_local.alias("__is_local"), (zone_key if zone_key is not None else F.lit(None).cast("string")).alias("__zone_key"))
+    tidy = F.col("__text")
     hit = F.when(tidy.rlike(PATTERN), F.split(F.regexp_replace(tidy, F.lit(PATTERN), F.lit(fields)), SEPARATOR, -1))
     p = F.col("__p")
     at = {g: i for i, g in enumerate(_GROUPS)}
@@ -194,13 +198,11 @@ def parse_instants(
     valid = (y >= 1) & m.between(1, 12) & (d >= 1) & (d <= longest) & n.between(0, 59) & s.between(0, 59) & (F.col("__h").between(0, 23) | whole) & F.col("__zone_ok")
     local = F.when(valid, days_from_civil(y, m, d) * 86400 + F.col("__h") * 3600 + n * 60 + s)
     parsed = parsed.withColumn("__h", hour).withColumn("__local", local)
-    is_local = F.lower(F.trim(F.col(f"`{clock_col}`"))) == "local" if clock_col else F.lit(False)
-    needs = F.col("__local").isNotNull() & F.col("__zone_s").isNull() & F.col("__epoch").isNull() & F.coalesce(is_local, F.lit(False))
-    parsed = parsed.withColumn("__needs", needs).withColumn("__key", F.when(F.col("__needs"), zone_key if zone_key is not None else F.lit(None).cast("string")))
+    needs = F.col("__local").isNotNull() & F.col("__zone_s").isNull() & F.col("__epoch").isNull() & F.coalesce("__is_local", F.lit(False))
+    parsed = parsed.withColumn("__needs", needs).withColumn("__key", F.when(F.col("__needs"), F.col("__zone_key")))
     # One segment holds each local time, so the join keeps the number of rows.
     segments = F.broadcast(zone_segments(spark, zones).select(F.col("zone_key").alias("__zk"), F.col("local_from").alias("__zf"), F.col("local_to").alias("__zt"), F.col("offset_s").alias("__zo")))
     parsed = parsed.join(segments, (F.col("__key") == F.col("__zk")) & (F.col("__local") >= F.col("__zf")) & (F.col("__local") < F.col("__zt")), "left")
     offset = F.when(F.col("__needs"), F.col("__zo")).otherwise(F.coalesce(F.col("__zone_s"), F.lit(0)))
     instant = F.coalesce(F.col("__epoch"), (F.col("__local") - offset) * 1000000 + us)
-    keep = [F.col(f"`{c}`") for c in df.columns if c != out]
-    return parsed.select(*keep, instant.alias(out))
+    return parsed.select(*[F.col("__row")[c].alias(c) for c in names if c != out], instant.alias(out))
