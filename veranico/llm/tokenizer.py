@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from veranico.session import ship
+
 #: The pattern of the public byte-level tokenizers that splits text before merging (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -211,6 +213,7 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     driver and broadcast (its size doesn't depend on the corpus).
     """
     spark = df.sparkSession
+    ship(spark)
     tables = spark.sparkContext.broadcast(load_merges(path))
     rows = df.select(df[f"`{key}`"].alias("key"), df[f"`{text}`"].alias("text"))
     kind = rows.schema["key"].dataType
@@ -232,6 +235,7 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
 def count_tokens(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """(key, n_tokens): the number of token ids of each text, 0 for NULL and empty ones."""
     spark = df.sparkSession
+    ship(spark)
     tables = spark.sparkContext.broadcast(load_merges(path))
     rows = df.select(df[f"`{key}`"].alias("key"), df[f"`{text}`"].alias("text"))
     kind = rows.schema["key"].dataType
