@@ -385,8 +385,8 @@ a as (select sum(w) s0, sum(w * x) s1, sum(w * x * x) s2, sum(w * y) t0, sum(w *
 b as (select *, s0 * s2 - s1 * s1 dt, (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) b0, (s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1) b1 from a),
 e as (select x, w * (y - b0 - b1 * x) / (1 - w * (s2 - 2 * s1 * x + s0 * x * x) / dt) u from s, b),
 m as (select sum(u * u) m0, sum(u * u * x) m1, sum(u * u * x * x) m2 from e)
-select 'const' term, round(b0, 6) beta, round(sqrt((s2 * s2 * m0 - 2 * s2 * s1 * m1 + s1 * s1 * m2) / (dt * dt)), 6) se, n, round(1 - (yy - b0 * t0 - b1 * t1) / (yy - t0 * t0 / s0), 6) r2 from b, m
-union all select 'transformed_non_native_pct_2024', round(b1, 6), round(sqrt((s1 * s1 * m0 - 2 * s0 * s1 * m1 + s0 * s0 * m2) / (dt * dt)), 6), n, round(1 - (yy - b0 * t0 - b1 * t1) / (yy - t0 * t0 / s0), 6) from b, m""",
+select 'const' term, round(b0, 6) beta, round(sqrt((s2 * s2 * m0 - 2 * s2 * s1 * m1 + s1 * s1 * m2) / (dt * dt)), 6) se, n, round(1 - (yy - b0 * t0 - b1 * t1) / (yy - t0 * t0 / s0), 6) r2 from b, m where n >= 80
+union all select 'transformed_non_native_pct_2024', round(b1, 6), round(sqrt((s1 * s1 * m0 - 2 * s0 * s1 * m1 + s0 * s0 * m2) / (dt * dt)), 6), n, round(1 - (yy - b0 * t0 - b1 * t1) / (yy - t0 * t0 / s0), 6) from b, m where n >= 80""",
     "o87_correlation_table": "with s as (" + " union all ".join(f"select '{p}' predictor, municipality_id id, total_area_2024_ha w, {p} x, vpd_trend_decade y from municipality_mechanism where vpd_trend_decade is not null and {p} is not null and total_area_2024_ha > 0" for p in ("rh_trend_decade", "dry_minus_humid_intensity_trend", "transformed_non_native_pct_2024", "agri_gain_pct_points")) + f"), {_spearman('predictor', 's')} select predictor, count(*) n, round({_wcorr()}, 5) rho from r group by 1",
     "o88_same_sign": "select dominant_biome, round(sum(case when sign(vpd_trend_decade) = sign(rh_trend_decade) then total_area_2024_ha else 0 end) / sum(total_area_2024_ha) * 100, 6) same_sign_pct from municipality_mechanism where vpd_trend_decade is not null and rh_trend_decade is not null and total_area_2024_ha > 0 group by 1",
     "o89_gaussian": f"with {_GRID} select a.iy, a.ix, round(sum(exp(-(power(a.iy - b.iy, 2) + power(a.ix - b.ix, 2)) / 2) * b.tmax) / sum(exp(-(power(a.iy - b.iy, 2) + power(a.ix - b.ix, 2)) / 2)), 5) tmax from (select distinct iy, ix from gr) a join gr b on abs(a.iy - b.iy) <= 3 and abs(a.ix - b.ix) <= 3 and b.tmax is not null group by 1, 2",

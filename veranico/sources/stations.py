@@ -64,7 +64,7 @@ def read_station_text(spark: SparkSession, path: str, encoding: str = "UTF-8", p
     is a map from plain column name to number, so short and long rows both fit.
     A file without a header gives no rows; files are bounded by a station-year.
     """
-    text = spark.read.option("wholetext", True).option("encoding", encoding).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    text = spark.read.option("encoding", encoding).text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     lines = text.withColumn("lines", F.split("value", "\r?\n"))
     is_header = lambda x: F.lower(x).rlike(r"^\s*data[^;]*;\s*hora")
     lines = lines.withColumn("header", F.get(F.filter("lines", is_header), F.lit(0))).filter("header is not null")
