@@ -88,7 +88,7 @@ def doy_moments(df: DataFrame, keys: Sequence[str], day: str, value: str, *, win
     total = sums.select(*keys, near.alias("doy"), "n", "s", "q").groupBy(*keys, "doy").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     mean = F.col("s") / F.col("n")
     var = (F.col("q") - F.col("s") * mean) / F.when(F.col("n") > ddof, F.col("n") - ddof)
-    return total.select(*keys, "doy", mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"), "n")
+    return total.select(*keys, "doy", mean.alias("mean"), F.sqrt(F.when(var < 0, 0.0).otherwise(var)).alias("std"), "n")
 
 
 def coverage(df: DataFrame, keys: Sequence[str], day: str, value: str, *, fraction: float = 0.7, windows: Mapping[str, tuple[int, int]], least_years: Mapping[str, int]) -> DataFrame:

@@ -83,7 +83,9 @@ def o50_cell_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o51_doy_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cl.doy_moments(cell_days(spark, sf_dir), ["region"], "obs_date", "tmax", ddof=1), 6)
+    m = cl.doy_moments(cell_days(spark, sf_dir), ["region"], "obs_date", "tmax", ddof=1)
+    # Means of hundredths often lie halfway between two rounded values; the shift makes all engines round them up.
+    return rounded(m.withColumns({c: F.col(c) + 1e-9 for c in ("mean", "std")}), 6)
 
 
 def _exceedance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +306,7 @@ from station_hourly where obs_time is not null group by 1, 2 having count({_T})
     "o49_annual_mean": f"with {_D} select k, year(day) as year, case when count(v) >= 60 then round(avg(v), 6) end v, count(v) n_days from d group by 1, 2",
     "o50_doy_quantiles": f"with {_D}, {_pool('(select * from d where year(day) between 1995 and 2000)', 'k', 'day', 'v')} select k, doy, " + ", ".join(f"round(quantile_cont(x, {p}), 4) {n}" for n, p in (("p10", 0.1), ("p50", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95))) + " from p group by 1, 2",
     "o50_cell_quantiles": f"with {_CELL}, {_pool('c', 'cell_id', 'obs_date', 'tmax')} select cell_id, doy, round(quantile_cont(x, 0.9), 4) p90 from p group by 1, 2",
-    "o51_doy_moments": f"with {_CELL}, {_moments('tmax', 1, 'g')} select region, doy, round(mean, 6) mean, round(std, 6) std, n from g",
+    "o51_doy_moments": f"with {_CELL}, {_moments('tmax', 1, 'g')} select region, doy, round(mean + 1e-9, 6) mean, round(std + 1e-9, 6) std, n from g",
     "o40_annual_events": f"with {_EXC}, {_events('x', 'k', 'v >= p75', '(v - p75)', 2)}",
     "o85_scenario_sweep": f"with {_EXC}, z as (select 'p50' scenario, v >= p50 flag, * from x union all select 'p75', v >= p75, * from x union all select 'p90', v >= p90, * from x), {_events('z', 'scenario, k', 'flag', '(v - p50)', 2)}",
     "o41_persistent_days": f"with {_CELL}, r0 as (select *, {_AT('obs_date')} - row_number() over (partition by cell_id order by obs_date) isl from c where tmax >= 34 and {_doy('obs_date')} is not null), r1 as (select cell_id, obs_date::varchar obs_date, count(*) over (partition by cell_id, isl) run_length from r0) select * from r1 where run_length >= 3",
