@@ -198,3 +198,10 @@ def test_thermo(spark):
     row = spark.createDataFrame([(25.0, 25.1, 20.0, 150.0)], "t double, td double, u double, rh double")
     got = row.select(th.relative_humidity("t", "td").alias("a"), th.relative_humidity("t", "td", out_of_range="clip").alias("b"), th.vpd_from_dewpoint("t", "td").alias("c"), th.wetbulb_stull("t", "rh").alias("d"), th.positive_z("t", "u", F.lit(1e-9)).alias("e"), th.positive_z("t", "u", F.lit(0.5)).alias("f")).first()
     assert got["a"] is None and got["b"] == 100.0 and got["c"] == 0.0 and got["d"] is None and got["e"] is None and got["f"] == 5.0
+
+
+def test_offset_times_and_divisions(spark):
+    df = spark.createDataFrame([(0.5, 2.0, 0.0), (None, 1.0, None)], "v double, a double, b double")
+    got = df.select(tx.decode_offset_time("v", "days", "1900-01-01 00:00:00").cast("string").alias("t"), th.safe_div("a", "b").alias("q"), th.safe_div("b", "a").alias("r"), th.wrap_longitude(F.lit(310.0)).alias("l")).collect()
+    assert [tuple(r) for r in got] == [("1900-01-01 12:00:00", None, 0.0, -50.0), (None, None, None, -50.0)]
+    assert abs(df.select(th.wind_speed(F.lit(3.0), F.lit(4.0)).alias("w")).first()["w"] - 5) < 1e-12

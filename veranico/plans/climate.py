@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veranico.functions import thermo as th
 from veranico.operators import climatology as cl
 from veranico.operators import events as ev
+from veranico.operators import stats as st
 from veranico.operators import trends as tr
 from veranico.session import clean_missing, null_if_nan, table
 from veranico.streaming.resample import stream_hours
@@ -131,6 +132,29 @@ def o43_state_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("cell_id", "year", *[F.coalesce(n, F.lit(0)).alias(f"{n.lower()}_days") for n in names])
 
 
+def o44_event_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean severity of the days within events, 0 in years without any."""
+    x = _exceedance(spark, sf_dir).withColumn("sev", F.col("v") - F.col("p75"))
+    hot = ev.persistent_days(x, ["k"], "day", F.col("v") >= F.col("p75"), 2)
+    years = x.select("k", F.year("day").alias("year")).distinct()
+    means = hot.groupBy("k", F.year("day").alias("year")).agg(F.avg("sev").alias("severity"))
+    return rounded(years.join(means, ["k", "year"], "left").select("k", "year", F.coalesce("severity", F.lit(0.0)).alias("severity")))
+
+
+def o72_kendall_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kendall's tau of annual means and its p-value without continuity correction."""
+    m = tr.mann_kendall(annual_orders(spark, sf_dir), ["k"], "y", "v", least=5)
+    return rounded(m.select("k", "n", "tau", st.kendall_p(F.col("s"), F.col("var_s")).alias("p_value")), 5)
+
+
+def o92_metric_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median over regions of each month's correlation of two pairs of daily metrics."""
+    days = cell_days(spark, sf_dir).withColumn("month", F.month("obs_date"))
+    pairs = [st.correlations(days, ["region", "month"], "tmax", c).select(F.lit(c).alias("metric"), "month", "pearson") for c in ("vpdmean", "tmean")]
+    both = pairs[0].unionByName(pairs[1])
+    return rounded(both.groupBy("metric").pivot("month", [1, 2, 3]).agg(F.median("pearson")).withColumnsRenamed({"1": "m1", "2": "m2", "3": "m3"}), 5)
+
+
 def o45_valid_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = daily_orders(spark, sf_dir)
     valid = d.groupBy("k", F.year("day").alias("year")).agg(F.count("v").alias("n"), F.avg("v").alias("v")).withColumn("value", F.when(F.col("n") >= 60, F.col("v")))
@@ -226,7 +250,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         o46_daily_resample, o47_daily_min_count, o48_monthly_climatology, o49_annual_mean, o50_doy_quantiles, o50_cell_quantiles, o51_doy_moments, o40_annual_events,
-        o85_scenario_sweep, o41_persistent_days, o27_four_states, o42_state_episodes, o43_state_pivot, o45_valid_years, o63_coverage, o67_theil_sen, o68_mann_kendall,
+        o85_scenario_sweep, o41_persistent_days, o27_four_states, o42_state_episodes, o43_state_pivot, o44_event_severity, o45_valid_years, o72_kendall_p, o92_metric_matrix, o63_coverage, o67_theil_sen, o68_mann_kendall,
         o71_conditional_trend, o84_leave_one_out, o76_trend_agreement, o35_thermo, o39_severity, o86_vpd_parts, o22_physical_qc, o39d_cell_area, stream_hours,
     )
 }
@@ -313,6 +337,13 @@ from station_hourly where obs_time is not null group by 1, 2 having count({_T})
     "o27_four_states": f"with {_CELL} select region, {_STATES} state, count(*) n_days, count(distinct cell_id) n_cells from c group by 1, 2",
     "o42_state_episodes": f"with {_EPISODES} select * from e",
     "o43_state_pivot": f"with {_EPISODES} select cell_id, year, " + ", ".join(f"coalesce(sum(n_days) filter (state = '{s}'), 0)::bigint {s.lower()}_days" for s in ("DRY", "HUMID", "MIXED", "NEUTRAL")) + " from e group by 1, 2",
+    "o44_event_severity": f"""with {_EXC}, r0 as (select *, {_AT('day')} - row_number() over (partition by k order by day) isl from x where v >= p75 and {_doy('day')} is not null), r1 as (select *, count(*) over (partition by k, isl) len from r0),
+s as (select k, year(day) as year, avg(v - p75) severity from r1 where len >= 2 group by 1, 2), ys as (select distinct k, year(day) as year from x) select k, year, round(coalesce(severity, 0), 6) severity from ys left join s using (k, year)""",
+    "o72_kendall_p": f"""with {_D}, m as (select k, year(day) as m, round(avg(v), 6) v from d group by 1, 2), s as (select a.k, sum(sign(b.v - a.v))::double s from m a join m b on a.k = b.k and b.m > a.m group by 1),
+t as (select k, sum(c * (c - 1) * (2 * c + 5))::double t, sum(c)::double n from (select k, v, count(*) c from m group by 1, 2) group by 1), w as (select k, n, s, s / sqrt((n * (n - 1) * (2 * n + 5) - t) / 18) z from s join t using (k))
+select k, n::bigint n, case when n >= 5 then round(s / (n * (n - 1) / 2), 5) end tau, case when n >= 5 then round({_TAIL('z')}, 5) end p_value from w""",
+    "o92_metric_matrix": f"""with {_CELL}, u as (select 'vpdmean' metric, region, month(obs_date) mo, tmax a, vpdmean b from c union all select 'tmean', region, month(obs_date), tmax, tmean from c),
+r as (select metric, region, mo, corr(a, b) r from u where a is not null and b is not null group by 1, 2, 3 having count(*) >= 5) select metric, round(median(r) filter (mo = 1), 5) m1, round(median(r) filter (mo = 2), 5) m2, round(median(r) filter (mo = 3), 5) m3 from r group by 1""",
     "o45_valid_years": f"with {_D}, y as (select k, year(day) as year, case when count(v) >= 60 then avg(v) end v from d group by 1, 2) select k, count(v) n_valid_years, case when count(v) >= 5 then round(avg(v), 4) end as value from y group by 1",
     "o63_coverage": f"""with {_D}, y as (select k, year(day) as year, count(v) * 1.0 / case when (year(day) % 4 = 0 and year(day) % 100 <> 0) or year(day) % 400 = 0 then 366 else 365 end f from d group by 1, 2),
 c as (select k, count(*) filter (f >= 0.15 and year between 1995 and 1998) n_valid_baseline, count(*) filter (f >= 0.15 and year between 1995 and 2001) n_valid_full from y group by 1) select *, n_valid_baseline >= 3 and n_valid_full >= 5 selected from c""",

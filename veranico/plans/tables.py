@@ -80,6 +80,24 @@ def o62_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wt.criteria_shares(towns(spark, sf_dir), criteria, "total_area_2024_ha", "over4"))
 
 
+def o29_quantile_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Municipalities above fixed and data-driven cutoffs, each also with a second condition."""
+    t = towns(spark, sf_dir)
+    x, good = F.col("dry_minus_humid_intensity_trend"), F.coalesce(F.col("vpd_trend_decade") > 0, F.lit(False))
+    lim = t.agg(F.percentile(x, 0.75).alias("p75"), F.percentile(x, 0.9).alias("p90"))
+    cuts = {"over3": F.lit(3.0), "over4": F.lit(4.0), "over5": F.lit(5.0), "p75": F.col("p75"), "p90": F.col("p90")}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("criterion"), c.alias("cut")) for n, c in cuts.items()]))
+    rows = t.crossJoin(F.broadcast(lim)).select(x.alias("x"), good.alias("good"), each.alias("c"))  # one row
+    return rounded(rows.groupBy("c.criterion").agg(F.max("c.cut").alias("cut"), F.count_if(F.col("x") >= F.col("c.cut")).alias("n"), F.count_if((F.col("x") >= F.col("c.cut")) & F.col("good")).alias("n_both")))
+
+
+def o24_box_and_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of stations in a box of coordinates with a halo of one degree, in a range of years."""
+    m = clean_missing(table(spark, sf_dir, "station_metadata")).filter(F.col("lat").between(-21, -9) & F.col("lon").between(-51, -39)).select("station_id")
+    h = table(spark, sf_dir, "station_hourly").select("station_id", "obs_time").filter(F.year("obs_time").between(2000, 2004))
+    return h.join(m, "station_id", "left_semi").groupBy("station_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def o62_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions by their share of the area that meets the criterion."""
     t = towns(spark, sf_dir).filter("total_area_2024_ha > 0 and focus_region is not null")
@@ -296,7 +314,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         o52_weighted_mean, o53a_quantile_inverted, o53b_quantile_interp, o53c_quantile_midpoint, o54_weighted_zscore, o55_area_percent, o57_conditional_shares, o58_dominant,
-        o59_region_summary, o60_all_and_each, o61_regional_median, o62_criteria, o62_ranking, o64_keep_last, o09_unpivot_years, o65_pivot, o66_null_groups, o73_correlations,
+        o59_region_summary, o60_all_and_each, o61_regional_median, o62_criteria, o29_quantile_criteria, o24_box_and_period, o62_ranking, o64_keep_last, o09_unpivot_years, o65_pivot, o66_null_groups, o73_correlations,
         o74_weighted_spearman, o74_permutation_p, o75_skill_scores, o77_capped_outliers, o25_trim, o78_bootstrap, o79_quartile_contrast, o80_anomaly, o81_wls, o81_wls_controls,
         o82_spline, o83_lowess, o87_correlation_table, o88_same_sign, o89_gaussian, o89_opening, o90_density, o91_share_matrix, o94_axis_limit, o93_subsample, o28_tolerance_class,
         o30_regions, o32_normalise_text, o33_station_code, o34_repair_coordinates, o13_clean_readings, o14_trusted_stations, o_nearest_cell, o56_zonal_means,
@@ -354,6 +372,10 @@ select biomanm, round(total, 5) total, round(built, 5) built, round(informal, 5)
     "o62_criteria": """with t as (select total_area_2024_ha w, dry_minus_humid_intensity_trend x, vpd_trend_decade v from municipality_mechanism where total_area_2024_ha > 0),
 c as (select w, coalesce(x > 4, false) p, 'over3' criterion, coalesce(x > 3, false) o from t union all select w, coalesce(x > 4, false), 'over4', coalesce(x > 4, false) from t union all select w, coalesce(x > 4, false), 'over5', coalesce(x > 5, false) from t union all select w, coalesce(x > 4, false), 'over4_dry', coalesce(x > 4 and v > 0, false) from t)
 select criterion, count(*) filter (o) n, round(sum(case when o then w else 0 end), 6) area, round(sum(case when o then w else 0 end) / sum(w), 6) as share, round(sum(case when o and p then w else 0 end) / sum(case when o or p then w else 0 end), 6) jaccard from c group by 1""",
+    "o29_quantile_criteria": """with l as (select quantile_cont(dry_minus_humid_intensity_trend, 0.75) p75, quantile_cont(dry_minus_humid_intensity_trend, 0.9) p90 from municipality_mechanism),
+c as (select 'over3' criterion, 3.0::double cut union all select 'over4', 4.0 union all select 'over5', 5.0 union all select 'p75', p75 from l union all select 'p90', p90 from l)
+select criterion, round(cut, 6) cut, count(*) filter (dry_minus_humid_intensity_trend >= cut) n, count(*) filter (dry_minus_humid_intensity_trend >= cut and vpd_trend_decade > 0) n_both from municipality_mechanism, c group by 1, 2""",
+    "o24_box_and_period": "select station_id, count(*) n from station_hourly where year(obs_time) between 2000 and 2004 and station_id in (select station_id from station_metadata where lat between -21 and -9 and lon between -51 and -39) group by 1",
     "o62_ranking": "with s as (select focus_region, round(sum(case when dry_minus_humid_intensity_trend > 4 then total_area_2024_ha else 0 end) / sum(total_area_2024_ha), 6) as share from municipality_mechanism where total_area_2024_ha > 0 and focus_region is not null group by 1) select *, rank() over (order by share desc) rank from s",
     "o64_keep_last": "with r as (select station_id, obs_time, reading_id, row_number() over (partition by station_id, obs_time order by loaded_at desc nulls last, reading_id desc) rn from station_hourly where obs_time is not null) select station_id, count(*) filter (rn = 1) n_times, count(*) n_rows, sum(reading_id) filter (rn = 1)::bigint id_sum from r group by 1",
     "o09_unpivot_years": "select urb_id, classnm, 1985 as year, ha_1985 ha from urban_module union all select urb_id, classnm, 2024, ha_2024 from urban_module",
