@@ -145,7 +145,7 @@ def match_places(left: DataFrame, right: DataFrame, *, window: int = 12, least:
         F.concat_ws("|", F.regexp_replace(c("core"), "[aeiouyh]|(.)(?=\\1)", ""), c("state"), c("name")),
     ]
     a, b = F.col("l"), F.col("r")
-    near = (F.levenshtein(a["core"], b["core"]) <= 2) | (F.levenshtein(a["name"], b["name"]) <= 3)
+    near = (F.levenshtein(a["core"], b["core"], 2) >= 0) | (F.levenshtein(a["name"], b["name"], 3) >= 0)  # -1 beyond the threshold
     pairs = sorted_neighbours(l, r, keys, window, near).withColumn("score", place_score(a, b)).filter(F.col("score") >= least)
     pairs = pairs.select(a["id"].alias("l"), b["id"].alias("r"), b["slot"].alias("slot"), "score").groupBy("l", "r", "slot").agg(F.max("score").alias("score"))
     return assign(pairs, double=double).select("l", "r", (1 / (1 + F.exp(2.0 - F.col("score")))).alias("confidence"))
