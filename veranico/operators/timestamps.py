@@ -153,7 +153,8 @@ def parse_instants(
     # The input's own columns travel in one struct, so no name of theirs can clash.
     df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), tidy.alias("__text"), is_local.alias("__is_local"), (zone_key if zone_key is not None else F.lit(None).cast("string")).alias("__zone_key"))
     tidy = F.col("__text")
-    hit = F.when(tidy.rlike(PATTERN), F.split(F.regexp_replace(tidy, F.lit(PATTERN), F.lit(fields)), SEPARATOR, -1))
+    # A text that doesn't match stays as it is, with the one separator of its two fields.
+    hit = F.split(F.regexp_replace(tidy, F.lit(PATTERN), F.lit(fields)), SEPARATOR, -1)
     p = F.col("__p")
     at = {g: i for i, g in enumerate(_GROUPS)}
 
@@ -167,6 +168,7 @@ def parse_instants(
     bare = F.lpad(part("bare"), 4, "0")
     parsed = (
         df.withColumn("__p", hit)
+        .withColumn("__p", F.when(F.size("__p") == len(_GROUPS), F.col("__p")))
         .withColumn("__m", month_text)
         .withColumns(
             {
