@@ -58,25 +58,35 @@ def _sorted_quantile(sorted_array: Column, p: float) -> Column:
 
 
 def doy_quantiles(df: DataFrame, keys: Sequence[str], day: str, value: str, probs: Mapping[str, float], *, window: int = 31) -> DataFrame:
-    """(keys, doy, names of ``probs``): quantiles of all values whose day of year is within the circular window.
+    """(keys, doy, names of ``probs``): quantiles of all values whose day of year is within the circular window."""
+    return doy_quantile_table(df, keys, day, {value: probs}, window=window)
+
+
+def doy_quantile_table(df: DataFrame, keys: Sequence[str], day: str, values: Mapping[str, Mapping[str, float]], *, window: int = 31) -> DataFrame:
+    """(keys, doy, names): quantiles of several values over the circular window, in one pass.
 
     Values are first gathered per key and day of year (one per year), then
     pooled over neighbouring days with a window in which only the edges of the
     year are repeated; nothing is copied once per day of the window. Days of
-    year without any value in the window give no row. 29 February is left out.
+    year without any value in the window give no row; a variable without one
+    gives NULL. 29 February is left out.
     """
     half = window // 2
-    daily = df.select(*keys, noleap_doy(day).alias("doy"), null_if_nan(value).alias("x")).filter("doy is not null and x is not null")
-    days = daily.groupBy(*keys, "doy").agg(F.collect_list("x").alias("xs"))
+    names = {v: f"__x{i}" for i, v in enumerate(values)}
+    daily = df.select(*keys, noleap_doy(day).alias("doy"), *[null_if_nan(v).cast("double").alias(x) for v, x in names.items()]).filter("doy is not null")
+    days = daily.groupBy(*keys, "doy").agg(*[F.collect_list(x).alias(x) for x in names.values()])
     axis = F.explode(F.filter(F.array(F.col("doy"), F.when(F.col("doy") > 365 - half, F.col("doy") - 365), F.when(F.col("doy") <= half, F.col("doy") + 365)), lambda d: d.isNotNull()))
     # Days of the year without a value of their own still get a row from their neighbours.
     wide = days.withColumn("at", axis)
-    span = F.explode(F.sequence(F.lit(1), F.lit(365)))
-    empty = days.select(*keys).distinct().withColumn("at", span).select(*keys, F.lit(None).cast("int").alias("doy"), F.array().cast("array<double>").alias("xs"), "at")
-    pooled = wide.unionByName(empty)
+    none = [F.array().cast("array<double>").alias(x) for x in names.values()]
+    empty = days.select(*keys).distinct().select(*keys, F.lit(None).cast("int").alias("doy"), *none, F.explode(F.sequence(F.lit(1), F.lit(365))).alias("at"))
     w = Window.partitionBy(*keys).orderBy("at").rangeBetween(-half, half)
-    pooled = pooled.withColumn("pool", F.array_sort(F.flatten(F.collect_list("xs").over(w)))).filter(F.col("doy").isNull() & (F.size("pool") > 0))
-    return pooled.select(*keys, F.col("at").alias("doy"), *[_sorted_quantile(F.col("pool"), p).alias(name) for name, p in probs.items()])
+    pooled = wide.unionByName(empty).withColumns({x: F.array_sort(F.flatten(F.collect_list(x).over(w))) for x in names.values()})
+    some = F.lit(False)
+    for x in names.values():
+        some = some | (F.size(x) > 0)
+    pooled = pooled.filter(F.col("doy").isNull() & some)
+    return pooled.select(*keys, F.col("at").alias("doy"), *[_sorted_quantile(F.col(names[v]), p).alias(name) for v, probs in values.items() for name, p in probs.items()])
 
 
 def doy_moments(df: DataFrame, keys: Sequence[str], day: str, value: str, *, window: int = 31, ddof: int = 0) -> DataFrame:

@@ -10,6 +10,7 @@ from veranico.operators import climatology as cl
 from veranico.operators import events as ev
 from veranico.operators import stats as st
 from veranico.operators import trends as tr
+from veranico.plans import pipelines as pl
 from veranico.session import clean_missing, null_if_nan, table
 from veranico.streaming.resample import stream_hours
 
@@ -89,6 +90,24 @@ def o51_doy_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m.withColumns({c: F.col(c) + 1e-9 for c in ("mean", "std")}), 6)
 
 
+def regime_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ("tmean", "tmax", "twbmax", "vpdmean", "sm1mean", "ws10mean")
+    grid = clean_missing(table(spark, sf_dir, "daily_grid").select("cell_id", "region", "obs_date", *cols))
+    return grid.groupBy("cell_id", "region", "obs_date").agg(*[F.max(c).alias(c) for c in cols])
+
+
+def o26_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of each regime per region."""
+    days = pl.flagged_days(regime_days(spark, sf_dir), "cell_id", "obs_date", (2000, 2000))
+    return days.groupBy("region").agg(*[F.count_if(c).alias(n) for n, c in pl.regime_flags().items()], F.count(F.lit(1)).alias("n_days"))
+
+
+def o26_regime_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly events of each regime, summed per regime."""
+    annual = pl.gridded_regimes(regime_days(spark, sf_dir), "cell_id", "obs_date", baseline=(2000, 2000))
+    return rounded(annual.groupBy("regime", "year").agg(F.sum("frequency").alias("frequency"), F.sum("duration").alias("duration"), F.sum("intensity").alias("intensity")), 3)
+
+
 def _exceedance(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = daily_orders(spark, sf_dir)
     limits = cl.doy_quantiles(d.filter(F.year("day").between(1995, 2000)), ["k"], "day", "v", {"p50": 0.5, "p75": 0.75, "p90": 0.9})
@@ -249,7 +268,7 @@ def o39d_cell_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        o46_daily_resample, o47_daily_min_count, o48_monthly_climatology, o49_annual_mean, o50_doy_quantiles, o50_cell_quantiles, o51_doy_moments, o40_annual_events,
+        o26_regimes, o26_regime_events, o46_daily_resample, o47_daily_min_count, o48_monthly_climatology, o49_annual_mean, o50_doy_quantiles, o50_cell_quantiles, o51_doy_moments, o40_annual_events,
         o85_scenario_sweep, o41_persistent_days, o27_four_states, o42_state_episodes, o43_state_pivot, o44_event_severity, o45_valid_years, o72_kendall_p, o92_metric_matrix, o63_coverage, o67_theil_sen, o68_mann_kendall,
         o71_conditional_trend, o84_leave_one_out, o76_trend_agreement, o35_thermo, o39_severity, o86_vpd_parts, o22_physical_qc, o39d_cell_area, stream_hours,
     )
@@ -291,6 +310,20 @@ ys as (select distinct {keys}, year({day}) as year from {source})
 select {keys}, year, coalesce(frequency, 0)::bigint frequency, coalesce(duration, 0) duration, round(coalesce(intensity, 0), 6) intensity from ys left join f using ({keys}, year)"""
 
 
+_VARS = ("tmean", "tmax", "twbmax", "vpdmean", "sm1mean", "ws10mean")
+_PROBS = {"tmean": (0.9,), "tmax": (0.95,), "twbmax": (0.95,), "vpdmean": (0.75, 0.9), "sm1mean": (0.1,), "ws10mean": (0.5,)}
+_REG = (
+    "g as (select cell_id, region, obs_date, " + ", ".join(f"max({_n(x)}) {x}" for x in _VARS) + " from daily_grid group by 1, 2, 3), "
+    + ", ".join(
+        _pool("g", "cell_id", "obs_date", v).replace("p as (", f"p_{v} as (", 1) + f", q_{v} as (select cell_id, doy, " + ", ".join(f"quantile_cont(x, {p}) {v}_p{round(p * 100)}" for p in ps) + f" from p_{v} group by 1, 2)"
+        for v, ps in _PROBS.items()
+    )
+    + ", x as (select g.*, " + ", ".join(f"{v}_p{round(p * 100)}" for v, ps in _PROBS.items() for p in ps) + " from g "
+    + " ".join(f"left join q_{v} on q_{v}.cell_id = g.cell_id and q_{v}.doy = {_doy('g.obs_date')}" for v in _PROBS) + "), "
+    + "y as (select *, coalesce(tmean >= tmean_p90, false) hw, coalesce(twbmax >= twbmax_p95, false) hhw, coalesce(tmax >= tmax_p95, false) and coalesce(vpdmean >= vpdmean_p75, false) dhw, coalesce(tmax >= tmax_p95, false) and coalesce(vpdmean >= vpdmean_p90, false) and (coalesce(sm1mean <= sm1mean_p10, false) or coalesce(ws10mean <= ws10mean_p50, false)) chw from x)"
+)
+
+
 _SLOPES = _M + ", s as (select a.k, median((b.v - a.v) / (b.m - a.m)) b from m a join m b on a.k = b.k and b.m > a.m group by 1), n as (select k, count(*) n, median(v) my, median(m) mx from m group by 1)"
 _MK = _M + """, s as (select a.k, sum(sign(b.v - a.v))::double s from m a join m b on a.k = b.k and b.m > a.m group by 1),
 t as (select k, sum(c * (c - 1) * (2 * c + 5))::double t, sum(c)::double n from (select k, v, count(*) c from m group by 1, 2) group by 1),
@@ -322,6 +355,8 @@ def _zpos(v: str, m: str, s: str) -> str:
 
 
 SQL = {
+    "o26_regimes": f"with {_REG} select region, " + ", ".join(f'count(*) filter ({c}) "{c.upper()}"' for c in ("hw", "hhw", "dhw", "chw")) + ", count(*) n_days from y group by 1",
+    "o26_regime_events": f"with {_REG}, z as (" + " union all ".join(f"select '{c.upper()}' regime, {c} flag, {'tmean - tmean_p90' if c == 'hw' else 'tmax - tmax_p95'} sev, * from y" for c in ("hw", "hhw", "dhw", "chw")) + "), e as (" + _events("z", "regime, cell_id", "flag", "sev", 3, "obs_date").replace("\nr0 as", "with r0 as", 1) + ") select regime, year, sum(frequency)::bigint frequency, sum(duration)::bigint duration, round(sum(intensity), 3) intensity from e group by 1, 2",
     "o46_daily_resample": f"select station_id, cast(cast(obs_time as date) as varchar) period, count({_T}) n_tair_c, round(avg({_T}), 6) tair_c_mean, max({_T}) tair_c_max, min({_T}) tair_c_min, count({_RH}) n_rh_pct, round(avg({_RH}), 6) rh_pct_mean from station_hourly where obs_time is not null group by 1, 2",
     "o47_daily_min_count": f"""select station_id, cast(obs_time + to_hours(cast(case when upper(trim(uf)) = 'AC' then -5 when upper(trim(uf)) in ('AM', 'RO', 'RR', 'MT', 'MS') then -4 else -3 end as integer)) as date)::varchar period,
 count({_T}) n_tair_c, round(avg({_T}), 6) tair_c_mean, max({_T}) tair_c_max, min({_T}) tair_c_min, count({_TD}) n_td_c, case when count({_TD}) >= 18 then round(avg({_TD}), 6) end td_c_mean
