@@ -13,6 +13,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Mapping
+from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,26 +94,33 @@ def state_code(c: Column) -> Column:
     return F.coalesce(F.when(F.array_contains(codes, F.upper(plain)), F.upper(plain)), F.try_element_at(names, plain))
 
 
+@lru_cache(maxsize=None)
+def _stretches(name: str, first_year: int, last_year: int) -> list[tuple[int, int, int | None]]:
+    """(local from, local to, offset) of one zone; changes under five days apart would be missed."""
+    zone, utc = ZoneInfo(name), dt.timezone.utc
+
+    def offset(t: int) -> int:
+        return int(dt.datetime.fromtimestamp(t, utc).astimezone(zone).utcoffset().total_seconds())
+
+    lo, hi = (int(dt.datetime(y, 1, 1, tzinfo=utc).timestamp()) for y in (first_year, last_year))
+    rows, start, now, step = [], -(2**53), offset(lo), 5 * 86400
+    for at in range(lo, hi, step):
+        if (then := offset(at + step)) != now:
+            a, b = at, at + step
+            while b - a > 1:
+                a, b = ((a + b) // 2, b) if offset((a + b) // 2) == now else (a, (a + b) // 2)
+            edges = sorted((b + now, b + then))
+            rows += [(start, edges[0], now), (edges[0], edges[1], None)]
+            start, now = edges[1], then
+    return [*rows, (start, 2**53, now)]
+
+
 def zone_segments(spark: SparkSession, zones: Mapping[str, str], first_year: int = 1970, last_year: int = 2100) -> DataFrame:
     """Stretches of local time per key of ``zones`` with their one offset; NULL offset where a local time is doubled or absent.
 
     The table holds two rows per offset change and zone: bounded by the zone rules, not by the data.
     """
-    rows = []
-    for key, name in zones.items():
-        zone, utc = ZoneInfo(name), dt.timezone.utc
-        offset = lambda t: int(dt.datetime.fromtimestamp(t, utc).astimezone(zone).utcoffset().total_seconds())  # noqa: E731, B023
-        lo, hi = (int(dt.datetime(y, 1, 1, tzinfo=utc).timestamp()) for y in (first_year, last_year))
-        start, now = -(2**53), offset(lo)
-        for day in range(lo, hi, 86400):
-            if (then := offset(day + 86400)) != now:
-                a, b = day, day + 86400
-                while b - a > 1:
-                    a, b = ((a + b) // 2, b) if offset((a + b) // 2) == now else (a, (a + b) // 2)
-                edges = sorted((b + now, b + then))
-                rows += [(key, start, edges[0], now), (key, edges[0], edges[1], None)]
-                start, now = edges[1], then
-        rows.append((key, start, 2**53, now))
+    rows = [(key, *stretch) for key, name in zones.items() for stretch in _stretches(name, first_year, last_year)]
     return spark.createDataFrame(rows, "zone_key string, local_from long, local_to long, offset_s int")
 
 
