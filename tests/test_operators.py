@@ -12,6 +12,7 @@ from veranico.functions import text as tx
 from veranico.functions import thermo as th
 from veranico.operators import climatology as cl
 from veranico.operators import events as ev
+from veranico.operators import qc
 from veranico.operators import smooth as sm
 from veranico.operators import spatial as sp
 from veranico.operators import stats as st
@@ -205,3 +206,16 @@ def test_offset_times_and_divisions(spark):
     got = df.select(tx.decode_offset_time("v", "days", "1900-01-01 00:00:00").cast("string").alias("t"), th.safe_div("a", "b").alias("q"), th.safe_div("b", "a").alias("r"), th.wrap_longitude(F.lit(310.0)).alias("l")).collect()
     assert [tuple(r) for r in got] == [("1900-01-01 12:00:00", None, 0.0, -50.0), (None, None, None, -50.0)]
     assert abs(df.select(th.wind_speed(F.lit(3.0), F.lit(4.0)).alias("w")).first()["w"] - 5) < 1e-12
+
+
+def test_quality_rules(spark):
+    h = spark.createDataFrame([(20.0, 20.4, 50.0, 1.0), (20.0, 20.6, 0.0, -1.0), (None, 30.0, float("nan"), 61.0), (60.0, 10.0, 100.0, 0.0)], "tair_c double, td_c double, rh_pct double, ws_ms double")
+    assert [tuple(r) for r in qc.hourly_qc(h).collect()] == [(20.0, 20.4, 50.0, 1.0), (20.0, None, None, None), (None, 30.0, None, None), (None, 10.0, 100.0, 0.0)]
+    d = spark.createDataFrame([(30.0, 20.0, 25.0), (10.0, 20.0, 15.0), (55.0, 20.0, None)], "tmax double, tmin double, tmean double")
+    assert [tuple(r) for r in qc.daily_qc(d).collect()] == [(30.0, 20.0, 25.0), (None, None, None), (None, 20.0, None)]
+    x = spark.createDataFrame([(1, "a1", "b2"), (2, "zz", "b2"), (3, "zz", None)], "id int, p string, q string")
+    keys = spark.createDataFrame([("A1",), ("B2",), ("B2",)], "k string")
+    assert sorted(tuple(r) for r in qc.tolerant_lookup(x, keys, [F.upper("p"), F.upper("q")], "k", "id").collect()) == [(1, "A1", 0), (2, "B2", 1)]
+    qc.require_same_cells(keys, keys.distinct(), "k")
+    with pytest.raises(ValueError):
+        qc.require_same_cells(keys, keys.filter("k = 'A1'"), "k")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veranico.functions import thermo as th
 from veranico.operators import climatology as cl
 from veranico.operators import events as ev
+from veranico.operators import qc
 from veranico.operators import stats as st
 from veranico.operators import trends as tr
 from veranico.plans import pipelines as pl
@@ -253,11 +254,23 @@ def o86_vpd_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def o22_physical_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings out of physical range become missing; a dew point over 0.5 above the temperature too."""
-    x = table(spark, sf_dir, "station_hourly")
-    lim = {"tair_c": (-20, 50), "td_c": (-30, 35), "rh_pct": (1, 100), "ws_ms": (0, 60)}
-    ok = {c: F.when(null_if_nan(c).between(a, b), null_if_nan(c)) for c, (a, b) in lim.items()}
-    ok["td_c"] = F.when(ok["td_c"] <= F.coalesce(ok["tair_c"], ok["td_c"]) + 0.5, ok["td_c"])
-    return x.select("station_id", *[v.alias(c) for c, v in ok.items()]).groupBy("station_id").agg(*[F.count(c).alias(f"n_{c}") for c in lim], F.count(F.lit(1)).alias("n"))
+    clean = qc.hourly_qc(table(spark, sf_dir, "station_hourly").select("station_id", *qc.HOURLY_LIMITS))
+    return clean.groupBy("station_id").agg(*[F.count(c).alias(f"n_{c}") for c in qc.HOURLY_LIMITS], F.count(F.lit(1)).alias("n"))
+
+
+def o22_daily_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values per region that pass the daily limits and the order of maximum and minimum."""
+    cols = ["tmax", "tmin", "tmean", "vpdmean"]
+    clean = qc.daily_qc(table(spark, sf_dir, "daily_grid").select("region", *cols))
+    return clean.groupBy("region").agg(*[F.count(c).alias(f"n_{c}") for c in cols], F.count(F.lit(1)).alias("n"))
+
+
+def o33_tolerant_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many raw lines find their station by the given id, by the code in the file's name, or not at all."""
+    raw = table(spark, sf_dir, "inmet_hourly_raw").select("raw_id", "station_id", "source_file")
+    spellings = [F.upper(F.trim("station_id")), F.upper(F.nullif(F.regexp_extract("source_file", r"_([A-Za-z]\d{4})_", 1), F.lit("")))]
+    found = qc.tolerant_lookup(raw, table(spark, sf_dir, "station_metadata").filter("op_status = 'Operante'"), spellings, "station_id", "raw_id")
+    return found.groupBy("station_id", "spelling").agg(F.count(F.lit(1)).alias("n"))
 
 
 def o39d_cell_area(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +283,7 @@ QUERIES = {
     for f in (
         o26_regimes, o26_regime_events, o46_daily_resample, o47_daily_min_count, o48_monthly_climatology, o49_annual_mean, o50_doy_quantiles, o50_cell_quantiles, o51_doy_moments, o40_annual_events,
         o85_scenario_sweep, o41_persistent_days, o27_four_states, o42_state_episodes, o43_state_pivot, o44_event_severity, o45_valid_years, o72_kendall_p, o92_metric_matrix, o63_coverage, o67_theil_sen, o68_mann_kendall,
-        o71_conditional_trend, o84_leave_one_out, o76_trend_agreement, o35_thermo, o39_severity, o86_vpd_parts, o22_physical_qc, o39d_cell_area, stream_hours,
+        o71_conditional_trend, o84_leave_one_out, o76_trend_agreement, o35_thermo, o39_severity, o86_vpd_parts, o22_physical_qc, o22_daily_qc, o33_tolerant_lookup, o39d_cell_area, stream_hours,
     )
 }
 
@@ -413,6 +426,11 @@ select region, round(avg(zt), 4) z_tmax, round(avg(zv), 4) z_vpd, round(avg(0.5
 select region, month, round(es, 5) es, round(ea, 5) ea, round(vpd, 5) vpd, round(vpd - (es - ea), 5) closure from e""",
     "o22_physical_qc": f"""with x as (select station_id, case when {_T} between -20 and 50 then {_T} end t, case when {_TD} between -30 and 35 then {_TD} end td, case when {_RH} between 1 and 100 then {_RH} end rh, case when {_n('ws_ms')} between 0 and 60 then {_n('ws_ms')} end ws from station_hourly)
 select station_id, count(t) n_tair_c, count(case when td <= coalesce(t, td) + 0.5 then td end) n_td_c, count(rh) n_rh_pct, count(ws) n_ws_ms, count(*) n from x group by 1""",
+    "o22_daily_qc": f"""with x as (select region, {_n('tmax')} a, {_n('tmin')} b, {_n('tmean')} c, {_n('vpdmean')} d from daily_grid), y as (select *, coalesce(a < b, false) bad from x)
+select region, count(*) filter (not bad and a between -20 and 50) n_tmax, count(*) filter (not bad and b between -30 and 40) n_tmin, count(*) filter (not bad and c between -25 and 45) n_tmean, count(*) filter (not bad and d between 0 and 100) n_vpdmean, count(*) n from y group by 1""",
+    "o33_tolerant_lookup": """with k as (select distinct station_id from station_metadata where op_status = 'Operante'), t as (select raw_id, upper(trim(station_id)) a, upper(nullif(regexp_extract(source_file, '_([A-Za-z][0-9]{4})_', 1), '')) b from inmet_hourly_raw),
+f as (select raw_id, case when a in (select station_id from k) then a when b in (select station_id from k) then b end station_id, case when a in (select station_id from k) then 0 when b in (select station_id from k) then 1 end spelling from t)
+select station_id, spelling, count(*) n from f where station_id is not null group by 1, 2""",
     "o39d_cell_area": "select cell_id, round(abs(sin(radians(lat + 0.125)) - sin(radians(lat - 0.125))) * (6371.0 * 6371.0 * 0.25 * 0.017453292519943295), 5) area_km2, round(cos(radians(lat)), 5) weight from (select cell_id, max(lat) lat from daily_grid group by 1)",
     "stream_hours": "select event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, round(avg(value), 6) mean_value, count(value) n from events where ts is not null group by 1, 2",
 }

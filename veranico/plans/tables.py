@@ -275,9 +275,9 @@ def o33_station_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o34_repair_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = clean_missing(table(spark, sf_dir, "station_metadata"))
-    fixed = m.select("station_id", tx.repair_coordinates(F.col("lat"), F.col("lon")).alias("c"))
-    return rounded(fixed.select("station_id", "c.lat", "c.lon", F.coalesce("c.changed", F.lit(False)).alias("changed")), 5)
+    m = towns(spark, sf_dir)
+    fixed = m.select("municipality_id", tx.repair_coordinates(F.col("rep_lat"), F.col("rep_lon")).alias("c"))
+    return rounded(fixed.select("municipality_id", "c.lat", "c.lon", F.coalesce("c.changed", F.lit(False)).alias("changed")), 5)
 
 
 def o13_clean_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,6 +425,10 @@ select municipality_id, case when state_acronym_norm in ('MA', 'TO', 'PI', 'BA')
 when state_acronym_norm in ('SP', 'MG', 'RJ', 'ES') and transformed_non_native_pct_2024 >= p_t then 'southeast_transformed' when state_acronym_norm in ('SP', 'MG', 'RJ', 'ES') then 'southeast' when dominant_biome = 'Cerrado' then 'cerrado' end region from municipality_mechanism, l""",
     "o32_normalise_text": "select upper(trim(regexp_replace(" + _ACC.format("trim(regexp_replace(munnm, '\\s*\\([A-Za-z]{2}\\)\\s*$', ''))") + ", '\\s+', ' ', 'g'))) as name, count(*) n from urban_module group by 1",
     "o33_station_code": "with s as (select station_id, upper(regexp_extract(source_file, '([A-Za-z][0-9]{3})', 1)) l, regexp_extract(source_file, '([0-9]+)', 1) d from inmet_hourly_raw) select case when l <> '' then l when d <> '' then try_cast(d as bigint)::varchar end code, count(*) n, count(distinct station_id) n_stations from s group by 1",
+    "o34_repair_coordinates": """with c as (select municipality_id id, i * 100 + j * 10 + turn * 2 + flip changed, case when turn = 1 then rep_lon else rep_lat end / power(10, i) lat, case when flip = 1 then -1 else 1 end * case when turn = 1 then rep_lat else rep_lon end / power(10, j) lon
+from municipality_mechanism, (select unnest(range(4)) i), (select unnest(range(4)) j), (select unnest([0, 1]) turn), (select unnest([0, 1]) flip)),
+r as (select *, row_number() over (partition by id order by changed, lat, lon) rn from c where lat between -35 and 6 and lon between -75 and -32)
+select municipality_id, round(lat, 5) lat, round(lon, 5) lon, coalesce(changed > 0, false) changed from municipality_mechanism left join r on id = municipality_id and rn = 1""",
     "o13_clean_readings": f"""with r as (select station_id, {_NUM('tair_text')} t, {_NUM('rh_text')} h, coalesce(case when regexp_full_match(trim(data_text), '[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}') then try_strptime(trim(data_text), '%Y/%m/%d') end, case when regexp_full_match(trim(data_text), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then try_strptime(trim(data_text), '%Y-%m-%d') end)::date d from inmet_hourly_raw),
 c as (select station_id, case when t not in (-9999, -999) then t end t, case when h not in (-9999, -999) then h end h, d from r)
 select station_id, count(t) n_t, round(sum(t), 4) sum_t, count(h) n_h, round(sum(h), 4) sum_h, count(d) n_d, max(d)::varchar last_d from c group by 1""",
