@@ -126,8 +126,11 @@ def match_places(left: DataFrame, right: DataFrame, *, window: int = 12, least:
     n = every.count()
     # At most (words of a name) / common words.
     usual = [r["w"] for r in every.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") > max(20, common * n)).collect()]
-    rare = F.array_except("words", F.array(*[F.lit(w) for w in usual]).cast("array<string>"))
-    longest = F.array_max(F.transform(rare, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    common_words = F.array(*[F.lit(w) for w in usual]).cast("array<string>")
+    rare = F.array_except("words", common_words)
+    # A misspelt common word isn't what tells a name from others.
+    own = F.filter(rare, lambda w: ~F.exists(common_words, lambda u: (F.length(u) >= 5) & (F.levenshtein(u, w, 2) >= 0)))
+    longest = F.coalesce(*[F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"] for ws in (own, rare)])
     sides = [df.withColumn("core", F.coalesce(longest, F.col("name"))).drop("words") for df in sides]
     if "slot" not in sides[1].columns:
         sides[1] = sides[1].withColumn("slot", F.lit(0))
