@@ -102,6 +102,18 @@ met as (select municipality_id, polygon_id,
   from pts, edges where y between least(y1, y2) and greatest(y1, y2))
 select municipality_id, polygon_id, bool_or(on_edge) on_boundary from met where crossed or on_edge group by 1, 2
 having count(*) filter (crossed) % 2 = 1 or bool_or(on_edge)""",
+    "p7_found": """
+with lim as (select variable, max(low) low, min(high) high from variable_limits group by 1),
+b as (select qc_id, station_id s, r.variable v, window_start o, median_residual_era5_minus_inmet x, coalesce(median_residual_era5_minus_inmet < low or median_residual_era5_minus_inmet > high, false) imp from residual_qc r left join lim using (variable) where median_residual_era5_minus_inmet is not null),
+n as (select *, case when not imp then x end g, coalesce((lag(x) over (partition by s, v order by o, qc_id) <> x)::int, 1) fresh from b),
+w as (select *, sum(fresh) over (partition by s, v order by o, qc_id) run,
+  list_reverse(list_filter(coalesce(list(g) over (partition by s, v order by o, qc_id rows between 14 preceding and 1 preceding), []), lambda z: z is not null)) pb,
+  list_filter(coalesce(list(g) over (partition by s, v order by o, qc_id rows between 1 following and 14 following), []), lambda z: z is not null) pa from n),
+m as (select *, count(*) over (partition by s, v, run) len, list_median(pb[1:7]) b0, list_median(pb[8:14]) b1, list_median(pa[1:7]) a0, list_median(pa[8:14]) a1,
+  x - list_median(list_concat(list_concat(pb[1:7], case when g is null then [] else [g] end), pa[1:7])) cen from w),
+c as (select *, least(abs(cen), abs(x - b0), abs(x - a0), case when len(pa[1:7]) < 7 then abs(x - b0 - (b0 - b1) * 4.0 / 7) end, case when len(pb[1:7]) < 7 then abs(x - a0 - (a0 - a1) * 4.0 / 7) end) res from m),
+t as (select s, v, median(abs(cen)) filter (not imp) * 1.4826 mad, avg(abs(cen)) filter (not imp) * 1.2533 dev from c group by 1, 2)
+select qc_id from c join t on c.s is not distinct from t.s and c.v is not distinct from t.v where imp or c.len >= 6 or res > 7 * case when mad > 0 then mad else dev end""",
     "p5_found": f"""
 with covered as ({_COVERED}),
 steps as (select *, lag(slot) over (partition by station_id order by slot) before from covered)
