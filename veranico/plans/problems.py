@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veranico.operators import timestamps as ts
 from veranico.operators.gridding import local_regression_grid
 from veranico.operators.proximity import pairs_within, points_in_regions, rings_from_wkt, valid_points
 from veranico.operators.spikes import flag_spikes
@@ -79,6 +82,31 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p3_found, p3_regions, p5_found, p5_series, p7_found, p7_flags)}
 
+def _p1_sql() -> str:
+    """SQL with the same notations; calendar, clock and zones are the other engine's own steps over the zones' stretches."""
+    groups = ts._GROUPS
+    pattern = re.sub(r"\(\?<[a-z]+>", "(", ts.PATTERN).replace("^(?i)", "(?i)^").replace("'", "''")
+    part = lambda *stems: "coalesce(" + ", ".join(f"nullif(m.{x + n}, '')" for x in stems for n in "xyz" if x + n in groups) + ", null)"
+    months = "case " + " ".join(f"when mo ilike '{k}%' then {v}" for k, v in ts.MONTHS.items()) + " else try_cast(mo as int) end"
+    abbreviations = "case " + " ".join(f"when upper({part('abbr')}) = '{k}' then {v * 3600}" for k, v in ts.ABBREVIATIONS.items()) + " end"
+    states = ", ".join(f"('{name}', '{code}')" for name, code in [*ts.STATE_NAMES.items(), *((c.lower(), c) for c in ts.STATE_ZONES)])
+    stretches = ", ".join(f"('{code}', {a}, {b}, {'null' if o is None else o})" for code, zone in ts.STATE_ZONES.items() for a, b, o in ts._stretches(zone, 1970, 2100) if b > 1.2e9 and a < 1.8e9)
+    return f"""
+with st(name, code) as (values {states}), seg(code, a, b, off) as (values {stretches}),
+t as (select raw_id, lower(trim(clock)) = 'local' loc, lower(strip_accents(trim(coalesce(nullif(trim(r.uf), ''), k.uf)))) u,
+  regexp_replace(coalesce(data_text, '') || chr(1) || coalesce(hora_utc, ''), '[\\x{{00a0}}\\s]+', ' ', 'g') s
+  from inmet_hourly_raw r left join (select station_id, min(uf) uf from station_metadata group by 1) k using (station_id)),
+p as (select *, regexp_extract(s, '{pattern}', {groups}) m from t),
+q as (select raw_id, loc, u, coalesce(try_cast({part('millis')} as bigint) * 1000, try_cast({part('secs')} as bigint) * 1000000) epoch, {part('ma', 'mb', 'mc')} mo, {part('da', 'db', 'dc')}::int d, {part('ya', 'yb', 'yc')} y,
+  lpad({part('bare')}, 4, '0') bare, coalesce({part('ha', 'hs')}, left(bare, 2))::int h0, coalesce({part('na', 'ns')}, substr(bare, 3, 2))::int n, coalesce({part('sa', 'ss')}::int, 0) sec, coalesce(rpad(left({part('fa')}, 6), 6, '0')::int, 0) us, upper({part('half')}) half,
+  coalesce(case when {part('zulu')} is not null then 0 end, case when {part('sign')} = '-' then -1 else 1 end * ({part('offh')}::int * 3600 + coalesce({part('offm')}::int, 0) * 60), {abbreviations}) zs, coalesce({part('offh')}::int <= 18 and coalesce({part('offm')}::int, 0) < 60, true) zok from p),
+v as (select *, {months} mm, case when length(y) = 2 then y::int + 2000 else y::int end yy, case when half is null then h0 when h0 between 1 and 12 then h0 % 12 + case when half = 'P' then 12 else 0 end end h from q),
+w as (select *, try_cast(lpad(yy::varchar, 4, '0') || '-' || lpad(mm::varchar, 2, '0') || '-' || lpad(d::varchar, 2, '0') as date) dt from v),
+l as (select *, case when zok and yy >= 1 and n between 0 and 59 and sec between 0 and 59 and (h between 0 and 23 or (h = 24 and n = 0 and sec = 0 and us = 0 and half is null)) then (dt - date '1970-01-01')::bigint * 86400 + h * 3600 + n * 60 + sec end ls from w),
+z as (select l.*, seg.off, ls is not null and zs is null and epoch is null and coalesce(loc, false) needs from l left join st on st.name = u left join seg on seg.code = st.code and ls >= seg.a and ls < seg.b)
+select raw_id, coalesce(epoch, (ls - case when needs then off else coalesce(zs, 0) end) * 1000000 + us) utc_us from z where coalesce(epoch, (ls - case when needs then off else coalesce(zs, 0) end) * 1000000 + us) is not null"""
+
+
 _KM = "2 * 6371.0088 * asin(least(1.0, sqrt(power(sin(radians(s.lat - m.rep_lat) / 2), 2) + cos(radians(m.rep_lat)) * cos(radians(s.lat)) * power(sin(radians(s.lon - m.rep_lon) / 2), 2))))"
 _VALID = "{lat} between -34 and 6 and {lon} between -74.5 and -32"
 _COVERED = """
@@ -87,6 +115,7 @@ _COVERED = """
   where h.n_valid_before_outlier_qc > 0 and h.obs_time <= h.loaded_at and h.obs_time >= m.opened_on"""
 
 SQL = {
+    "p1_found": _p1_sql(),
     "p3_found": f"""
 select municipality_id, station_id from municipality_mechanism m, station_metadata s
 where {_VALID.format(lat="m.rep_lat", lon="m.rep_lon")} and {_VALID.format(lat="s.lat", lon="s.lon")} and {_KM} <= 25""",
