@@ -13,6 +13,7 @@ from veranico.operators import stats as st
 from veranico.operators import trends as tr
 from veranico.plans import pipelines as pl
 from veranico.session import clean_missing, null_if_nan, table
+from veranico.sources.stations import standardise_grid
 from veranico.streaming.resample import stream_hours
 
 # Hours from UTC of the states that don't keep UTC-3.
@@ -58,6 +59,12 @@ def local_shift(uf: str = "uf") -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in STATE_SHIFT.items() for x in kv]), F.upper(F.trim(F.col(uf)))), F.lit(-3.0))
 
 
+def o03_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One value per day and cell of the grid's box, whatever the version of the data."""
+    raw = clean_missing(table(spark, sf_dir, "daily_grid").select(F.col("obs_date").alias("time"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "expver", "tmax"))
+    return dated(standardise_grid(raw, ["time", "lat", "lon", "tmax"], (-20.0, 0.0, -60.0, -40.0)))
+
+
 def o46_daily_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     hourly = table(spark, sf_dir, "station_hourly").select("station_id", "obs_time", "tair_c", "rh_pct")
     return dated(rounded(cl.resample(hourly, ["station_id"], "obs_time", {"tair_c": ["mean", "max", "min"], "rh_pct": ["mean"]})))
@@ -281,7 +288,7 @@ def o39d_cell_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        o26_regimes, o26_regime_events, o46_daily_resample, o47_daily_min_count, o48_monthly_climatology, o49_annual_mean, o50_doy_quantiles, o50_cell_quantiles, o51_doy_moments, o40_annual_events,
+        o03_standardise, o26_regimes, o26_regime_events, o46_daily_resample, o47_daily_min_count, o48_monthly_climatology, o49_annual_mean, o50_doy_quantiles, o50_cell_quantiles, o51_doy_moments, o40_annual_events,
         o85_scenario_sweep, o41_persistent_days, o27_four_states, o42_state_episodes, o43_state_pivot, o44_event_severity, o45_valid_years, o72_kendall_p, o92_metric_matrix, o63_coverage, o67_theil_sen, o68_mann_kendall,
         o71_conditional_trend, o84_leave_one_out, o76_trend_agreement, o35_thermo, o39_severity, o86_vpd_parts, o22_physical_qc, o22_daily_qc, o33_tolerant_lookup, o39d_cell_area, stream_hours,
     )
@@ -368,6 +375,7 @@ def _zpos(v: str, m: str, s: str) -> str:
 
 
 SQL = {
+    "o03_standardise": f"select obs_date::varchar as time, lat, ((lon + 180) % 360) - 180 lon, max({_n('tmax')}) tmax from daily_grid where lat between -20 and 0 and lon between -60 and -40 group by 1, 2, 3",
     "o26_regimes": f"with {_REG} select region, " + ", ".join(f'count(*) filter ({c}) "{c.upper()}"' for c in ("hw", "hhw", "dhw", "chw")) + ", count(*) n_days from y group by 1",
     "o26_regime_events": f"with {_REG}, z as (" + " union all ".join(f"select '{c.upper()}' regime, {c} flag, {'tmean - tmean_p90' if c == 'hw' else 'tmax - tmax_p95'} sev, * from y" for c in ("hw", "hhw", "dhw", "chw")) + "), e as (" + _events("z", "regime, cell_id", "flag", "sev", 3, "obs_date").replace("\nr0 as", "with r0 as", 1) + ") select regime, year, sum(frequency)::bigint frequency, sum(duration)::bigint duration, round(sum(intensity), 3) intensity from e group by 1, 2",
     "o46_daily_resample": f"select station_id, cast(cast(obs_time as date) as varchar) period, count({_T}) n_tair_c, round(avg({_T}), 6) tair_c_mean, max({_T}) tair_c_max, min({_T}) tair_c_min, count({_RH}) n_rh_pct, round(avg({_RH}), 6) rh_pct_mean from station_hourly where obs_time is not null group by 1, 2",
