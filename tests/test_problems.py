@@ -73,6 +73,28 @@ def test_instants(spark):
     assert parse_instants(df.limit(0), "d", "t").count() == 0
 
 
+def test_full_width_instants(spark):
+    wide = str.maketrans({chr(c): chr(c + 0xFEE0) for c in range(0x21, 0x7F)} | {" ": "\u3000"})
+    rows = [("２０１８/１１/０４", "0241\u00a0UTC", us(2018, 11, 4, 2, 41)), ("２０１８/０２/３０", "0241 UTC", None), ("２０１８/１１/０４", "--", None)]
+    rows += [(d.translate(wide), t.translate(wide), w) for d, t, clock, _, w in CASES if d and t and clock is None]
+    df = spark.createDataFrame(rows, "d string, t string, want long")
+    assert [(r["d"], r["t"][:30], r["utc_us"]) for r in parse_instants(df, "d", "t").collect() if r["utc_us"] != r["want"]] == []
+
+
+def test_full_width_table_agrees_with_sql(spark):
+    """The SQL, which reads ASCII only, over the table with its full-width characters folded by the other engine."""
+    import duckdb
+
+    import __spark_entry__ as e
+
+    data, con = "/root/testdata/sf0.001", duckdb.connect()
+    fold = lambda c: f"translate({c}, '０１２３４５６７８９／', '0123456789/') as {c}"
+    con.execute(f"create view station_metadata as select * from read_parquet('{data}/station_metadata.parquet')")
+    con.execute(f"create view inmet_hourly_raw as select * replace ({fold('data_text')}, {fold('hora_utc')}) from read_parquet('{data}/inmet_hourly_raw.parquet')")
+    got = sorted(tuple(r) for r in e.queries()["p1_found"](spark, data).select("raw_id", "utc_us").collect())
+    assert got == sorted(con.execute(e.oracle_sql()["p1_found"]).fetchall())
+
+
 def test_local_times_against_zone_rules(spark):
     rng = random.Random(5)
     zones = {"SP": "America/Sao_Paulo", "MT": "America/Cuiaba", "AC": "America/Rio_Branco", "TO": "America/Araguaina", "BA": "America/Bahia"}

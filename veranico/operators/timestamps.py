@@ -1,8 +1,8 @@
 """One UTC instant from date and time texts in many notations and zones.
 
 Every notation is a branch of one regular expression with named groups. The
-expression is applied once to the date and time fields joined by a separator;
-its components come out as one delimited string. Calendar and clock ranges are
+expression is applied once to the date and time fields joined by a separator,
+with full-width characters folded to ASCII; its components come out as one delimited string. Calendar and clock ranges are
 then checked, and the instant is put together with integer day arithmetic.
 Local times of a legal zone are resolved with a small table of the zone's
 offset changes: a local time that occurred twice or never gives no instant.
@@ -49,6 +49,10 @@ STATE_NAMES = {
     "tocantins": "TO",
 }
 
+# Full-width forms of ASCII's printable characters, and the wide space; both strings run in the same order.
+FULL_WIDTH = "\u3000" + "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
+ASCII = " " + "".join(map(chr, range(0x21, 0x7F)))
+
 SEPARATOR = "\u0001"
 _MONTH = "jan|fev|feb|mar|abr|apr|mai|may|jun|jul|ago|aug|set|sep|out|oct|nov|dez|dec"
 _ZONE = (
@@ -155,7 +159,8 @@ def parse_instants(
     """
     spark, names = df.sparkSession, df.columns
     joined = F.concat_ws(SEPARATOR, F.coalesce(F.col(f"`{date_col}`"), F.lit("")), F.coalesce(F.col(f"`{time_col}`"), F.lit("")))
-    tidy = F.regexp_replace(joined, "[\\u00a0\\u2007\\u202f\\s]+", " ")
+    # The expression's classes are ASCII only, so full-width digits and marks are folded before it.
+    tidy = F.regexp_replace(F.translate(joined, FULL_WIDTH, ASCII), "[\\u00a0\\u2007\\u202f\\s]+", " ")
     fields = SEPARATOR.join(f"${{{g}}}" for g in _GROUPS)
     is_local = F.lower(F.trim(F.col(f"`{clock_col}`"))) == "local" if clock_col else F.lit(False)
     # The input's own columns travel in one struct, so no name of theirs can clash.
