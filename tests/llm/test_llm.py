@@ -221,6 +221,19 @@ def test_subjects(spark):
     assert subjects.label_subjects(d.limit(0), s, sorted(WORDS)).count() == 0
 
 
+def test_subjects_of_frequent_words(spark):
+    """A subject's words are kept however many documents hold them; words of all subjects are not."""
+    docs, truth, labels = corpus()
+    d, s = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string")
+    got: dict = {}
+    for r in subjects.label_subjects(d, s, sorted(WORDS)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["subject"])
+    assert sum(got.get(i) == t for i, t in truth.items()) >= 0.97 * len(truth)
+    marks = s.select(F.col("doc_id").alias("doc"), F.when(F.col("subject") == "software", 1).when(F.col("subject") == "optics", 2).otherwise(3).alias("label"))
+    told = {r["word"] for r in subjects.telling_words(d.withColumnRenamed("doc_id", "doc"), marks, 0.42).collect()}
+    assert {"compiler", "lens", "dough"} <= told and not told & {"the", "housing", "placed"}
+
+
 def test_reading():
     r = subjects._Reader()
     read = lambda t: " ".join(w for p in subjects.pieces(t) for w in r[p])
