@@ -234,6 +234,21 @@ def test_subjects_of_frequent_words(spark):
     assert {"compiler", "lens", "dough"} <= told and not told & {"the", "housing", "placed"}
 
 
+def test_passing_mentions_in_any_words(spark):
+    """Own sentences count whatever words they hold, and a mention in other words doesn't, in short documents too."""
+    rng, names, docs = random.Random(3), list(WORDS), []
+    for i in range(240):
+        mine, other = rng.sample(names, 2)
+        body = [f"A comparable problem is that the {rng.choice(WORDS[mine])} is near the {rng.choice(WORDS[mine])}." for _ in range(3)]
+        docs.append((i, " ".join([*body, f"Readers may think of the {rng.choice(WORDS[other])}."]), mine))
+    d = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string")
+    s = spark.createDataFrame([(i, m) for i, _, m in docs if i % 3 == 0], "doc_id long, subject string")
+    got: dict = {}
+    for r in subjects.label_subjects(d, s, sorted(WORDS), most_share=0.7).collect():
+        got.setdefault(r["doc_id"], set()).add(r["subject"])
+    assert sum(got.get(i) == {m} for i, _, m in docs) >= 0.97 * len(docs)
+
+
 def test_reading():
     r = subjects._Reader()
     read = lambda t: " ".join(w for p in subjects.pieces(t) for w in r[p])
