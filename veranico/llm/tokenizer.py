@@ -1,24 +1,30 @@
 """Byte-pair encoding of a corpus through a tokenization automaton.
 
-The automaton's states are the tokens read last, its arcs are labelled with
-tokens, and a sequence of arcs is a path exactly if it is what the merges make
-of its text. It is built by merge gadgets in merge order. The gadget of a merge
-(u, v) -> t forbids the arc v behind u, and adds arcs labelled t: they start
-where u could be read, and behind them may follow what could follow v. As t
-inherits both from u and v at that moment, a gadget is stored as one forbidden
-pair, the two tokens that t inherits from, and its time; the transition table
-is filled from these when a pair of tokens is first met.
-
-A pre-split word is encoded along the automaton: longest arcs first, stepping
-back where no path goes on. The text of a path is the labels of its arcs.
+In the token automaton the arcs are labelled with tokens and the states are
+the tokens read last; a sequence of arcs is a path exactly if it is what the
+merges make of its text. It is built by merge gadgets in merge order. The
+gadget of a merge (u, v) -> t forbids the arc v behind u, and adds arcs
+labelled t: they start where u could be read, and behind them may follow what
+could follow v. As t inherits both from u and v at that moment, a gadget is
+stored as one forbidden pair, the two tokens that t inherits from, and its time.
+
+Reading bytes, the automaton is made deterministic: a state is the longest
+suffix of what was read that begins a token, with the token that ends the
+path to each position inside it. Every text has one path, so the next state is
+a function of state and byte; the transition table is filled when a pair of
+them is first met. A pre-split word is read through the table once, without
+stepping back, and its path is followed from the end. The text of a path is
+the labels of its arcs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from array import array
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +44,28 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def load_merges(path: str) -> tuple[list[bytes], list[tuple[int, int, int]]]:
-    """(labels by id, merges as (left id, right id, id) in order) of a tokenizers JSON file."""
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+class Vocabulary(NamedTuple):
+    """A vocabulary file: its digest, labels by id, and merges as (left id, right id, id) in order."""
+
+    digest: str
+    labels: list[bytes]
+    merges: list[tuple[int, int, int]]
+
+
+def load_merges(path: str) -> Vocabulary:
+    """The vocabulary of a tokenizers JSON file of byte-level BPE.
+
+    Files that split, normalise or merge in another way than the GPT-2 pattern
+    and plain BPE would get other ids, so they raise ValueError.
+    """
+    with open(path, "rb") as f:
+        content = f.read()
+    whole = json.loads(content)
+    model, before = whole["model"], whole.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    other = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type", "BPE") != "BPE" or not plain or whole.get("normalizer") or other:
+        raise ValueError(f"{path} isn't byte-level BPE with the pattern built in here: pre-tokenizer {before or None}, normaliser {whole.get('normalizer')}, settings {other}")
     vocab, letters = model["vocab"], byte_letters()
     labels = [b""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
@@ -50,7 +74,11 @@ def load_merges(path: str) -> tuple[list[bytes], list[tuple[int, int, int]]]:
     for m in model["merges"]:
         u, v = m if isinstance(m, list) else m.split(" ")
         merges.append((vocab[u], vocab[v], vocab[u + v]))
-    return labels, merges
+    return Vocabulary(hashlib.sha256(content).hexdigest(), labels, merges)
+
+
+#: What the path to the beginning of a word ends with.
+_START = -1
 
 
 class Automaton:
@@ -64,19 +92,52 @@ class Automaton:
         self.forbidden: dict[int, int] = {}
         self.arcs: dict[bytes, int] = {}
         self.step: dict[int, bool] = {}
-        self.longest = 1
         for b, label in enumerate(labels):
             if len(label) == 1:
                 self.arcs[label] = b
         for now, (u, v, t) in enumerate(merges):
             self._gadget(u, v, t, now)
+        # A token that is never made from its own text has no arc (there is none in vocabularies built by merging).
+        self.arcs = {label: t for label, t in self.arcs.items() if not self._split_inside(t)}
+        self.begins = {label[:i] for label in self.arcs for i in range(len(label) + 1)}
+        self._restart()
+
+    def _restart(self) -> None:
+        """An empty transition table; states are made again when met."""
+        self.states: dict[tuple[bytes, tuple[int, ...]], int] = {(b"", (_START,)): 0}
+        self.held: list[tuple[bytes, tuple[int, ...]]] = [(b"", (_START,))]
+        self.table: list[dict[int, int]] = [{}]
+        self.arc: list[int] = [_START]  # the token that ends the path in a state
 
     def _gadget(self, u: int, v: int, t: int, now: int) -> None:
         self.forbidden.setdefault(u << 32 | v, now)
         if self.time[t] < 0 and len(self.labels[t]) > 1:
             self.head[t], self.last[t], self.time[t] = u, v, now
             self.arcs[self.labels[t]] = t
-            self.longest = max(self.longest, len(self.labels[t]))
+
+    def _move(self, state: int, byte: int) -> int:
+        """The state behind ``state`` and a byte, entered in the table."""
+        suffix, ends = self.held[state]
+        text = suffix + bytes((byte,))
+        for i in range(len(text)):
+            t = self.arcs.get(text[i:])
+            if t is not None and (ends[i] == _START or self.follows(ends[i], t)):
+                break
+        else:
+            raise ValueError("a byte of the text has no token")
+        ends = (*ends, t)
+        drop = 0
+        while text[drop:] not in self.begins:
+            drop += 1
+        key = (text[drop:], ends[drop:])
+        new = self.states.get(key)
+        if new is None:
+            new = self.states[key] = len(self.held)
+            self.held.append(key)
+            self.table.append({})
+            self.arc.append(t)
+        self.table[state][byte] = new
+        return new
 
     def follows(self, x: int, y: int) -> bool:
         """Whether the arc y leaves the state behind x."""
@@ -104,33 +165,18 @@ class Automaton:
 
     def encode(self, word: bytes) -> tuple[int, ...]:
         """Ids of the one path that spells ``word``."""
-        whole = self.arcs.get(word)
-        if whole is not None and not self._split_inside(whole):
-            return (whole,)
-        n, arcs, longest = len(word), self.arcs, self.longest
-        path: list[int] = []
-        ends = [0]
-        dead = bytearray(n + 1)  # positions from which no path goes on: the path to a position is unique
-        size = min(longest, n)
-        while ends[-1] < n:
-            at = ends[-1]
-            size = min(size, n - at)
-            while size:
-                t = arcs.get(word[at : at + size])
-                if t is not None and not dead[at + size] and (not path or self.follows(path[-1], t)):
-                    break
-                size -= 1
-            if size:
-                path.append(t)
-                ends.append(at + size)
-                size = longest
-            else:
-                if not path:
-                    raise ValueError("a byte of the text has no token")
-                dead[at] = 1
-                ends.pop()
-                size = len(self.labels[path.pop()]) - 1
-        return tuple(path)
+        if len(self.held) > 2_000_000:  # memory only
+            self._restart()
+        table, arc, state = self.table, self.arc, 0
+        ends = []
+        for byte in word:
+            state = nxt if (nxt := table[state].get(byte)) is not None else self._move(state, byte)
+            ends.append(arc[state])
+        ids, at, labels = [], len(word), self.labels
+        while at:
+            ids.append(ends[at - 1])
+            at -= len(labels[ends[at - 1]])
+        return tuple(reversed(ids))
 
     def _split_inside(self, t: int) -> bool:
         """Whether a token is never made from its own text (none in vocabularies built by merging)."""
@@ -192,14 +238,18 @@ class _Chunks(dict):
         return chain((self.text(first),), map(self.__getitem__, rest))
 
 
-_COMPILED: dict[int, _Chunks] = {}
+_COMPILED: dict[str, _Chunks] = {}
 
 
-def _chunks(tables) -> _Chunks:
-    """The worker's automaton, compiled once per broadcast."""
-    if (found := _COMPILED.get(tables.id if hasattr(tables, "id") else 0)) is None:
-        _COMPILED.clear()
-        found = _COMPILED[tables.id if hasattr(tables, "id") else 0] = _Chunks(Automaton(*tables.value))
+def compiled(digest: str, tables) -> _Chunks:
+    """The worker's automaton of the vocabulary with this digest, compiled once; ``tables`` is its broadcast.
+
+    A module's function, so that workers keep it between tasks; the digest is of the whole file, so no two vocabularies share one.
+    """
+    if (found := _COMPILED.get(digest)) is None:
+        if len(_COMPILED) >= 4:  # memory only
+            _COMPILED.clear()
+        found = _COMPILED[digest] = _Chunks(Automaton(tables.value.labels, tables.value.merges))
     return found
 
 
@@ -214,12 +264,13 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    tables = spark.sparkContext.broadcast(load_merges(path))
+    vocabulary = load_merges(path)
+    digest, tables = vocabulary.digest, spark.sparkContext.broadcast(vocabulary)
     rows = df.select(df[f"`{key}`"].alias("key"), df[f"`{text}`"].alias("text"))
     kind = rows.schema["key"].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _chunks(tables)
+        chunks = compiled(digest, tables)
         for batch in batches:
             ids, ends = array("i"), [0]
             for t in batch.column(1).to_pylist():
@@ -236,12 +287,13 @@ def count_tokens(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """(key, n_tokens): the number of token ids of each text, 0 for NULL and empty ones."""
     spark = df.sparkSession
     ship(spark)
-    tables = spark.sparkContext.broadcast(load_merges(path))
+    vocabulary = load_merges(path)
+    digest, tables = vocabulary.digest, spark.sparkContext.broadcast(vocabulary)
     rows = df.select(df[f"`{key}`"].alias("key"), df[f"`{text}`"].alias("text"))
     kind = rows.schema["key"].dataType
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _chunks(tables)
+        chunks = compiled(digest, tables)
         for batch in batches:
             n = [sum(map(len, chunks.parts(t))) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["key", "n_tokens"])
