@@ -53,6 +53,28 @@ def test_encode_texts(spark, library):
     assert tokenizer.encode_texts(df.limit(0), "doc_id", "text", BPE).count() == 0
 
 
+def test_two_vocabularies_in_one_session(spark, tmp_path):
+    """Each vocabulary gets its own ids, in both operators, whichever ran before."""
+    import json
+
+    whole = json.load(open(BPE, encoding="utf-8"))
+    letters = sorted(tokenizer.byte_letters())
+    other = {**whole, "model": {**whole["model"], "vocab": {c: i for i, c in enumerate(letters)} | {"Ġa": 256, "ab": 257}, "merges": ["Ġ a", "a b"]}}
+    small = str(tmp_path / "small.json")
+    json.dump(other, open(small, "w", encoding="utf-8"))
+    docs = spark.createDataFrame([(1, "ab cab ab"), (2, "the cabin")], "doc_id long, text string")
+    ids = lambda path: {r["doc_id"]: list(r["ids"]) for r in tokenizer.encode_texts(docs, "doc_id", "text", path).collect()}
+    counts = lambda path: {r["doc_id"]: r["n_tokens"] for r in tokenizer.count_tokens(docs, "doc_id", "text", path).collect()}
+    large, little, again = ids(BPE), ids(small), ids(BPE)
+    a, b, c = (letters.index(x) for x in "abc")
+    assert large == again != little and little[1] == [257, letters.index("Ġ"), c, 257, 256, b]
+    assert counts(BPE) == {i: len(x) for i, x in large.items()} and counts(small) == {i: len(x) for i, x in little.items()}
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**other["model"], "byte_fallback": True}}):
+        json.dump({**other, **change}, open(small, "w", encoding="utf-8"))
+        with pytest.raises(ValueError):
+            tokenizer.load_merges(small)
+
+
 @pytest.mark.parametrize("rows_per_bucket", [50_000, 50])
 def test_packing(spark, rows_per_bucket):
     rng = random.Random(6)
@@ -150,6 +172,39 @@ def test_places(spark):
         canonical.map_places(df, entries, key="urb_id", municipality="m", state="s", biome="b", most_entries=3)
 
 
+def test_two_lists_in_one_session(spark):
+    """Lists of one length that differ in their last rows only don't share answers."""
+    many = [(i, "municipality", f"Vila {chr(97 + i // 26)}{chr(97 + i % 26)}zanor", "SP") for i in range(60)]
+    rows = spark.createDataFrame([(1, "Porto Quelimo", "SP", None)], "urb_id int, m string, s string, b string")
+    for entry_id in (900, 901):
+        entries = spark.createDataFrame([*many, (entry_id, "municipality", "Porto Quelimo", "SP")], "entry_id long, list_name string, canonical_name string, state_acronym string")
+        got = {r["field_name"]: r["entry_id"] for r in canonical.map_places(rows, entries, key="urb_id", municipality="m", state="s", biome="b").collect()}
+        assert got["m"] == entry_id
+
+
+def test_candidates_against_full_comparison():
+    """Names of every length: all names within the bound are found, by letters and word by word."""
+    rng = random.Random(21)
+    syllable = lambda: rng.choice("bcdfglmnprstv") + rng.choice("aeiou")
+    names = {" ".join(rng.sample(["santa", "porto", "do", "alto", "nova"], rng.choice([0, 1, 1, 2])) + ["".join(syllable() for _ in range(rng.randint(1, 9)))]) for _ in range(400)}
+    listed = canonical.Names([(i, n, None) for i, n in enumerate(sorted(names))])
+    found = asked = 0
+    for n in sorted(names):
+        for _ in range(2):
+            w = n.split()
+            for _ in range(rng.randint(0, 2)):
+                k = rng.randrange(len(w))
+                x, p = w[k], rng.randrange(len(w[k]))
+                w[k] = rng.choice([x[:p] + rng.choice("aeiourst") + x[p:], x[:p] + x[p + 1 :] or x, x[:p] + rng.choice("abcde") + x[p + 1 :], x[:2] if len(x) > 5 else x, x[:p] + x[p : p + 2][::-1] + x[p + 2 :]])
+            key = "".join(w)
+            want = {k for k, full in listed.split.items() if min(canonical.distance(key, k, 2.0), canonical.by_words(w, full, 2.0)) <= 2.0}
+            got = {k for _, k in listed.ranked(w, 2.0)}
+            assert got == (want if key not in listed.by_key else {key})
+            asked += 1
+            found += len(got) > 1
+    assert asked == 2 * len(names) and found > 50
+
+
 def test_distance():
     assert canonical.distance("abc", "abc") == 0 and canonical.distance("abcd", "abdc") == 0.8 and canonical.distance("bola", "bolla") == 0.7
     assert canonical.distance("bala", "bola") == 0.9 and canonical.distance("abc", "xyz", 2.0) > 2

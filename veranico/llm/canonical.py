@@ -1,35 +1,40 @@
 """Freely entered names mapped to the entries of a reference list.
 
 A symmetric-delete dictionary of the list is broadcast: every name, and every
-long word of it, is stored under what is left after deleting up to two letters.
-A value that shares such a rest with a name may be within the bounded edit
-distance of it. Candidates are ranked by a weighted Damerau-Levenshtein
-distance, in which abbreviated words cost little, then by the agreement of the
-state and the frequency of the name in the list; values beyond the bound are
-reported as misses. Rows are mapped where they lie, with a memory of values
-seen in the task, so no shuffle follows the input and no value is a hot group.
+word of the names, is stored under the hashes of what is left after deleting
+up to two letters. A value that shares such a rest with a name may be within
+the bounded edit distance of it; a value whose every word is near, or a
+shortening of, the word at its place in a name may be an abbreviation of it.
+As the cheapest edit costs 0.7 and the bound is 2, two deletes miss nothing.
+Candidates are ranked by a weighted Damerau-Levenshtein distance, in which
+abbreviated words cost little, then by the agreement of the state and the
+frequency of the name in the list; values beyond the bound are reported as
+misses. Each distinct value is mapped once; the answers of frequent values are
+broadcast (their number is bounded), the others are joined.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veranico.session import ship
+from veranico.session import cut, parallel, ship
 
 # Words before or behind a name that aren't part of it.
 FILLERS = {"estado", "est", "municipio", "mun", "munic", "pref", "prefeitura", "municipal", "bioma", "brasil", "cidade"}
 # Small words that names may lose.
 SMALL = {"de", "do", "da", "dos", "das"}
-# Names in use beside the listed ones.
+# Names in use beside the listed ones (the default of a parameter).
 ALIASES = {"atlantic forest": "mata atlantica", "amazon": "amazonia", "amz": "amazonia", "amazon forest": "amazonia", "rainforest": "amazonia", "wetland": "pantanal", "savanna": "cerrado", "distrito fed": "distrito federal"}
 VOWELS = frozenset("aeiouy")
 
@@ -53,11 +58,13 @@ def words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text)
 
 
-def deletes(word: str, most: int) -> set[str]:
-    """The word and what is left after deleting up to ``most`` letters."""
-    out = {word}
-    for n in range(1, min(most, len(word) - 1) + 1):
-        out |= {"".join(word[i] for i in range(len(word)) if i not in gone) for gone in map(set, combinations(range(len(word)), n))}
+def deletes(word: str, most: int = 2) -> set[str]:
+    """The word and what is left after deleting up to ``most`` (at most two) letters."""
+    out, n = {word}, len(word)
+    if most >= 1 and n > 1:
+        out.update([word[:i] + word[i + 1 :] for i in range(n)])
+    if most >= 2 and n > 2:
+        out.update([word[:i] + word[i + 1 : j] + word[j + 1 :] for i in range(n) for j in range(i + 1, n)])
     return out
 
 
@@ -98,24 +105,49 @@ def shortened(short: str, word: str) -> bool:
 
 
 def by_words(value: list[str], name: list[str], bound: float = 4.0) -> float:
-    """Distance word by word, where a shortened word costs 0.3 and a small word may be missing."""
+    """Distance word by word, where a shortened word costs 0.3 and a small word may be missing; words without a common letter are no match."""
     v, n = [w for w in value if w not in SMALL], [w for w in name if w not in SMALL]
     if len(v) != len(n):
         return 9.0
     total = 0.0
     for x, y in zip(v, n):
         if x != y:
+            if not set(x) & set(y):
+                return bound + 1
             total += 0.3 if shortened(x, y) and (len(x) <= 4 or y.startswith(x)) else distance(x, y, bound)
             if total > bound:
                 return bound + 1
     return total
 
 
+class Deletes:
+    """A symmetric-delete dictionary: sorted hashes of the rests, and the term that each belongs to.
+
+    12 bytes a rest. A clash of hashes only adds a candidate, which the distance rejects.
+    """
+
+    def __init__(self, terms: Iterable[str], most: int = 2):
+        self.terms, self.most = list(terms), most
+        pairs = [(xxhash.xxh3_64_intdigest(rest), i) for i, t in enumerate(self.terms) for rest in deletes(t, most)]
+        rests = np.array([h for h, _ in pairs], dtype=np.uint64)
+        order = np.argsort(rests, kind="stable")
+        self.rests, self.at = rests[order], np.array([i for _, i in pairs], dtype=np.int32)[order]
+        self.longest = max(map(len, self.terms), default=0)
+
+    def near(self, word: str) -> set[str]:
+        """Terms that share a rest with ``word``: all within ``most`` edits of it, and some beyond."""
+        # What is longer than every term by more than the deletes allow is near none.
+        if len(word) > self.longest + self.most:
+            return set()
+        asked = np.array([xxhash.xxh3_64_intdigest(rest) for rest in deletes(word, self.most)], dtype=np.uint64)
+        lo, hi = np.searchsorted(self.rests, asked, "left"), np.searchsorted(self.rests, asked, "right")
+        return {self.terms[i] for a, b in zip(lo[lo < hi], hi[lo < hi]) for i in self.at[a:b]}
+
+
 class Names:
-    """The list of one kind, with its symmetric-delete dictionary."""
+    """The list of one kind, with its symmetric-delete dictionaries of names and of their words."""
 
-    def __init__(self, entries: list[tuple[int, str, str | None]], most: int = 2):
-        self.most = most
+    def __init__(self, entries: list[tuple[int, str, str | None]]):
         self.by_key: dict[str, list[tuple[int, str | None]]] = defaultdict(list)
         self.split: dict[str, list[str]] = {}
         for entry_id, name, state in entries:
@@ -123,61 +155,61 @@ class Names:
             if w:
                 self.by_key["".join(w)].append((entry_id, state))
                 self.split["".join(w)] = w
-        self.whole: dict[int, list[str]] = defaultdict(list)
-        self.part: dict[str, set[str]] = defaultdict(set)
-        self.spread: dict[str, int] = defaultdict(int)
-        for key, w in self.split.items():
-            # The rests are kept by their hash: a clash only adds a candidate, which the distance rejects.
-            for rest in deletes(key, most if len(key) <= 12 else 1):
-                self.whole[hash(rest)].append(key)
-            for x in {x for x in w if len(x) >= 4}:
-                self.spread[x] += 1
-                for rest in deletes(x, 1 if len(x) < 8 else most):
-                    self.part[rest].add(x)
-        self.longest = max(map(len, self.split), default=0)
-        self.longest_word = max((len(x) for w in self.split.values() for x in w), default=0)
-        self.having: dict[str, list[str]] = defaultdict(list)
+        self.whole = Deletes(self.split)
+        # Names by their number of words, without small ones, and the word at each place.
+        self.having: dict[tuple[int, int, str], list[str]] = defaultdict(list)
+        self.bare: dict[str, list[str]] = {}
         for key, w in self.split.items():
-            for x in set(w):
-                self.having[x].append(key)
+            self.bare[key] = kept = [x for x in w if x not in SMALL]
+            for place, x in enumerate(kept):
+                self.having[len(kept), place, x].append(key)
+        every = {x for kept in self.bare.values() for x in kept}
+        self.words = Deletes(every)
+        self.by_first: dict[str, list[str]] = defaultdict(list)
+        for x in every:
+            self.by_first[x[0]].append(x)
+        self.matching: dict[str, frozenset[str]] = {}
+
+    def matches(self, word: str) -> frozenset[str]:
+        """Words of the list that ``word`` may stand for: near ones and those it shortens."""
+        if (found := self.matching.get(word)) is None:
+            if len(self.matching) > 200_000:  # memory only
+                self.matching.clear()
+            short = {y for y in self.by_first.get(word[:1], ()) if shortened(word, y) and (len(word) <= 4 or y.startswith(word))}
+            found = self.matching[word] = frozenset(self.words.near(word) | short)
+        return found
 
     def candidates(self, w: list[str]) -> set[str]:
-        key = "".join(w)
-        # What is longer than every name by more than the deletes allow is near none.
-        if len(key) > self.longest + self.most:
-            return set()
-        found = {k for rest in deletes(key, self.most if len(key) <= 12 else 1) for k in self.whole.get(hash(rest), ())}
-        # Names with a word close to the value's rarest word that is in the list.
-        near = [(min(self.spread[y] for y in ys), ys) for x in w if 4 <= len(x) <= self.longest_word + self.most and (ys := {y for rest in deletes(x, 1 if len(x) < 8 else self.most) for y in self.part.get(rest, ())})]
-        for spread, ys in sorted(near, key=lambda p: p[0])[:2]:
-            for y in ys:
-                if self.spread[y] <= max(50, spread):
-                    found.update(self.having[y])
+        """Every name within two edits of the value, or within two word by word, and some beyond."""
+        found = self.whole.near("".join(w))
+        kept = [x for x in w if x not in SMALL]
+        if kept and all(sets := [self.matches(x) for x in kept]):
+            # Start at the place with the fewest names, then ask for the other places' words.
+            lists = [[name for y in ys for name in self.having.get((len(kept), place, y), ())] for place, ys in enumerate(sets)]
+            for name in min(lists, key=len):
+                if all(y in ys for y, ys in zip(self.bare[name], sets)):
+                    found.add(name)
         return found
 
     def ranked(self, w: list[str], bound: float) -> list[tuple[float, str]]:
-        """(distance, name key) of the names within the bound, nearest first."""
+        """(distance, name key) of the names within the bound (at most two), nearest first."""
         key = "".join(w)
         if key in self.by_key:
             return [(0.0, key)]
-        out = []
-        for k in self.candidates(w):
-            d = min(distance(key, k, bound), by_words(w, self.split[k], bound))
-            if d <= bound:
-                out.append((d, k))
-        return sorted(out)
+        return sorted((d, k) for k in self.candidates(w) if (d := min(by_words(w, self.split[k], bound), distance(key, k, bound))) <= bound)
 
 
 class PlaceMapper:
     """Entries of states, biomes and municipalities for freely entered values."""
 
-    def __init__(self, entries: list[tuple[int, str, str, str | None]]):
+    def __init__(self, entries: list[tuple[int, str, str, str | None]], aliases: Mapping[str, str] = ALIASES):
         kinds: dict[str, list[tuple[int, str, str | None]]] = {"state": [], "biome": [], "municipality": []}
         for entry_id, kind, name, state in entries:
             if kind in kinds and name:
                 kinds[kind].append((entry_id, name, state))
         self.lists = {k: Names(v) for k, v in kinds.items()}
-        self.seen: dict[tuple, int] = {}  # answers by value
+        self.aliases = aliases
+        self.states: dict[tuple[str, float], int] = {}  # answers by text
         self.codes = {s.lower(): (i, s) for i, _, s in kinds["state"] if s}
         self.code_of = {i: s for i, _, s in kinds["state"]}
 
@@ -196,7 +228,7 @@ class PlaceMapper:
             joined = "".join(w)
             if kind == "state" and joined in self.codes and (len(w) == 1 or all(len(x) == 1 for x in w)):
                 return self.codes[joined][0]
-            if (alias := ALIASES.get(" ".join(w))) and (k := alias.replace(" ", "")) in names.by_key:
+            if (alias := self.aliases.get(" ".join(w))) and (k := alias.replace(" ", "")) in names.by_key:
                 return names.by_key[k][0][0]
             if joined.isdigit() or len(joined) < 3:
                 continue
@@ -213,10 +245,15 @@ class PlaceMapper:
                 return names.by_key[held.pop()][0][0]
         return 0
 
-    def state_of(self, text: str | None) -> str | None:
+    def state_of(self, text: str | None, bound: float = 1.0) -> str | None:
+        """The code of the state that a text names."""
         if not text or not text.strip():
             return None
-        return self.code_of.get(self.short_name(text, "state", 1.0))
+        if (text, bound) not in self.states:
+            if len(self.states) > 200_000:  # memory only
+                self.states.clear()
+            self.states[text, bound] = self.short_name(text, "state", bound)
+        return self.code_of.get(self.states[text, bound])
 
     def municipality(self, value: str, state: str | None, bound: float = 2.0) -> int:
         """The municipality's entry, told apart by the state within the value, else by ``state``; 0 if none."""
@@ -258,52 +295,65 @@ class PlaceMapper:
         return best[3]
 
 
-_MAPPERS: dict[int, PlaceMapper] = {}
+_MAPPERS: dict[str, PlaceMapper] = {}
+
+
+def mapper_of(digest: str, shared) -> PlaceMapper:
+    """The worker's mapper of the list with this digest (of all its rows and aliases), read from its broadcast once.
 
+    A module's function, so that workers keep it between tasks.
+    """
+    if (found := _MAPPERS.get(digest)) is None:
+        if len(_MAPPERS) >= 4:  # memory only
+            _MAPPERS.clear()
+        found = _MAPPERS[digest] = shared.value
+    return found
 
-def map_places(df: DataFrame, entries: DataFrame, *, key: str, municipality: str, state: str, biome: str, most_entries: int = 200_000) -> DataFrame:
+
+def map_places(
+    df: DataFrame, entries: DataFrame, *, key: str, municipality: str, state: str, biome: str, aliases: Mapping[str, str] = ALIASES, most_entries: int = 50_000, frequent: int = 1000
+) -> DataFrame:
     """(key, field_name, entry_id): one row per value that isn't NULL; entry_id is 0 where no entry fits.
 
     ``entries`` has entry_id, list_name, canonical_name and state_acronym; it is
-    a reference list, broadcast after a check that it has at most
-    ``most_entries`` rows. Empty and blank values give 0. Of names at the same
-    distance the one with the agreeing state wins, then the more frequent name,
-    then the smaller id; namesakes that no state tells apart give 0. Repeated
-    rows are mapped each; with an empty list every value gives 0.
+    a reference list, compiled on the driver and broadcast after a check that it
+    has at most ``most_entries`` rows. Empty and blank values give 0. Of names
+    at the same distance the one with the agreeing state wins, then the more
+    frequent name, then the smaller id; namesakes that no state tells apart give
+    0. Repeated rows give a row each; with an empty list every value gives 0.
+    Values that make up over one in ``frequent`` of all values (so fewer than
+    that) are joined by broadcast, so none of them is a hot group.
     """
     spark = df.sparkSession
     ship(spark)
-    rows = entries.select("entry_id", "list_name", "canonical_name", "state_acronym").orderBy("entry_id").limit(most_entries + 1).collect()
+    rows = entries.select("entry_id", "list_name", "canonical_name", "state_acronym").orderBy("entry_id", "list_name", "canonical_name", "state_acronym").limit(most_entries + 1).collect()
     if len(rows) > most_entries:
         raise ValueError(f"the reference list has over {most_entries} entries")
-    shared = spark.sparkContext.broadcast([tuple(r) for r in rows])
-    stamp = hash(tuple(tuple(r) for r in rows[:50])) ^ len(rows)
-    picked = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{municipality}`").cast("string").alias("m"), F.col(f"`{state}`").cast("string").alias("s"), F.col(f"`{biome}`").cast("string").alias("b"))
-    kind = picked.schema["key"].dataType.simpleString()
+    listed = [tuple(r) for r in rows]
+    digest = hashlib.sha256(repr((listed, sorted(aliases.items()))).encode()).hexdigest()
+    shared = spark.sparkContext.broadcast(PlaceMapper(listed, aliases))
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    none = F.lit(None).cast("string")
+    asked = F.array(
+        *[F.struct(F.lit(i).alias("kind"), text(c).alias("v"), beside.alias("s")) for i, (c, beside) in enumerate(((municipality, text(state)), (state, none), (biome, none)))]
+    )
+    long = df.select(F.col(f"`{key}`").alias("key"), F.explode(asked).alias("a")).select("key", "a.*").filter("v is not null")
+    counted = long.groupBy("kind", "v", "s").agg(F.count(F.lit(1)).alias("n")).repartition(parallel(df), "v", "s")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if stamp not in _MAPPERS:
-            _MAPPERS.clear()
-            _MAPPERS[stamp] = PlaceMapper(shared.value)
-        mapper = _MAPPERS[stamp]
-        seen = mapper.seen
-
-        def once(kind: str, *value):
-            if (kind, value) not in seen:
-                if len(seen) > 300_000:  # memory only
-                    seen.clear()
-                seen[kind, value] = mapper.short_name(value[0], kind) if kind != "municipality" else mapper.municipality(*value)
-            return seen[kind, value]
-
+        mapper = mapper_of(digest, shared)
         for f in frames:
-            keys, names, ids = [], [], []
-            for k, m, s, b in zip(f["key"], f["m"], f["s"], f["b"]):
-                told = once("state", s) if s is not None else 0
-                for name, got in ((municipality, once("municipality", m, mapper.code_of.get(told)) if m is not None else None), (state, told if s is not None else None), (biome, once("biome", b) if b is not None else None)):
-                    if got is not None:
-                        keys.append(k)
-                        names.append(name)
-                        ids.append(got)
-            yield pd.DataFrame({"key": pd.Series(keys, dtype=f["key"].dtype), "field_name": names, "entry_id": pd.Series(ids, dtype="int64")})
-
-    return picked.mapInPandas(run, f"key {kind}, field_name string, entry_id bigint").withColumnRenamed("key", key)
+            ids = [mapper.municipality(v, mapper.state_of(s, 2.0)) if kind == 0 else mapper.short_name(v, ("", "state", "biome")[kind]) for kind, v, s in zip(f["kind"], f["v"], f["s"])]
+            yield f.assign(entry_id=pd.Series(ids, dtype="int64", index=f.index))
+
+    answers = cut(counted.mapInPandas(run, "kind int, v string, s string, n bigint, entry_id bigint"))
+    total = answers.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    usual = F.col("n") * frequent > total
+    same = lambda a: long["kind"].eqNullSafe(a["kind"]) & long["v"].eqNullSafe(a["v"]) & long["s"].eqNullSafe(a["s"])
+    often, rest = F.broadcast(answers.filter(usual)), answers.filter(~usual)
+    found = long.join(often, same(often), "left").select("key", long["kind"], long["v"], long["s"], "entry_id")
+    told = found.filter("entry_id is not null").select("key", "kind", "entry_id")
+    left = found.filter("entry_id is null").select("key", F.col("kind").alias("lk"), F.col("v").alias("lv"), F.col("s").alias("ls"))
+    others = left.join(rest, F.col("lk").eqNullSafe(F.col("kind")) & F.col("lv").eqNullSafe(F.col("v")) & F.col("ls").eqNullSafe(F.col("s"))).select("key", "kind", "entry_id")
+    name = F.get(F.array(*[F.lit(c) for c in (municipality, state, biome)]), F.col("kind"))
+    return told.unionByName(others).select(F.col("key").alias(key), name.alias("field_name"), "entry_id")
