@@ -69,11 +69,14 @@ def deletes(word: str, most: int = 2) -> set[str]:
 
 
 def distance(a: str, b: str, bound: float = 4.0) -> float:
-    """Weighted Damerau-Levenshtein: neighbours swapped 0.8, a letter doubled or undoubled 0.7, a vowel for a vowel 0.9, other edits 1."""
+    """Weighted Damerau-Levenshtein: neighbours swapped 0.8, a letter doubled or undoubled 0.7, a vowel for a vowel 0.9, other edits 1.
+
+    Texts without a common letter are beyond any bound.
+    """
     if a == b:
         return 0.0
     # An edit changes the length by one and the set of letters by two at most, and costs 0.7 at least.
-    if abs(len(a) - len(b)) * 0.7 > bound or len(set(a) ^ set(b)) * 0.35 > bound:
+    if abs(len(a) - len(b)) * 0.7 > bound or len(set(a) ^ set(b)) * 0.35 > bound or set(a).isdisjoint(b):
         return bound + 1
     before: list[float] = []
     row = [float(j) for j in range(len(b) + 1)]
@@ -105,15 +108,13 @@ def shortened(short: str, word: str) -> bool:
 
 
 def by_words(value: list[str], name: list[str], bound: float = 4.0) -> float:
-    """Distance word by word, where a shortened word costs 0.3 and a small word may be missing; words without a common letter are no match."""
+    """Distance word by word, where a shortened word costs 0.3 and a small word may be missing."""
     v, n = [w for w in value if w not in SMALL], [w for w in name if w not in SMALL]
     if len(v) != len(n):
         return 9.0
     total = 0.0
     for x, y in zip(v, n):
         if x != y:
-            if not set(x) & set(y):
-                return bound + 1
             total += 0.3 if shortened(x, y) and (len(x) <= 4 or y.startswith(x)) else distance(x, y, bound)
             if total > bound:
                 return bound + 1
