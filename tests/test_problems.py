@@ -207,6 +207,24 @@ def test_spikes(spark):
     assert run(spark.createDataFrame([(i, "a", i, 1.0, "T") for i in range(5)], "id int, s string, d int, v double, var string")).filter("is_spike or is_stuck").count() == 0
 
 
+def test_the_tail_decides(spark):
+    """Where a variable's own noise has a heavy tail, readings far beyond seven scatters are usual and only the fitted tail says so."""
+    rng, rows = random.Random(5), []
+    for s in range(12):
+        for i in range(150):
+            heavy = rng.choice((-1, 1)) * (rng.random() ** -0.7 - 1)
+            rows += [(f"h{s}-{i}", f"s{s}", "heavy", i, heavy), (f"n{s}-{i}", f"s{s}", "normal", i, rng.gauss(0, 1.0))]
+    rows = [(*r[:4], 14.0) if r[0] == "n3-70" else (*r[:4], 9000.0) if r[0] == "h3-70" else r for r in rows]
+    df = spark.createDataFrame(rows, "id string, s string, var string, d int, v double")
+    lim = spark.createDataFrame([], "variable string, low double, high double")
+    got = flag_spikes(df, lim, key="id", series=["s", "var"], order="d", value="v", variable="var").withColumn("far", F.abs("residual") > 7 * F.col("scatter")).collect()
+    spikes = {r["id"] for r in got if r["is_spike"]}
+    assert {"n3-70", "h3-70"} <= spikes and {i for i in spikes if i.startswith("n")} == {"n3-70"}
+    far = {r["id"] for r in got if r["far"] and r["id"].startswith("h")}
+    assert len(far) > 20 and len(spikes & far) <= len(far) / 5
+    assert all(r["tail_cutoff"] > 10 * r["scatter"] for r in got if r["id"].startswith("h")) and all(r["tail_cutoff"] < 12 * r["scatter"] for r in got if r["id"].startswith("n"))
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p3_found", "p5_found", "p7_found"])
 def test_result_columns(spark, name):
     import __spark_entry__ as e

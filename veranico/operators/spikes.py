@@ -3,14 +3,19 @@
 The seasonal residual of a reading is its distance from the nearest of three
 running medians of its series, before, after and around it, which follow
 seasons and lasting shifts; at the ends of a series also from the median of
-the one side extended along its slope. Per series the
-usual scatter is the scaled median absolute residual; excesses over a high
-quantile are fitted with a generalised Pareto distribution (moments), which
-gives the tail cutoff at a fixed risk.
+the one side extended along its slope. Residuals beyond a high quantile of
+their series are excesses, to which a generalised Pareto distribution is
+fitted: its shape per variable, from the quartiles of the excesses in units of
+each series' scatter, and its scale per series, from the series' own median
+excess drawn towards the variable's as far as the series has few excesses.
+Medians and quartiles keep spikes out of the fit. The fitted tail gives each
+series the cutoff that a reading exceeds at a fixed risk.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,8 +23,12 @@ from pyspark.sql.window import Window
 from veranico.session import cut
 
 
+#: Standard error of the quartile estimate of the shape, times the root of the number of excesses, for an exponential tail.
+SHAPE_ERROR = 3.6
+
+
 def _median(values):
-    s = F.array_sort(values)
+    s = F.sort_array(values)
     n = F.size(s)
     return F.when(n > 0, (F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2)
 
@@ -35,8 +44,9 @@ def flag_spikes(
     variable: str,
     half_window: int = 7,
     scatters: float = 7.0,
-    risk: float = 1e-3,
-    tail: float = 0.9,
+    risk: float = 1e-5,
+    tail: float = 0.8,
+    prior: float = 50.0,
     stuck: int = 6,
 ) -> DataFrame:
     """One row per reading that isn't NULL or NaN: its flags and what they rest on.
@@ -44,15 +54,19 @@ def flag_spikes(
     Columns: key, the series columns, residual, scatter, tail_cutoff,
     impossible (outside the variable's range in ``limits``), is_stuck (one of
     ``stuck`` or more successive equal readings of its series) and is_spike
-    (beyond the tail cutoff at ``risk`` and, checked exactly, beyond
-    ``scatters`` times the usual scatter). The tail cutoff is never above that
-    exact bound: excesses above it are themselves anomalies and stay out of the
-    fit. The running medians cover ``half_window`` readings on a side;
-    impossible readings take no part in it. A NULL series column is a series of
-    its own; a variable without limits has none; repeated rows count each. A
-    series of equal values has scatter 0 and no spikes unless a value differs.
-    An empty table gives no rows. Series are bounded by their dates (one
-    reading per date), so a window never holds a whole source with all series.
+    (beyond the tail cutoff of its series at ``risk``, and no less than
+    ``scatters`` times its usual scatter away, the least that counts as a
+    spike). Excesses are residuals beyond the quantile ``tail`` of their
+    series; the variable's scale counts as ``prior`` excesses beside the
+    series' own. The shape is taken two standard errors low, as few excesses
+    don't tell it, and not below 0, as noise has no known bound.
+    The running medians cover ``half_window`` readings on a side; impossible
+    readings take no part in them or in the fit. A NULL series column is a
+    series of its own, and so is a NULL variable; a variable without limits has
+    none; repeated rows count each. A series of equal values has scatter 0 and
+    no spikes unless a value differs. An empty table gives no rows. Series are
+    bounded by their dates (one reading per date), so a window never holds a
+    whole source with all series.
     """
     names = [f"__s{i}" for i in range(len(series))]
     base = df.select(F.col(f"`{key}`").alias("__k"), *[F.col(f"`{s}`").alias(n) for s, n in zip(series, names)], F.col(f"`{variable}`").alias("__v"), F.col(f"`{order}`").alias("__o"), F.col(f"`{value}`").cast("double").alias("__x"))
@@ -77,28 +91,30 @@ def flag_spikes(
     tried = F.array(F.col("__centred"), *[F.col("__x") - m for m in levels])
     nearest = F.array_min(F.filter(F.transform(tried, lambda r: F.struct(F.abs(r).alias("size"), r.alias("r"))), lambda p: p["size"].isNotNull()))
     marked = marked.withColumn("residual", nearest["r"])
-    marked = marked.select("__k", *names, "__v", "__o", "__x", "impossible", "__low", "__high", "__run", "__centred", "residual")
-    # Written once: the scatter, the tail fit and the result all read it.
-    marked = cut(marked.withColumn("__len", F.count(F.lit(1)).over(Window.partitionBy(*names, "__run"))))
+    # Scatter, threshold and excesses of a series lie in the partition of its window.
+    whole = Window.partitionBy(*names)
     size = F.when(~F.col("impossible"), F.abs("__centred"))
-    stat = marked.groupBy(*names).agg((F.percentile(size, 0.5) * 1.4826).alias("__mad"), F.percentile(size, tail).alias("__u"), F.avg(size).alias("__mean"))
+    marked = marked.select("__k", *names, "__v", "__x", "impossible", "__run", "residual", (F.percentile(size, 0.5).over(whole) * 1.4826).alias("__mad"), (F.avg(size).over(whole) * 1.2533).alias("__dev"), F.percentile(F.when(~F.col("impossible"), F.abs("residual")), tail).over(whole).alias("__u"))
     # Where over half of the residuals are 0 the mean deviation stands in for the median one.
-    stat = stat.withColumn("scatter", F.when(F.col("__mad") > 0, F.col("__mad")).otherwise(F.col("__mean") * 1.2533)).select(*[F.col(n).alias(f"{n}b") for n in names], "scatter", "__u")
-    same = [F.col(n).eqNullSafe(F.col(f"{n}b")) for n in names]
-    both = marked.join(stat, same, "left").drop(*[f"{n}b" for n in names])
-    bound = F.col("scatter") * scatters
-    usual = ~F.col("impossible") & (F.abs("residual") <= bound)
-    excess = F.when(usual & (F.abs("residual") > F.col("__u")), F.abs("residual") - F.col("__u"))
-    fit = both.groupBy(*names).agg(F.count_if(usual).alias("__n"), F.count(excess).alias("__ne"), F.avg(excess).alias("__m"), F.var_samp(excess).alias("__var"))
-    ratio = F.col("__m") * F.col("__m") / F.col("__var")
-    xi = F.greatest(F.lit(-0.5), F.least(F.lit(0.4), (1 - ratio) / 2))
-    fit = fit.withColumn("__xi", F.when(F.col("__var") > 0, xi).otherwise(0.0)).withColumn("__beta", F.when(F.col("__var") > 0, F.col("__m") * (1 - F.col("__xi"))).otherwise(F.col("__m")))
-    rate = F.col("__ne") / (F.col("__n") * risk)
-    over = F.when(F.abs("__xi") < 1e-6, F.col("__beta") * F.log(rate)).otherwise(F.col("__beta") / F.col("__xi") * (F.pow(rate, F.col("__xi")) - 1))
-    fit = fit.select(*[F.col(n).alias(f"{n}c") for n in names], F.when(F.col("__ne") > 0, F.greatest(F.lit(0.0), over)).otherwise(0.0).alias("__over"))
-    both = both.join(fit, [F.col(n).eqNullSafe(F.col(f"{n}c")) for n in names], "left")
-    cutoff = F.least(F.col("__u") + F.col("__over"), bound)
-    spike = ~F.col("impossible") & (F.abs("residual") > cutoff) & (F.abs("residual") > bound)
+    marked = marked.withColumn("scatter", F.when(F.col("__mad") > 0, F.col("__mad")).otherwise(F.col("__dev")))
+    excess = F.when(~F.col("impossible") & (F.abs("residual") > F.col("__u")), F.abs("residual") - F.col("__u"))
+    marked = marked.withColumn("__excess", excess)
+    marked = marked.withColumn("__own", F.percentile("__excess", 0.5).over(whole)).withColumn("__ne", F.count("__excess").over(whole))
+    marked = marked.withColumn("__len", F.count(F.lit(1)).over(Window.partitionBy(*names, "__run")))
+    # Written once: the tail's shape and the result read it.
+    marked = cut(marked.select("__k", *names, "__v", "impossible", "residual", "scatter", "__u", "__excess", "__own", "__ne", "__len"))
+    # One row per variable, from summaries that combine.
+    unit = F.when(F.col("scatter") > 0, F.col("__excess") / F.col("scatter"))
+    shape = marked.groupBy(F.col("__v").alias("__sv")).agg(F.percentile_approx(unit, [0.5, 0.75], 10_000).alias("__q"), F.count(unit).alias("__nq"))
+    xi = F.greatest(F.lit(0.0), F.log2(F.get("__q", 1) / F.get("__q", 0) - 1) - 2 * SHAPE_ERROR / F.sqrt("__nq"))
+    shape = shape.select("__sv", F.get("__q", 0).alias("__mid"), F.when((F.get("__q", 0) > 0) & (F.get("__q", 1) > F.get("__q", 0)), xi).otherwise(0.0).alias("__xi"))
+    both = marked.join(F.broadcast(shape), F.col("__v").eqNullSafe(F.col("__sv")), "left")
+    median = (F.coalesce("__mid", F.lit(0.0)) * F.col("scatter") * prior + F.coalesce("__own", F.lit(0.0)) * F.col("__ne")) / (prior + F.col("__ne"))
+    rate, flat = (1 - tail) / risk, F.col("__xi") < 1e-6
+    # The median excess is scale / shape (2^shape - 1), and the cutoff scale / shape (rate^shape - 1) beyond the threshold.
+    over = F.when(flat, median * (math.log(rate) / math.log(2))).otherwise(median * (F.pow(F.lit(rate), F.col("__xi")) - 1) / (F.pow(F.lit(2.0), F.col("__xi")) - 1))
+    cutoff = F.col("__u") + over
+    spike = ~F.col("impossible") & (F.abs("residual") > cutoff) & (F.abs("residual") > F.col("scatter") * scatters)
     return both.select(
         F.col("__k").alias(key), *[F.col(n).alias(s) for s, n in zip(series, names) if s != key], "residual", "scatter", cutoff.alias("tail_cutoff"), "impossible",
         (F.col("__len") >= stuck).alias("is_stuck"), F.coalesce(spike, F.lit(False)).alias("is_spike"),

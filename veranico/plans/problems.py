@@ -141,8 +141,15 @@ w as (select *, sum(fresh) over (partition by s, v order by o, qc_id) run,
 m as (select *, count(*) over (partition by s, v, run) len, list_median(pb[1:7]) b0, list_median(pb[8:14]) b1, list_median(pa[1:7]) a0, list_median(pa[8:14]) a1,
   x - list_median(list_concat(list_concat(pb[1:7], case when g is null then [] else [g] end), pa[1:7])) cen from w),
 c as (select *, least(abs(cen), abs(x - b0), abs(x - a0), case when len(pa[1:7]) < 7 then abs(x - b0 - (b0 - b1) * 4.0 / 7) end, case when len(pb[1:7]) < 7 then abs(x - a0 - (a0 - a1) * 4.0 / 7) end) res from m),
-t as (select s, v, median(abs(cen)) filter (not imp) * 1.4826 mad, avg(abs(cen)) filter (not imp) * 1.2533 dev from c group by 1, 2)
-select qc_id from c join t on c.s is not distinct from t.s and c.v is not distinct from t.v where imp or c.len >= 6 or res > 7 * case when mad > 0 then mad else dev end""",
+t as (select s, v, median(abs(cen)) filter (not imp) * 1.4826 mad, avg(abs(cen)) filter (not imp) * 1.2533 dev, quantile_cont(res, 0.8) filter (not imp) u from c group by 1, 2),
+d as (select c.*, case when mad > 0 then mad else dev end sc, u, case when not imp and res > u then res - u end ex from c join t on c.s is not distinct from t.s and c.v is not distinct from t.v),
+own as (select s, v, median(ex) med, count(ex) ne from d group by 1, 2),
+var as (select v, quantile_cont(ex / sc, 0.5) filter (sc > 0) q50, quantile_cont(ex / sc, 0.75) filter (sc > 0) q75, count(ex) filter (sc > 0) nq from d group by 1),
+f as (select v, coalesce(q50, 0) mid, case when q50 > 0 and q75 > q50 then greatest(0.0, log2(q75 / q50 - 1) - 7.2 / sqrt(nq)) else 0.0 end xi from var),
+k as (select own.s, own.v, xi, ne, coalesce(med, 0) med, mid from own join f on own.v is not distinct from f.v),
+e as (select d.*, (mid * sc * 50 + med * ne) / (50 + ne) m, xi from d join k on d.s is not distinct from k.s and d.v is not distinct from k.v)
+select qc_id from e where imp or len >= 6 or (res > 7 * sc
+  and res > u + m * case when xi < 1e-6 then ln(20000.0) / ln(2) else (power(20000.0, xi) - 1) / (power(2.0, xi) - 1) end)""",
     "p5_found": f"""
 with covered as ({_COVERED}),
 steps as (select *, lag(slot) over (partition by station_id order by slot) before from covered)
