@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from bisect import bisect_right
 from collections.abc import Mapping
 from functools import lru_cache
 from zoneinfo import ZoneInfo
@@ -53,6 +54,9 @@ STATE_NAMES = {
 FULL_WIDTH = "\u3000" + "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))
 ASCII = " " + "".join(map(chr, range(0x21, 0x7F)))
 
+#: Years for which offset changes are looked up.
+FIRST_YEAR, LAST_YEAR = 1970, 2100
+
 SEPARATOR = "\u0001"
 _MONTH = "jan|fev|feb|mar|abr|apr|mai|may|jun|jul|ago|aug|set|sep|out|oct|nov|dez|dec"
 _ZONE = (
@@ -87,7 +91,13 @@ def _pattern() -> str:
 
 
 PATTERN = _pattern()
-_GROUPS = re.findall(r"\(\?<([a-z]+)>", PATTERN)
+# Components by the stems of their groups; as only one branch of a component matches, its groups are written one behind another.
+_COMPONENTS = {
+    "millis": ["millis"], "secs": ["secs"], "year": ["ya", "yb", "yc"], "month": ["ma", "mb", "mc"], "day": ["da", "db", "dc"], "hour": ["ha", "hs"], "minute": ["na", "ns"], "second": ["sa", "ss"],
+    "fraction": ["fa"], "half": ["half"], "bare": ["bare"], "zulu": ["zulu"], "sign": ["sign"], "offh": ["offh"], "offm": ["offm"], "abbr": ["abbr"],
+}
+_GROUPS = set(re.findall(r"\(\?<([a-z]+)>", PATTERN))
+_FIELDS = SEPARATOR.join("".join(f"${{{stem + n}}}" for stem in stems for n in "xyz" if stem + n in _GROUPS) for stems in _COMPONENTS.values())
 
 
 def state_code(c: Column) -> Column:
@@ -119,13 +129,20 @@ def _stretches(name: str, first_year: int, last_year: int) -> list[tuple[int, in
     return [*rows, (start, 2**53, now)]
 
 
-def zone_segments(spark: SparkSession, zones: Mapping[str, str], first_year: int = 1970, last_year: int = 2100) -> DataFrame:
-    """Stretches of local time per key of ``zones`` with their one offset; NULL offset where a local time is doubled or absent.
+def zone_segments(spark: SparkSession, zones: Mapping[str, str], first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
+    """Stretches of local time per key of ``zones`` and local year with their one offset; NULL offset where a local time is doubled or absent.
 
-    The table holds two rows per offset change and zone: bounded by the zone rules, not by the data.
+    The first and the last year also hold what lies before and behind them.
+    The table holds a few rows per zone and year: bounded by the zone rules,
+    not by the data.
     """
-    rows = [(key, *stretch) for key, name in zones.items() for stretch in _stretches(name, first_year, last_year)]
-    return spark.createDataFrame(rows, "zone_key string, local_from long, local_to long, offset_s int")
+    starts = [int(dt.datetime(y, 1, 1, tzinfo=dt.timezone.utc).timestamp()) for y in range(first_year, last_year + 2)]
+    rows = []
+    for key, name in zones.items():
+        for a, b, offset in _stretches(name, first_year, last_year):
+            first, last = (min(max(bisect_right(starts, t) - 1, 0), last_year - first_year) for t in (a, b - 1))
+            rows += [(key, first_year + i, a, b, offset) for i in range(first, last + 1)]
+    return spark.createDataFrame(rows, "zone_key string, year int, local_from long, local_to long, offset_s int")
 
 
 def days_from_civil(y: Column, m: Column, d: Column) -> Column:
@@ -161,38 +178,36 @@ def parse_instants(
     joined = F.concat_ws(SEPARATOR, F.coalesce(F.col(f"`{date_col}`"), F.lit("")), F.coalesce(F.col(f"`{time_col}`"), F.lit("")))
     # The expression's classes are ASCII only, so full-width digits and marks are folded before it.
     tidy = F.regexp_replace(F.translate(joined, FULL_WIDTH, ASCII), "[\\u00a0\\u2007\\u202f\\s]+", " ")
-    fields = SEPARATOR.join(f"${{{g}}}" for g in _GROUPS)
     is_local = F.lower(F.trim(F.col(f"`{clock_col}`"))) == "local" if clock_col else F.lit(False)
     # The input's own columns travel in one struct, so no name of theirs can clash.
     df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), tidy.alias("__text"), is_local.alias("__is_local"), (zone_key if zone_key is not None else F.lit(None).cast("string")).alias("__zone_key"))
     tidy = F.col("__text")
     # A text that doesn't match stays as it is, with the one separator of its two fields.
-    hit = F.split(F.regexp_replace(tidy, F.lit(PATTERN), F.lit(fields)), SEPARATOR, -1)
-    p = F.col("__p")
-    at = {g: i for i, g in enumerate(_GROUPS)}
+    hit = F.split(F.regexp_replace(tidy, F.lit(PATTERN), F.lit(_FIELDS)), SEPARATOR, -1)
+    at = {g: i for i, g in enumerate(_COMPONENTS)}
 
-    def part(*stems: str) -> Column:
-        """The first non-empty group of the stems over the branches x, y, z."""
-        return F.coalesce(*[F.when(F.get(p, F.lit(at[s + n])) != "", F.get(p, F.lit(at[s + n]))) for s in stems for n in "xyz" if s + n in at])
+    def part(component: str) -> Column:
+        """The text of a component; NULL where it's absent."""
+        return F.nullif(F.get(F.col("__p"), F.lit(at[component])), F.lit(""))
 
     number = lambda c: c.cast("int")
-    month_text = part("ma", "mb", "mc")
+    month_text = part("month")
     month = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv]), F.lower(F.substring(month_text, 1, 3))), F.expr("try_cast(__m as int)"))
     bare = F.lpad(part("bare"), 4, "0")
     parsed = (
         df.withColumn("__p", hit)
-        .withColumn("__p", F.when(F.size("__p") == len(_GROUPS), F.col("__p")))
+        .withColumn("__p", F.when(F.size("__p") == len(_COMPONENTS), F.col("__p")))
         .withColumn("__m", month_text)
         .withColumns(
             {
                 "__epoch": F.coalesce(part("millis").cast("long") * 1000, part("secs").cast("long") * 1000000),
                 "__mo": month,
-                "__d": number(part("da", "db", "dc")),
-                "__y0": part("ya", "yb", "yc"),
-                "__h0": number(F.coalesce(part("ha", "hs"), F.substring(bare, 1, 2))),
-                "__n": number(F.coalesce(part("na", "ns"), F.substring(bare, 3, 2))),
-                "__s": F.coalesce(number(part("sa", "ss")), F.lit(0)),
-                "__us": F.coalesce(number(F.rpad(F.substring(part("fa"), 1, 6), 6, "0")), F.lit(0)),
+                "__d": number(part("day")),
+                "__y0": part("year"),
+                "__h0": number(F.coalesce(part("hour"), F.substring(bare, 1, 2))),
+                "__n": number(F.coalesce(part("minute"), F.substring(bare, 3, 2))),
+                "__s": F.coalesce(number(part("second")), F.lit(0)),
+                "__us": F.coalesce(number(F.rpad(F.substring(part("fraction"), 1, 6), 6, "0")), F.lit(0)),
                 "__half": F.upper(part("half")),
                 "__zone_s": F.coalesce(
                     F.when(part("zulu").isNotNull(), 0),
@@ -216,8 +231,9 @@ def parse_instants(
     needs = F.col("__local").isNotNull() & F.col("__zone_s").isNull() & F.col("__epoch").isNull() & F.coalesce("__is_local", F.lit(False))
     parsed = parsed.withColumn("__needs", needs).withColumn("__key", F.when(F.col("__needs"), F.col("__zone_key")))
     # One segment holds each local time, so the join keeps the number of rows.
-    segments = F.broadcast(zone_segments(spark, zones).select(F.col("zone_key").alias("__zk"), F.col("local_from").alias("__zf"), F.col("local_to").alias("__zt"), F.col("offset_s").alias("__zo")))
-    parsed = parsed.join(segments, (F.col("__key") == F.col("__zk")) & (F.col("__local") >= F.col("__zf")) & (F.col("__local") < F.col("__zt")), "left")
+    segments = F.broadcast(zone_segments(spark, zones).toDF("__zk", "__zy", "__zf", "__zt", "__zo"))
+    year = F.greatest(F.lit(FIRST_YEAR), F.least(F.lit(LAST_YEAR), F.col("__y")))
+    parsed = parsed.join(segments, (F.col("__key") == F.col("__zk")) & (year == F.col("__zy")) & (F.col("__local") >= F.col("__zf")) & (F.col("__local") < F.col("__zt")), "left")
     offset = F.when(F.col("__needs"), F.col("__zo")).otherwise(F.coalesce(F.col("__zone_s"), F.lit(0)))
     instant = F.coalesce(F.col("__epoch"), (F.col("__local") - offset) * 1000000 + us)
     return parsed.select(*[F.col("__row")[c].alias(c) for c in names if c != out], instant.alias(out))

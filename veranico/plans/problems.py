@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veranico.operators import timestamps as ts
 from veranico.operators.gridding import local_regression_grid
 from veranico.operators.proximity import pairs_within, points_in_regions, rings_from_wkt, valid_points
 from veranico.operators.spikes import flag_spikes
@@ -18,6 +15,106 @@ BOX = (-34.0, 6.0, -74.5, -32.0)  # latitudes and longitudes that count as valid
 RADIUS_KM = 25.0
 
 
+def _station_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One state per station."""
+    return table(spark, sf_dir, "station_metadata").groupBy(F.col("station_id").alias("__station")).agg(F.min("uf").alias("__station_uf"))
+
+
+def p1_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "inmet_hourly_raw").select("raw_id", "station_id", "uf", "data_text", "hora_utc", "clock")
+    # station_metadata has one row per station and is fixed in size; Spark broadcasts it below its own threshold.
+    raw = raw.join(_station_states(spark, sf_dir), F.col("station_id") == F.col("__station"), "left")
+    given = F.when(F.trim("uf") == "", None).otherwise(F.col("uf"))
+    zone = state_code(F.coalesce(given, F.col("__station_uf")))
+    return parse_instants(raw, "data_text", "hora_utc", clock_col="clock", zone_key=zone).select("raw_id", "station_id", "utc_us")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_instants(spark, sf_dir).filter("utc_us is not null").select("raw_id", "utc_us")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    towns = valid_points(table(spark, sf_dir, "municipality_mechanism"), "municipality_id", "rep_lat", "rep_lon", BOX)
+    stations = valid_points(table(spark, sf_dir, "station_metadata"), "station_id", "lat", "lon", BOX)
+    pairs = pairs_within(towns, stations, RADIUS_KM)
+    return pairs.select(F.col("key").alias("municipality_id"), F.col("region").alias("station_id"))
+
+
+def p3_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygons that hold each municipality's point."""
+    towns = valid_points(table(spark, sf_dir, "municipality_mechanism"), "municipality_id", "rep_lat", "rep_lon", BOX)
+    rings = rings_from_wkt(table(spark, sf_dir, "municipality_polygons"), "polygon_id", "geometry_wkt")
+    inside = points_in_regions(towns, rings)
+    return inside.select(F.col("key").alias("municipality_id"), F.col("region").alias("polygon_id"), "on_boundary")
+
+
+def p5_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regular series of air temperature of each station, filled or marked missing."""
+    stations = table(spark, sf_dir, "station_metadata").select(F.col("station_id").alias("station"), "cadence_s", "opened_on")
+    hourly = table(spark, sf_dir, "station_hourly").select("station_id", "obs_time", "tair_c", "n_valid_before_outlier_qc", "loaded_at")
+    rows = hourly.join(stations, F.col("station_id") == F.col("station"))
+    counts = (F.col("n_valid_before_outlier_qc") > 0) & (F.col("obs_time") <= F.col("loaded_at")) & (F.col("obs_time") >= F.col("opened_on").cast(hourly.schema["obs_time"].dataType))
+    # A repeated delivery of one reading counts once in the estimate, with its last value.
+    us = F.unix_micros(F.col("obs_time").cast("timestamp"))
+    rows = rows.select("station_id", us.alias("at_us"), "cadence_s", "tair_c", counts.alias("counts"), "loaded_at").filter("counts")
+    rows = rows.groupBy("station_id", "cadence_s", "at_us").agg(F.max_by("tair_c", "loaded_at").alias("tair_c"), F.lit(True).alias("counts"))
+    grid = local_regression_grid(rows, source="station_id", at_us="at_us", cadence_s="cadence_s", value="tair_c", counts="counts")
+    return grid.withColumnRenamed("source", "station_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_series(spark, sf_dir).filter("missing").select("station_id", "slot_s")
+
+
+def p7_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flag_spikes(
+        table(spark, sf_dir, "residual_qc"), table(spark, sf_dir, "variable_limits"),
+        key="qc_id", series=["station_id", "variable"], order="window_start", value="median_residual_era5_minus_inmet", variable="variable",
+    )
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_flags(spark, sf_dir).filter("impossible or is_stuck or is_spike").select("qc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p3_found, p3_regions, p5_found, p5_series, p7_found, p7_flags)}
+
+# The other engine's own steps: date, clock and zone are cut out one after another, and its zone rules resolve local times.
+_P1_SQL = r"""
+with st(name, code) as (values ('acre','AC'),('alagoas','AL'),('amazonas','AM'),('amapa','AP'),('bahia','BA'),('ceara','CE'),('distrito federal','DF'),('espirito santo','ES'),('goias','GO'),('maranhao','MA'),
+  ('minas gerais','MG'),('mato grosso do sul','MS'),('mato grosso','MT'),('para','PA'),('paraiba','PB'),('pernambuco','PE'),('piaui','PI'),('parana','PR'),('rio de janeiro','RJ'),('rio grande do norte','RN'),
+  ('rondonia','RO'),('roraima','RR'),('rio grande do sul','RS'),('santa catarina','SC'),('sergipe','SE'),('sao paulo','SP'),('tocantins','TO')),
+zone(code, tz) as (select unnest(['AC','AL','AM','AP','BA','CE','DF','ES','GO','MA','MG','MS','MT','PA','PB','PE','PI','PR','RJ','RN','RO','RR','RS','SC','SE','SP','TO']),
+  'America/' || unnest(['Rio_Branco','Maceio','Manaus','Belem','Bahia','Fortaleza','Sao_Paulo','Sao_Paulo','Sao_Paulo','Fortaleza','Sao_Paulo','Campo_Grande','Cuiaba','Belem','Fortaleza','Recife','Fortaleza','Sao_Paulo','Sao_Paulo','Fortaleza','Porto_Velho','Boa_Vista','Sao_Paulo','Sao_Paulo','Maceio','Sao_Paulo','Araguaina'])),
+place as (select r.raw_id, lower(strip_accents(trim(coalesce(nullif(trim(r.uf), ''), k.uf)))) u from inmet_hourly_raw r left join (select station_id, min(uf) uf from station_metadata group by 1) k using (station_id)),
+legal as (select raw_id, tz from place left join st on st.name = u left join zone on zone.code = coalesce(st.code, upper(u))),
+folded as (select raw_id, coalesce(lower(trim(clock)) = 'local', false) loc,
+  [trim(regexp_replace(lower(translate(coalesce(x, ''), '０１２３４５６７８９：／．－，＋（）　ＴＺ', '0123456789:/.-,+() TZ')), '[\x{00a0}\x{2007}\x{202f}\s]+', ' ', 'g')) for x in [data_text, hora_utc]] ab from inmet_hourly_raw),
+tried as (select raw_id, loc, 1 pri, ab[2] t from folded union all select raw_id, loc, 2, ab[1] from folded
+  union all select raw_id, loc, 3, ab[1] || 't' || ab[2] from folded where not regexp_full_match(ab[1], '.*\d[t ].*[:h].*')),
+dated as (select *, regexp_extract(t, '^(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{8}|\d{1,2}[-/. ](?:\d{1,2}|(?:jan|fev|feb|mar|abr|apr|mai|may|jun|jul|ago|aug|set|sep|out|oct|nov|dez|dec)[a-zç]*\.?)[-/. ](?:\d{4}|\d{2}))[t ] *(\d.*)$', ['d', 'r']) x,
+  case when regexp_full_match(t, '\d{13}') then t::bigint * 1000 when regexp_full_match(t, '\d{9,10}') then t::bigint * 1000000 end epoch from tried),
+clocked as (select *, x.d d, regexp_extract(x.r, '^(\d{1,2}[:h]\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?|\d{6}|\d{1,4})(?: *([ap])\.?m\.?)? *(z|utc|gmt|(?:utc|gmt)?[+-]\d{1,2}(?::?\d{2})?|\(?(?:brt|brst|amt|amst|act|acst|fnt|fnst)\)?)?$', ['c', 'half', 'z']) y from dated),
+best as (select raw_id, min(pri) pri from clocked where epoch is not null or y.c <> '' group by 1),
+m as (select c.raw_id, loc, epoch, d, y.c c, y.half half, y.z z from clocked c join best b using (raw_id, pri)),
+p as (select *, case when regexp_matches(d, '^\d{4}[-/.]') then string_split_regex(d, '[-/.]') when regexp_full_match(d, '\d{8}') then [d[1:4], d[5:6], d[7:8]] else list_reverse(string_split_regex(regexp_replace(d, '\.([-/. ])', '\1'), '[-/. ]')) end ymd,
+  case when regexp_matches(c, '[:h]') then string_split_regex(c, '[:h.,]') when length(c) = 6 then [c[1:2], c[3:4], c[5:6]] else [lpad(c, 4, '0')[1:2], lpad(c, 4, '0')[3:4]] end hms from m),
+n as (select *, case when length(ymd[1]) = 2 then '20' || ymd[1] else lpad(ymd[1], 4, '0') end yy,
+  coalesce(try_cast(ymd[2] as int), ceil(list_position(['jan','jan','fev','feb','mar','mar','abr','apr','mai','may','jun','jun','jul','jul','ago','aug','set','sep','out','oct','nov','nov','dez','dec'], ymd[2][1:3]) / 2)::int) mm, try_cast(hms[1] as int) h0, try_cast(hms[2] as int) mi, try_cast(coalesce(hms[3], '0') as int) se, try_cast(coalesce(rpad(hms[4][1:6], 6, '0'), '0') as int) us from p),
+h as (select *, case half when 'a' then case when h0 between 1 and 12 then h0 % 12 end when 'p' then case when h0 between 1 and 12 then h0 % 12 + 12 end else h0 end hh, try_cast(yy || '-' || lpad(mm::varchar, 2, '0') || '-' || lpad(ymd[3], 2, '0') as date) dt,
+  regexp_extract(z, '([+-])(\d{1,2}):?(\d{2})?$', ['s', 'h', 'm']) o from n),
+w as (select *, case when mi < 60 and se < 60 and (hh < 24 or (hh = 24 and mi = 0 and se = 0 and us = 0 and half = '')) then dt::timestamp + to_hours(hh) + to_minutes(mi) + to_seconds(se) + to_microseconds(us) end lt,
+  case when z in ('z', 'utc', 'gmt') then 0 when o.s <> '' then case when try_cast(o.h as int) <= 18 and try_cast(coalesce(nullif(o.m, ''), '0') as int) < 60 then (case o.s when '-' then -1 else 1 end) * (try_cast(o.h as int) * 60 + try_cast(coalesce(nullif(o.m, ''), '0') as int)) end
+    when z <> '' then -60 * [3, 2, 4, 3, 5, 4, 2, 1][list_position(['brt', 'brst', 'amt', 'amst', 'act', 'acst', 'fnt', 'fnst'], trim(z, '()'))] when not loc then 0 end off_min, coalesce(z, '') = '' and loc needs from h),
+u as (select raw_id, epoch, lt, off_min, needs, tz, lt at time zone tz as ut from w left join legal using (raw_id)),
+v as (select raw_id, case when epoch is not null then epoch when not needs then epoch_us(lt - to_minutes(off_min))
+  when (ut at time zone tz) = lt and ((ut - interval 1 hour) at time zone tz) <> lt and ((ut + interval 1 hour) at time zone tz) <> lt then epoch_us(ut) end utc_us from u)
+"""
+
+
+_KM = 25.0
+
+
 def _station_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One state per station."""
     return table(spark, sf_dir, "station_metadata").groupBy(F.col("station_id").alias("__station")).agg(F.min("uf").alias("__station_uf"))
@@ -115,7 +212,8 @@ _COVERED = """
   where h.n_valid_before_outlier_qc > 0 and h.obs_time <= h.loaded_at and h.obs_time >= m.opened_on"""
 
 SQL = {
-    "p1_found": _p1_sql(),
+    "p1_found": _P1_SQL + "select raw_id, utc_us from v where utc_us is not null",
+    "p1_instants": _P1_SQL + "select raw_id, station_id, utc_us from inmet_hourly_raw left join v using (raw_id)",
     "p3_found": f"""
 select municipality_id, station_id from municipality_mechanism m, station_metadata s
 where {_VALID.format(lat="m.rep_lat", lon="m.rep_lon")} and {_VALID.format(lat="s.lat", lon="s.lon")} and {_KM} <= 25""",
