@@ -97,15 +97,17 @@ _COMPONENTS = {
     "fraction": ["fa"], "half": ["half"], "bare": ["bare"], "zulu": ["zulu"], "sign": ["sign"], "offh": ["offh"], "offm": ["offm"], "abbr": ["abbr"],
 }
 _GROUPS = set(re.findall(r"\(\?<([a-z]+)>", PATTERN))
-_FIELDS = SEPARATOR.join("".join(f"${{{stem + n}}}" for stem in stems for n in "xyz" if stem + n in _GROUPS) for stems in _COMPONENTS.values())
+# A last field tells that the text matched.
+_FIELDS = SEPARATOR.join(["".join(f"${{{stem + n}}}" for stem in stems for n in "xyz" if stem + n in _GROUPS) for stems in _COMPONENTS.values()] + ["1"])
+_NUMBERS = {"millis": "bigint", "secs": "bigint", "day": "int", "hour": "int", "minute": "int", "second": "int", "offh": "int", "offm": "int"}
+_SCHEMA = ", ".join(f"{c} {_NUMBERS.get(c, 'string')}" for c in _COMPONENTS) + ", matched int"
 
 
 def state_code(c: Column) -> Column:
     """Two-letter code of a state that may be written out, in any case, with or without accents; NULL if unknown."""
     plain = F.lower(F.trim(F.translate(c, "ÁÂÃÀÉÊÍÓÔÕÚÇáâãàéêíóôõúç", "AAAAEEIOOOUCaaaaeeiooouc")))
-    names = F.create_map(*[F.lit(x) for pair in STATE_NAMES.items() for x in pair])
-    codes = F.array(*[F.lit(x) for x in STATE_ZONES])
-    return F.coalesce(F.when(F.array_contains(codes, F.upper(plain)), F.upper(plain)), F.try_element_at(names, plain))
+    known = STATE_NAMES | {code.lower(): code for code in STATE_ZONES}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), plain)
 
 
 @lru_cache(maxsize=None)
@@ -146,13 +148,11 @@ def zone_segments(spark: SparkSession, zones: Mapping[str, str], first_year: int
 
 
 def days_from_civil(y: Column, m: Column, d: Column) -> Column:
-    """Days since 1970-01-01 of a proleptic Gregorian date, in integer arithmetic."""
-    yy = y - F.when(m <= 2, 1).otherwise(0)
-    era = F.floor(yy / 400)
-    yoe = yy - era * 400
-    doy = F.floor((F.lit(153) * (m + F.when(m > 2, -3).otherwise(9)) + 2) / 5) + d - 1
-    doe = yoe * 365 + F.floor(yoe / 4) - F.floor(yoe / 100) + doy
-    return (era * 146097 + doe - 719468).cast("long")
+    """Days since 1970-01-01 of a Gregorian date from year 1 on, in integer arithmetic; years begin in March, so leap days end them."""
+    year = y - F.when(m <= 2, 1).otherwise(0)
+    month = m + F.when(m > 2, -3).otherwise(9)
+    div = lambda a, n: F.call_function("div", a, F.lit(n))
+    return (year * 365 + div(year, 4) - div(year, 100) + div(year, 400) + div(month * 153 + 2, 5) + d - 719469).cast("long")
 
 
 def parse_instants(
@@ -182,42 +182,28 @@ def parse_instants(
     # The input's own columns travel in one struct, so no name of theirs can clash.
     df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), tidy.alias("__text"), is_local.alias("__is_local"), (zone_key if zone_key is not None else F.lit(None).cast("string")).alias("__zone_key"))
     tidy = F.col("__text")
-    # A text that doesn't match stays as it is, with the one separator of its two fields.
-    hit = F.split(F.regexp_replace(tidy, F.lit(PATTERN), F.lit(_FIELDS)), SEPARATOR, -1)
-    at = {g: i for i, g in enumerate(_COMPONENTS)}
-
-    def part(component: str) -> Column:
-        """The text of a component; NULL where it's absent."""
-        return F.nullif(F.get(F.col("__p"), F.lit(at[component])), F.lit(""))
-
-    number = lambda c: c.cast("int")
-    month_text = part("month")
-    month = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv]), F.lower(F.substring(month_text, 1, 3))), F.expr("try_cast(__m as int)"))
+    # A text that doesn't match stays as it is, so its last field is missing. One call reads and types all components.
+    read = F.from_csv(F.regexp_replace(tidy, F.lit(PATTERN), F.lit(_FIELDS)), _SCHEMA, {"sep": SEPARATOR})
+    parsed = df.withColumn("__p", read).withColumn("__p", F.when(F.col("__p.matched") == 1, F.col("__p")))
+    part = lambda c: F.col(f"__p.{c}")
+    month = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv]), F.lower(F.substring(part("month"), 1, 3))), part("month").try_cast("int"))
     bare = F.lpad(part("bare"), 4, "0")
-    parsed = (
-        df.withColumn("__p", hit)
-        .withColumn("__p", F.when(F.size("__p") == len(_COMPONENTS), F.col("__p")))
-        .withColumn("__m", month_text)
-        .withColumns(
-            {
-                "__epoch": F.coalesce(part("millis").cast("long") * 1000, part("secs").cast("long") * 1000000),
-                "__mo": month,
-                "__d": number(part("day")),
-                "__y0": part("year"),
-                "__h0": number(F.coalesce(part("hour"), F.substring(bare, 1, 2))),
-                "__n": number(F.coalesce(part("minute"), F.substring(bare, 3, 2))),
-                "__s": F.coalesce(number(part("second")), F.lit(0)),
-                "__us": F.coalesce(number(F.rpad(F.substring(part("fraction"), 1, 6), 6, "0")), F.lit(0)),
-                "__half": F.upper(part("half")),
-                "__zone_s": F.coalesce(
-                    F.when(part("zulu").isNotNull(), 0),
-                    F.when(part("sign") == "-", -1).otherwise(1) * (number(part("offh")) * 3600 + F.coalesce(number(part("offm")), F.lit(0)) * 60),
-                    F.try_element_at(F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v * 3600)]), F.upper(part("abbr"))),
-                ),
-                "__zone_ok": F.coalesce((number(part("offh")) <= 18) & (F.coalesce(number(part("offm")), F.lit(0)) < 60), F.lit(True)),
-            }
-        )
-        .withColumn("__y", F.when(F.length("__y0") == 2, number(F.col("__y0")) + 2000).otherwise(number(F.col("__y0"))))
+    abbr = F.try_element_at(F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v * 3600)]), F.upper(part("abbr")))
+    minutes = F.coalesce(part("offm"), F.lit(0))
+    parsed = parsed.withColumns(
+        {
+            "__epoch": F.coalesce(part("millis") * 1000, part("secs") * 1000000),
+            "__mo": month,
+            "__d": part("day"),
+            "__y": part("year").cast("int") + F.when(F.length(part("year")) == 2, 2000).otherwise(0),
+            "__h0": F.coalesce(part("hour"), F.substring(bare, 1, 2).cast("int")),
+            "__n": F.coalesce(part("minute"), F.substring(bare, 3, 2).cast("int")),
+            "__s": F.coalesce(part("second"), F.lit(0)),
+            "__us": F.coalesce(F.rpad(F.substring(part("fraction"), 1, 6), 6, "0").cast("int"), F.lit(0)),
+            "__half": F.upper(part("half")),
+            "__zone_s": F.coalesce(F.when(part("zulu").isNotNull(), 0), F.when(part("sign") == "-", -1).otherwise(1) * (part("offh") * 3600 + minutes * 60), abbr),
+            "__zone_ok": F.coalesce((part("offh") <= 18) & (minutes < 60), F.lit(True)),
+        }
     )
     h0, half = F.col("__h0"), F.col("__half")
     hour = F.when(half.isNull(), h0).when(h0.between(1, 12), h0 % 12 + F.when(half == "P", 12).otherwise(0))
