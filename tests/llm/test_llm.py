@@ -241,6 +241,65 @@ def test_window_finds_what_brute_force_finds(spark):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+PLACES = "id long, name string, state string, area double, biome string, y double, x double"
+
+
+def matched(spark, left, right):
+    return {(r["l"], r["r"]) for r in matching.match_places(spark.createDataFrame(left, PLACES), spark.createDataFrame(right, PLACES + ", slot int")).collect()}
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_double_entries_on_both_sides(spark, n):
+    left = [place(i, "Alto Vorimeda", area=1000.0 + i) for i in range(n)]
+    right = [(*place(100 + i, "Alto Vorimeda", area=1000.0 - i), 2010) for i in range(n)]
+    assert matched(spark, left, right) == {(i, 100 + j) for i in range(n) for j in range(n)}
+
+
+@pytest.mark.parametrize("n", [40, 80])
+def test_equal_records_all_come_out(spark, n):
+    left, right = [place(i, "Alto Vorimeda") for i in range(n)], [(*place(1000 + i, "ALTO VORIMEDA"), 2010) for i in range(n)]
+    assert matched(spark, left, right) == {(i, 1000 + j) for i in range(n) for j in range(n)}
+
+
+def test_a_name_of_a_third_of_all_rows(spark):
+    """Namesakes far more than a window holds are told apart by their points."""
+    rng = random.Random(14)
+    left, right = [], []
+    for i in range(900):
+        name = "Bom Jardim" if i % 3 == 0 else "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(5))
+        y, x, area = rng.uniform(-30, 0), rng.uniform(-60, -40), rng.uniform(10, 99999)
+        left.append((i, name, None, area if i % 2 else None, None, y, x))
+        right.append((10_000 + i, name, None, area * 1.01, None, y + 0.01, x, 1))
+    got = matched(spark, left, right)
+    assert len(got & {(i, 10_000 + i) for i in range(900)}) >= 0.99 * 900 and len(got) <= 1.01 * 900
+
+
+def test_assignment_is_the_greatest(spark):
+    """The greatest sum of an exhaustive search, by components and, within its steps, by auction."""
+    from itertools import permutations
+
+    rng, rows, best = random.Random(17), [], 0.0
+    for block in range(6):
+        w = [[rng.choice([0.0, round(rng.uniform(3, 9), 2)]) for _ in range(5)] for _ in range(4)]
+        rows += [(block * 10 + i, block * 10 + j, 1, v) for i, line in enumerate(w) for j, v in enumerate(line) if v]
+        best += max(sum(max(0.0, w[i][j] - 2) for i, j in enumerate(p)) for p in permutations(range(5), 4))
+    pairs = spark.createDataFrame(rows, "l long, r long, slot int, score double")
+    for solve_at, slack in ((1000, 1e-6), (3, 0.05 * 24)):
+        got = matching.assign(pairs, double=99.0, mutual=99.0, solve_at=solve_at).toPandas()
+        assert not got.duplicated("l").any() and not got.duplicated("r").any()
+        assert best - slack <= (got.score - 2).sum() <= best + 1e-6
+    crossed = spark.createDataFrame([(1, 1, 1, 8.0), (1, 2, 1, 7.5), (2, 1, 1, 7.8)], "l long, r long, slot int, score double")
+    assert {(r["l"], r["r"]) for r in matching.assign(crossed, double=99.0, mutual=99.0).collect()} == {(1, 2), (2, 1)}
+    equal = spark.createDataFrame([(i, j, 1, 6.0) for i in range(30) for j in range(30)], "l long, r long, slot int, score double")
+    assert matching.assign(equal, double=99.0, mutual=99.0).count() == 30
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 200), (300, 200), (7, 7)]
+    got = {r["node"]: r["component"] for r in matching.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 300: 100}
+
+
 WORDS = {"software": ["compiler", "database", "browser", "kernel", "pointer"], "optics": ["prism", "lens", "mirror", "grating", "polariser"], "food": ["dough", "cheese", "noodle", "syrup", "butter"]}
 
 
