@@ -116,23 +116,25 @@ def nearest_rank(values, p):
     return s[max(0, int(np.ceil(p * len(s) - 1e-9)) - 1)]
 
 
-@pytest.mark.parametrize("finish_at", [1000, 5])
-def test_percentiles(spark, finish_at):
+@pytest.mark.parametrize("finish_at, block_rows", [(1000, 1000), (5, 40), (100, 700)])
+def test_percentiles(spark, finish_at, block_rows):
     rng = random.Random(1)
-    rows = [("big", i % 7, round(rng.gauss(0, 1) ** 3, 3)) for i in range(3000)] + [("flat", 0, 2.5)] * 40 + [("one", 1, -1.0), (None, 2, 4.0), (None, 2, 5.0), ("big", 1, None), ("big", 1, float("nan")), ("none", 1, None)]
-    df = spark.createDataFrame(rows, "grp string, day int, v double").withColumn("p", F.lit("clash")).withColumn("g", F.lit(1))
-    got = {(r["grp"], r["p"]): r["value"] for r in quantiles.select_percentiles(quantiles.summarise(df, ["grp"], "v"), PROBS, finish_at=finish_at).collect()}
+    rows = [("big", i % 7, round(rng.gauss(0, 1) ** 3, 3)) for i in range(3000)] + [("flat", 0, 2.5)] * 400 + [("one", 1, -1.0), (None, 2, 4.0), (None, 2, 5.0), ("big", 1, None), ("big", 1, float("nan")), ("none", 1, None)]
+    df = spark.createDataFrame(rows, "grp string, day int, v double").withColumn("p", F.lit("clash")).withColumn("g", F.lit(1)).withColumn("twice", F.col("v") * 2)
+    answers = lambda s: {(r["grp"], r["p"]): r["value"] for r in quantiles.select_percentiles(s, PROBS, finish_at=finish_at).filter("variable = 'v'").collect()}
+    got = answers(quantiles.summarise(df, ["grp"], ["v", "twice"], block_rows=block_rows))
     by: dict = {}
     for g, _, v in rows:
         if v is not None and v == v:
             by.setdefault(g, []).append(v)
     assert got == {(g, p): nearest_rank(vs, p) for g, vs in by.items() for p in PROBS}
-    parts = [quantiles.summarise(df.filter(F.col("day") == d), ["grp"], "v") for d in range(7)]
-    merged = {(r["grp"], r["p"]): r["value"] for r in quantiles.select_percentiles(quantiles.merge(*parts), PROBS, finish_at=finish_at).collect()}
-    assert merged == got
-    rough = {(r["grp"], r["p"]): r["value"] for r in quantiles.select_percentiles(quantiles.summarise(df, ["grp"], "v", resolution=0.1), PROBS).collect()}
+    parts = [quantiles.summarise(df.filter(F.col("day") == d), ["grp"], ["v"], block_rows=block_rows) for d in range(7)]
+    assert answers(quantiles.merge(*parts)) == got
+    rough = answers(quantiles.summarise(df, ["grp"], ["v"], resolution=0.1, block_rows=block_rows))
     assert rough.keys() == got.keys() and all(abs(rough[k] - got[k]) <= 0.05 + 1e-9 for k in got)
-    assert quantiles.select_percentiles(quantiles.summarise(df.limit(0), ["grp"], "v"), PROBS).count() == 0
+    days = [quantiles.summarise(df.filter(F.col("day") == d), ["grp"], ["v"], resolution=0.1, block_rows=block_rows) for d in range(7)]
+    assert answers(quantiles.merge(*days)) == rough
+    assert quantiles.select_percentiles(quantiles.summarise(df.limit(0), ["grp"], ["v"]), PROBS).count() == 0
 
 
 ENTRIES = [

@@ -63,11 +63,10 @@ def p4_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of tmax and vpdmean per region, cell and day of year."""
-    grid = table(spark, sf_dir, "daily_grid").select("region", "cell_id", "doy_noleap", "tmax", "vpdmean")
-    kinds = F.array(*[F.struct(F.lit(k).alias("grouping"), F.col(c).cast("string").alias("group_key")) for k, c in (("region", "region"), ("cell", "cell_id"), ("doy", "doy_noleap"))])
-    values = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).alias("value")) for v in ("tmax", "vpdmean")])
-    long = grid.select(F.explode(values).alias("v"), kinds.alias("kinds")).filter("v.value is not null and not isnan(v.value)").select("v.*", F.explode("kinds").alias("k")).select("variable", "value", "k.*")
-    return select_percentiles(summarise(long, ["grouping", "group_key", "variable"], "value"), PERCENTILES)
+    grid = table(spark, sf_dir, "daily_grid")
+    kinds = (("region", "region"), ("cell", "cell_id"), ("doy", "doy_noleap"))
+    parts = [summarise(grid, [c], ["tmax", "vpdmean"]).select(F.lit(k).alias("grouping"), F.col(c).cast("string").alias("group_key"), "variable", "xs", "ws", "whole") for k, c in kinds]
+    return select_percentiles(parts[0].unionByName(parts[1]).unionByName(parts[2]), PERCENTILES)
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
