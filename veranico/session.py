@@ -92,6 +92,15 @@ def fresh(stem: str) -> str:
     return f"__{stem}_{uuid.uuid4().hex[:8]}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, before a step that is heavy on CPU, where its files give fewer.
+
+    Fewer splits than cores hold a small input, so the shuffle is small; other inputs stay as they are.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def parallel(df: DataFrame, per_core: int = 2) -> int:
     """Partitions for a step that is heavy on CPU."""
     return max(df.sparkSession.sparkContext.defaultParallelism * per_core, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
