@@ -333,6 +333,8 @@ def test_subjects(spark):
         got.setdefault(r["doc_id"], set()).add(r["subject"])
     assert sum(got.get(i) == t for i, t in truth.items()) >= 0.97 * len(truth)
     assert got.keys() & {9001, 9002, 9003, 9004} == set() and got.get(9005, {"software"}) == {"software"}
+    stretches = {(r["doc_id"], r["subject"]) for r in subjects.label_subjects(d, s, sorted(WORDS), most_terms=5).collect()}
+    assert stretches == {(i, x) for i, xs in got.items() for x in xs}
     assert subjects.label_subjects(d, s.limit(0), sorted(WORDS)).count() == 0
     assert subjects.label_subjects(d.limit(0), s, sorted(WORDS)).count() == 0
 
@@ -350,6 +352,19 @@ def test_subjects_of_frequent_words(spark):
     assert {"compiler", "lens", "dough"} <= told and not told & {"the", "housing", "placed"}
 
 
+def test_edges_join_similar_documents(spark):
+    """Documents of one subject are linked, of a hub term too, and labels reach documents far from any seed."""
+    rows = [(i, [30 - i % 5, 10, 5]) for i in range(400)] + [(1000 + i, [60 - i % 5, 50, 40]) for i in range(400)]
+    verified = spark.createDataFrame(rows, "row long, terms array<int>")
+    edges = subjects.similar_documents(verified).toPandas()
+    assert set(edges.a) == {r[0] for r in rows} and ((edges.a < 1000) == (edges.b < 1000)).all() and edges.w.between(0.3, 1 + 1e-9).all()
+    assert len(edges) <= 2 * 3 * 2 * len(rows)
+    seeds = [(i, 1, 1.0) for i in range(0, 400, 10)] + [(1000 + i, label, 0.5) for i in range(0, 400, 10) for label in (2, 3)]
+    labels = subjects.propagate(spark.createDataFrame(edges), spark.createDataFrame(seeds, "row long, label int, y double"), rounds=4).toPandas()
+    assert set(labels[labels.row < 1000].label) == {1} and set(labels[labels.row >= 1000].label) == {2, 3}
+    assert labels.row.nunique() > 700 and (labels.groupby("row").y.sum() - 1).abs().max() < 1e-9
+
+
 def test_passing_mentions_in_any_words(spark):
     """Own sentences count whatever words they hold, and a mention in other words doesn't, in short documents too."""
     rng, names, docs = random.Random(3), list(WORDS), []

@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from veranico.session import ship
+from veranico.session import ship, spread
 
 #: The pattern of the public byte-level tokenizers that splits text before merging (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -266,7 +266,7 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     ship(spark)
     vocabulary = load_merges(path)
     digest, tables = vocabulary.digest, spark.sparkContext.broadcast(vocabulary)
-    rows = df.select(df[f"`{key}`"].alias("key"), df[f"`{text}`"].alias("text"))
+    rows = spread(df.select(df[f"`{key}`"].alias("key"), df[f"`{text}`"].alias("text")))
     kind = rows.schema["key"].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +289,7 @@ def count_tokens(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     ship(spark)
     vocabulary = load_merges(path)
     digest, tables = vocabulary.digest, spark.sparkContext.broadcast(vocabulary)
-    rows = df.select(df[f"`{key}`"].alias("key"), df[f"`{text}`"].alias("text"))
+    rows = spread(df.select(df[f"`{key}`"].alias("key"), df[f"`{text}`"].alias("text")))
     kind = rows.schema["key"].dataType
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
