@@ -359,7 +359,7 @@ def test_edges_join_similar_documents(spark):
     edges = subjects.similar_documents(verified).toPandas()
     assert set(edges.a) == {r[0] for r in rows} and ((edges.a < 1000) == (edges.b < 1000)).all() and edges.w.between(0.3, 1 + 1e-9).all()
     assert len(edges) <= 2 * 3 * 2 * len(rows)
-    seeds = [(i, 1, 1.0) for i in range(0, 400, 10)] + [(1000 + i, label, 0.5) for i in range(0, 400, 10) for label in (2, 3)]
+    seeds = [(i, 1, 1.0) for i in range(0, 400, 9)] + [(1000 + i, label, 0.5) for i in range(0, 400, 9) for label in (2, 3)]
     labels = subjects.propagate(spark.createDataFrame(edges), spark.createDataFrame(seeds, "row long, label int, y double"), rounds=4).toPandas()
     assert set(labels[labels.row < 1000].label) == {1} and set(labels[labels.row >= 1000].label) == {2, 3}
     assert labels.row.nunique() > 700 and (labels.groupby("row").y.sum() - 1).abs().max() < 1e-9
