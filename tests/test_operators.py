@@ -219,3 +219,38 @@ def test_quality_rules(spark):
     qc.require_same_cells(keys, keys.distinct(), "k")
     with pytest.raises(ValueError):
         qc.require_same_cells(keys, keys.filter("k = 'A1'"), "k")
+
+
+def test_linear_quantiles(spark):
+    rng = np.random.default_rng(3)
+    values = np.round(rng.normal(size=3001) ** 3, 2)
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 4.0), ("b", 5.0), ("c", None), ("b", float("nan"))], "k string, v double")
+    got = {r["k"]: r for r in wt.linear_quantiles(df, ["k"], "v", {"q0": 0.0, "q3": 0.3, "q97": 0.97, "q1": 1.0}).collect()}
+    assert set(got) == {"a", "b"} and got["b"]["q3"] == pytest.approx(4.3) and got["b"]["n"] == 2
+    assert [got["a"][n] for n in ("q0", "q3", "q97", "q1")] == pytest.approx(list(np.quantile(values, [0, 0.3, 0.97, 1])))
+    assert wt.linear_quantiles(df.limit(0), ["k"], "v", {"q": 0.5}).count() == 0 and wt.linear_quantiles(df.limit(0), [], "v", {"q": 0.5}).first()["q"] is None
+
+
+def test_bootstrap_difference(spark):
+    rows = [(i, "k", float(i), 10.0 + (5.0 if i >= 150 else 0.0) + (i * 7 % 11) / 10, 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, g string, x double, v double, w double")
+    r = st.bootstrap_difference(df, ["g"], "id", "x", "v", "w", reps=200).first()
+    assert 4.5 < r["low"] < r["difference"] < r["high"] < 5.5
+    assert st.bootstrap_difference(df.limit(0), ["g"], "id", "x", "v", "w").count() == 0
+
+
+def test_truncated_slopes(spark):
+    rows = [("a", y, float(y if y < 2010 else 2010 + 3 * (y - 2010))) for y in range(2000, 2020)] + [("b", 2000 + i, 1.0) for i in range(3)]
+    got = {r["k"]: r for r in tr.truncated_slopes(spark.createDataFrame(rows, "k string, y int, v double"), ["k"], "y", "v", years=10).collect()}
+    assert set(got) == {"a"} and got["a"]["slope_late_start"] == pytest.approx(30) and got["a"]["slope_early_end"] == pytest.approx(10, abs=3) and 10 < got["a"]["slope_all"] < 30
+
+
+def test_nearest_in_a_crowd(spark):
+    """A crowd of both sides in one place, with tiles by density and salts, against brute force."""
+    rng = np.random.default_rng(5)
+    a = [(i, float(y), float(x)) for i, (y, x) in enumerate(rng.normal(0, 0.05, (300, 2)))] + [(999, 20.0, 20.0)]
+    b = [(i, float(y), float(x)) for i, (y, x) in enumerate(rng.normal(0, 0.05, (500, 2)))]
+    make = lambda rows: spark.createDataFrame(rows, "key int, y double, x double")
+    got = {r["key"]: r["near"] for r in sp.nearest(make(a), make(b), per_tile=8, rows_per_salt=20).collect()}
+    want = {k: min(b, key=lambda o: (math.hypot(o[1] - y, o[2] - x), o[0]))[0] for k, y, x in a}
+    assert got == want

@@ -232,3 +232,11 @@ def test_result_columns(spark, name):
     want = {"p1_found": {"raw_id": "bigint", "utc_us": "bigint"}, "p3_found": {"municipality_id": "bigint", "station_id": "string"}, "p5_found": {"station_id": "string", "slot_s": "bigint"}, "p7_found": {"qc_id": "bigint"}}
     df = e.queries()[name](spark, "/root/testdata/sf0.001")
     assert dict(df.dtypes) == want[name] and df.count() > 0
+
+
+def test_regions_of_several_rings(spark):
+    """Holes are outside, parts inside, exponents and third coordinates are read."""
+    shapes = [(1, "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))"), (2, "MultiPolygon (((20 0, 21 0, 21 1, 20 0)), ((30 0 5, 3.2e1 0 5, 32 2 5, 30 2 5)))"), (3, "POINT (1 1)"), (4, None), (5, "POLYGON EMPTY")]
+    points = [(1, 5.0, 5.0), (2, 2.0, 2.0), (3, 0.2, 20.7), (4, 1.0, 31.0), (5, 1.0, 25.0), (6, 5.0, 4.0)]
+    got = points_in_regions(spark.createDataFrame(points, "key int, y double, x double"), rings_from_wkt(spark.createDataFrame(shapes, "id int, w string"), "id", "w"))
+    assert {(r["key"], r["region"], r["on_boundary"]) for r in got.collect()} == {(2, 1, False), (3, 2, False), (4, 2, False), (6, 1, True)}

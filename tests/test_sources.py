@@ -27,6 +27,17 @@ def test_station_text(spark, tmp_path):
     assert [sorted(r["fields"].values()) for r in got] == [[24.5, 80.0], [81.0], [1024.5]]
 
 
+def test_station_text_in_other_forms(spark, tmp_path):
+    """Latin-1 and UTF-8 files side by side, and another separator and header."""
+    (tmp_path / "a.csv").write_bytes(FILE.replace("CODIGO", "CÓDIGO").replace("ESTACAO", "ESTAÇÃO").encode("latin-1"))
+    (tmp_path / "b.csv").write_text(FILE.replace("CODIGO", "CÓDIGO"), encoding="utf-8")
+    got = stations.read_station_text(spark, str(tmp_path)).collect()
+    assert len(got) == 6 and {r["station_id"] for r in got} == {"A521"} and {r["file"] for r in got} == {"a.csv", "b.csv"}
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "x.txt").write_text(FILE.replace(";", "|").replace("Data|Hora", "Date|Time"))
+    assert stations.read_station_text(spark, str(tmp_path / "c"), separator="|", header=("date", "time")).count() == 3
+
+
 def test_columns(spark):
     assert stations.find_column(["Código IBGE", "NM_MUN"], ["nm mun"]) == "NM_MUN"
     assert stations.find_column(["x", "Latitude (graus)"], ["latitude"]) == "Latitude (graus)"
@@ -53,6 +64,18 @@ def test_sinks(spark, tmp_path):
     assert len(made) == 2
 
 
+def test_reuse_after_a_crash(spark, tmp_path, monkeypatch):
+    """A run that dies between the data and their mark leaves other stamps' data alone, and its own is made again."""
+    frames = {v: spark.createDataFrame([(v,)], "v int") for v in (1, 2)}
+    use = lambda v: sinks.reuse(spark, f"{tmp_path}/cache", {"v": v}, lambda: frames[v]).first()["v"]
+    assert use(1) == 1
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "createDataFrame", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            use(2)
+    assert use(1) == 1 and use(2) == 2 and use(1) == 1
+
+
 def test_stream(spark):
     got = stream_hours(spark, "/root/testdata/sf0.001")
     n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("ts is not null and value is not null").count()

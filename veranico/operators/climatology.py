@@ -81,7 +81,7 @@ def doy_quantile_table(df: DataFrame, keys: Sequence[str], day: str, values: Map
     none = [F.array().cast("array<double>").alias(x) for x in names.values()]
     empty = days.select(*keys).distinct().select(*keys, F.lit(None).cast("int").alias("doy"), *none, F.explode(F.sequence(F.lit(1), F.lit(365))).alias("at"))
     w = Window.partitionBy(*keys).orderBy("at").rangeBetween(-half, half)
-    pooled = wide.unionByName(empty).withColumns({x: F.array_sort(F.flatten(F.collect_list(x).over(w))) for x in names.values()})
+    pooled = wide.unionByName(empty).withColumns({x: F.sort_array(F.flatten(F.collect_list(x).over(w))) for x in names.values()})
     some = F.lit(False)
     for x in names.values():
         some = some | (F.size(x) > 0)

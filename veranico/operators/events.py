@@ -25,12 +25,12 @@ def islands(df: DataFrame, keys: Sequence[str], day: str, flag: Column, *, also:
     return on.withColumn("run_length", F.count(F.lit(1)).over(Window.partitionBy(*keys, *also, "island"))).drop("__at")
 
 
-def persistent_days(df: DataFrame, keys: Sequence[str], day: str, flag: Column, least: int = 3) -> DataFrame:
+def persistent_days(df: DataFrame, keys: Sequence[str], day: str, flag: Column, least: int | Column = 3) -> DataFrame:
     """The rows that belong to a run of at least ``least`` days."""
     return islands(df, keys, day, flag).filter(F.col("run_length") >= least)
 
 
-def annual_events(df: DataFrame, keys: Sequence[str], day: str, flag: Column, severity: Column, least: int = 3) -> DataFrame:
+def annual_events(df: DataFrame, keys: Sequence[str], day: str, flag: Column, severity: Column, least: int | Column = 3) -> DataFrame:
     """(keys, year, frequency, duration, intensity) of runs of at least ``least`` days.
 
     An event counts in the year it starts; days and severity count in their own
@@ -63,8 +63,8 @@ def state_episodes(df: DataFrame, keys: Sequence[str], day: str, core: Column, s
     return runs.groupBy(*keys, F.year(day).alias("year"), "state").agg(F.count(F.lit(1)).alias("n_days"), F.sum("__starts").alias("episodes"))
 
 
-def sweep(df: DataFrame, scenarios: Mapping[str, Column], keys: Sequence[str], day: str, severity: Column, least: int = 3) -> DataFrame:
-    """annual_events of several flags in one plan: (scenario, keys, year, ...)."""
-    flags = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.coalesce(c, F.lit(False)).alias("on")) for n, c in scenarios.items()]))
-    each = df.withColumn("__s", flags).withColumn("scenario", F.col("__s.scenario")).withColumn("__on", F.col("__s.on"))
-    return annual_events(each, ["scenario", *keys], day, F.col("__on"), severity, least)
+def sweep(df: DataFrame, scenarios: Mapping[str, tuple[Column, int]], keys: Sequence[str], day: str, severity: Column) -> DataFrame:
+    """annual_events of several flags, each with its least run length, in one plan: (scenario, keys, year, ...)."""
+    flags = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.coalesce(c, F.lit(False)).alias("on"), F.lit(least).alias("least")) for n, (c, least) in scenarios.items()]))
+    each = df.withColumn("__s", flags).withColumn("scenario", F.col("__s.scenario")).withColumn("__on", F.col("__s.on")).withColumn("__least", F.col("__s.least"))
+    return annual_events(each, ["scenario", *keys], day, F.col("__on"), severity, F.col("__least"))

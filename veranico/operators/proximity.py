@@ -47,22 +47,31 @@ def circles(points: DataFrame, radius_km: float, corners: int = 24, margin: floa
 
 
 def rings_from_wkt(df: DataFrame, key: str, wkt: str) -> DataFrame:
-    """(region, ring) of POLYGON texts with one ring; texts that are NULL or hold under three vertices are left out."""
-    pairs = F.regexp_extract_all(F.col(f"`{wkt}`"), F.lit(r"(-?\d+(?:\.\d+)?\s+-?\d+(?:\.\d+)?)"), 1)
-    ring = F.transform(pairs, lambda s: F.struct(F.split(s, r"\s+")[0].cast("double").alias("x"), F.split(s, r"\s+")[1].cast("double").alias("y")))
-    out = df.filter(F.col(f"`{wkt}`").startswith("POLYGON")).select(F.col(f"`{key}`").alias("region"), ring.alias("ring")).filter(F.size("ring") >= 3)
+    """(region, ring) of POLYGON and MULTIPOLYGON texts, a row for each ring of a region.
+
+    As crossings are counted over all of a region's rings, holes are outside
+    and parts inside. Numbers may have exponents, and points a third
+    coordinate. Rings of under three vertices, NULL texts and other shapes are left out.
+    """
+    text = F.upper(F.trim(F.col(f"`{wkt}`")))
+    rings = F.regexp_extract_all(text, F.lit(r"\(([^()]+)\)"), 1)
+    corner = lambda p: F.transform(F.slice(F.split(F.trim(p), r"\s+"), 1, 2), lambda n: n.try_cast("double"))
+    vertex = lambda p: F.struct(F.get(corner(p), 0).alias("x"), F.get(corner(p), 1).alias("y"))
+    shapes = df.filter(text.rlike(r"^(MULTI)?POLYGON\b")).select(F.col(f"`{key}`").alias("region"), F.explode(rings).alias("r"))
+    out = shapes.select("region", F.filter(F.transform(F.split("r", ","), vertex), lambda v: v["x"].isNotNull() & v["y"].isNotNull()).alias("ring")).filter(F.size("ring") >= 3)
     closed = F.when(F.element_at("ring", 1) == F.element_at("ring", -1), F.col("ring")).otherwise(F.concat("ring", F.slice("ring", 1, 1)))
     return out.select("region", closed.alias("ring"))
 
 
 def points_in_regions(points: DataFrame, regions: DataFrame, *, tile_deg: float = 0.25, rows_per_salt: int = 100_000) -> DataFrame:
-    """Pairs (key, region, on_boundary) of points (key, y, x) and regions (region, ring) that hold them.
+    """Pairs (key, region, on_boundary) of points (key, y, x) and regions (region, ring, one row or more) that hold them.
 
     Points on an edge or vertex come out with ``on_boundary`` true. Repeated
     keys give one row per key and region; empty inputs give no rows. Keys and
     region ids must not be NULL. Rings with crossing edges follow the even-odd
     rule. Regions may overlap, and a point in several comes out with each.
     """
+    # A ray starts at the west end of its own ring, so each ring's crossings come in whole.
     edges = (
         regions.select(
             "region",
@@ -97,11 +106,14 @@ def pairs_within(points: DataFrame, others: DataFrame, radius_km: float, *, tile
     """Pairs (key, region, km) of points (key, y, x) at most ``radius_km`` from the others (key, y, x).
 
     Each of the others becomes a ring that encloses its circle; crossing parity
-    finds the points inside, and the exact great-circle distance decides. Keys
-    of both sides must be unique; a key with several points gives a row each.
+    finds the points inside, and the exact great-circle distance decides. Both
+    points travel in the keys, so no keyed join follows, in which one of the
+    others amid a crowd would be a hot group. A key with several points gives a
+    row for each pair in reach.
     """
-    inside = points_in_regions(points, circles(others, radius_km), tile_deg=tile_deg, rows_per_salt=rows_per_salt).select("key", "region")
-    a = points.select("key", F.col("y").alias("ya"), F.col("x").alias("xa"))
-    b = others.select(F.col("key").alias("region"), F.col("y").alias("yb"), F.col("x").alias("xb"))
-    km = haversine_km(F.col("ya"), F.col("xa"), F.col("yb"), F.col("xb"))
-    return inside.join(a, "key").join(b, "region").select("key", "region", km.alias("km")).filter(F.col("km") <= radius_km)
+    located = points.select(F.struct("key", "y", "x").alias("key"), "y", "x")
+    centred = others.select(F.struct("key", "y", "x").alias("key"), "y", "x")
+    inside = points_in_regions(located, circles(centred, radius_km), tile_deg=tile_deg, rows_per_salt=rows_per_salt)
+    a, b = F.col("key"), F.col("region")
+    km = haversine_km(a["y"], a["x"], b["y"], b["x"])
+    return inside.select(a["key"].alias("key"), b["key"].alias("region"), km.alias("km")).filter(F.col("km") <= radius_km)

@@ -26,7 +26,7 @@ def _poisson(reps: int, blocks: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).poisson(1.0, (reps, blocks)).astype(float)
 
 
-def spline_curve(df: DataFrame, key: str, row_id: str, x: str, y: str, w: str | None = None, *, points: int = 25, blocks: int = 50, reps: int = 200, least: int = 60, seed: int = 42) -> DataFrame:
+def spline_curve(df: DataFrame, key: str, row_id: str, x: str, y: str, w: str | None = None, *, points: int = 25, blocks: int = 50, reps: int = 300, least: int = 60, seed: int = 42) -> DataFrame:
     """(key, x, fit, low, high): cubic B-spline with three degrees of freedom by weighted least squares, with a block-bootstrap band.
 
     Without inner knots the basis is the Bernstein basis over the range of x.
@@ -60,7 +60,7 @@ def spline_curve(df: DataFrame, key: str, row_id: str, x: str, y: str, w: str |
     return per_block.groupBy("key").applyInPandas(solve, f"key {kind}, x double, fit double, low double, high double").withColumnRenamed("key", key)
 
 
-def lowess_curve(df: DataFrame, key: str, row_id: str, x: str, y: str, *, frac: float = 0.65, points: int = 25, blocks: int = 50, reps: int = 200, least: int = 10, seed: int = 42) -> DataFrame:
+def lowess_curve(df: DataFrame, key: str, row_id: str, x: str, y: str, *, frac: float = 0.65, points: int = 25, blocks: int = 50, reps: int = 300, least: int = 10, seed: int = 42) -> DataFrame:
     """(key, x, fit, low, high): locally weighted lines at ``points`` places with one robustness step and a block-bootstrap band.
 
     The bandwidth at a place is the distance to the nearest ``frac`` of the

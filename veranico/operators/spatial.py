@@ -11,24 +11,35 @@ from veranico.operators.proximity import points_in_regions
 from veranico.session import cut, null_if_nan
 
 
-def nearest(points: DataFrame, others: DataFrame, *, start_deg: float = 0.5, farthest_deg: float = 512.0) -> DataFrame:
+def nearest(points: DataFrame, others: DataFrame, *, start_deg: float | None = None, farthest_deg: float = 512.0, per_tile: int = 64, rows_per_salt: int = 100_000) -> DataFrame:
     """(key, near, degrees): for each point (key, y, x) the nearest other (key, y, x), by Euclidean degrees; ties go to the smaller key.
 
     Points search the tiles around them; those without a hit within the reach
-    search again with twice the reach, so dense areas never meet far ones.
+    search again with twice the reach, so dense areas never meet far ones. The
+    first reach is the largest at which no tile holds more than ``per_tile`` of
+    the others, down to a thousandth of a degree, unless ``start_deg`` gives
+    it; tiles with many points are split by a measured number of salts.
     Points without coordinates, and all points if there are no others, give no
     rows.
     """
     left = cut(points.filter("x is not null and y is not null").select("key", "y", "x"))
     there = cut(others.filter("x is not null and y is not null").select(F.col("key").alias("near"), F.col("y").alias("ny"), F.col("x").alias("nx")))
-    out, reach = None, start_deg
+    out, reach = None, start_deg or 0.512
+    at = lambda r: [F.floor(F.col("ny") / r), F.floor(F.col("nx") / r)]
+    while start_deg is None and reach > 0.002 and not there.groupBy(*at(reach)).count().filter(F.col("count") > per_tile).isEmpty():
+        reach /= 2
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     while reach <= farthest_deg and not left.isEmpty():
         tile = lambda v: F.floor(F.col(v) / reach)  # noqa: E731, B023
         a = left.withColumn("s", around).select("key", "y", "x", (tile("y") + F.col("s.a")).alias("ty"), (tile("x") + F.col("s.b")).alias("tx"))
         b = there.select("near", "ny", "nx", tile("ny").alias("ty"), tile("nx").alias("tx"))
+        # At most points / rows_per_salt tiles.
+        hot = a.groupBy("ty", "tx").count().filter(F.col("count") > rows_per_salt).select("ty", "tx", F.ceil(F.col("count") / rows_per_salt).cast("int").alias("salts"))
+        salts = F.coalesce("salts", F.lit(1))
+        a = a.join(hot, ["ty", "tx"], "left").withColumn("salt", F.pmod(F.xxhash64("key"), salts).cast("int")).drop("salts")
+        b = b.join(hot, ["ty", "tx"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
         d = F.sqrt((F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny")) + (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")))
-        best = a.join(b, ["ty", "tx"]).groupBy("key").agg(F.min(F.struct(d.alias("degrees"), "near")).alias("m"))
+        best = a.join(b, ["ty", "tx", "salt"]).groupBy("key").agg(F.min(F.struct(d.alias("degrees"), "near")).alias("m"))
         hit = cut(best.filter(F.col("m.degrees") <= reach).select("key", "m.near", "m.degrees"))
         out = hit if out is None else out.unionByName(hit)
         left = cut(left.join(hit.select("key"), "key", "left_anti"))

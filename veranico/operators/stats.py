@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veranico.functions.thermo import normal_tail
+from veranico.operators.weighted import linear_quantiles, weighted_cdf
 from veranico.session import cut, join_groups, null_if_nan
 
 
@@ -20,8 +21,6 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
     Ranks come from counts per distinct value with running sums over stretches
     of values, so a very large group isn't ranked in one task.
     """
-    from veranico.operators.weighted import weighted_cdf
-
     keys = list(keys)
     ones = df.select(*keys, null_if_nan(value).cast("double").alias("__v")).withColumn("__one", F.lit(1.0))
     cdf = weighted_cdf(ones, keys, "__v", "__one").select(*keys, F.col("v").alias("__v"), (F.col("upto") - (F.col("w") - 1) / 2).alias(out))
@@ -53,11 +52,11 @@ def weighted_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, w: str
     return ranked.groupBy(*keys).agg(n.alias("n"), F.when(n >= least, _weighted_corr(F.col("rx"), F.col("ry"), F.col("w"))).alias("rho"))
 
 
-def permutation_p(df: DataFrame, row_id: str, x: str, y: str, w: str, *, permutations: int = 99) -> DataFrame:
+def permutation_p(df: DataFrame, row_id: str, x: str, y: str, w: str, *, permutations: int = 999) -> DataFrame:
     """(n, rho, exceed, p_value): how often permuted ranks correlate at least as strongly.
 
     The k-th permutation orders the rows by md5 of id and k, and hands the
-    i-th row in that order the y of the i-th row by id; p is
+    i-th row in that order the y of the i-th row in the order for k = 0; p is
     (exceed + 1) / (permutations + 1). Orders are made with running counts over
     stretches of hash values, so no permutation is sorted in one task. One row
     comes out, with NULLs on an empty table.
@@ -65,9 +64,10 @@ def permutation_p(df: DataFrame, row_id: str, x: str, y: str, w: str, *, permuta
     rows = df.select(F.col(row_id).alias("id"), null_if_nan(x).cast("double").alias("x"), null_if_nan(y).cast("double").alias("y"), null_if_nan(w).cast("double").alias("w")).filter("x is not null and y is not null and w > 0")
     ranked = average_ranks(average_ranks(rows, [], "x", "rx"), [], "y", "ry").select("id", "rx", "ry", "w")
     ranked = cut(ranked)
-    base = _place(ranked.withColumn("perm", F.lit(0)).withColumn("h", F.lpad(F.col("id").cast("string"), 20, "0")), ["perm"])
+    hashed = lambda d: d.withColumn("h", F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("perm").cast("string"))))
+    base = _place(hashed(ranked.withColumn("perm", F.lit(0))), ["perm"])
     perms = ranked.select("id", "rx", "w", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    perms = _place(perms.withColumn("h", F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("perm").cast("string")))), ["perm"])
+    perms = _place(hashed(perms), ["perm"])
     shuffled = perms.join(base.select(F.col("place"), F.col("ry")), "place").groupBy("perm").agg(_weighted_corr(F.col("rx"), F.col("ry"), F.col("w")).alias("r"))
     observed = ranked.agg(F.count(F.lit(1)).alias("n"), _weighted_corr(F.col("rx"), F.col("ry"), F.col("w")).alias("rho"))
     both = observed.crossJoin(F.broadcast(shuffled.agg(F.collect_list("r").alias("rs"))))  # one row each, `permutations` numbers
@@ -76,9 +76,8 @@ def permutation_p(df: DataFrame, row_id: str, x: str, y: str, w: str, *, permuta
 
 
 def _place(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds place: the 1-based order of ``h`` (unique) within keys, counted over stretches of its first two characters."""
-    part = F.substring("h", 1, 2) if "perm" in keys else F.lit("")
-    df = df.withColumn("part", part)
+    """Adds place: the 1-based order of the hash ``h`` (hexadecimal, unique) within keys, counted over stretches of its first three characters."""
+    df = df.withColumn("part", F.substring("h", 1, 3))
     sizes = df.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("c"))
     sizes = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
     inner = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("h"))
@@ -120,13 +119,12 @@ def capped_outliers(df: DataFrame, keys: Sequence[str], row_id: str, difference:
 def trim(df: DataFrame, x: str, y: str | None = None, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows with x within its percentiles; with ``y``, then also y within its own percentiles among those."""
     for c in [x, *([y] if y else [])]:
-        v = null_if_nan(c)
-        lim = df.agg(F.percentile(v, F.array(F.lit(low), F.lit(high))).alias("__lim"))
-        df = df.crossJoin(F.broadcast(lim)).filter(v.between(F.col("__lim")[0], F.col("__lim")[1])).drop("__lim")  # one row
+        lim = linear_quantiles(df, [], c, {"__low": low, "__high": high}).drop("n")
+        df = df.crossJoin(F.broadcast(lim)).filter(null_if_nan(c).between(F.col("__low"), F.col("__high"))).drop("__low", "__high")  # one row
     return df
 
 
-def bootstrap_mean(df: DataFrame, keys: Sequence[str], row_id: str, value: str, weight: str, *, reps: int = 200) -> DataFrame:
+def bootstrap_mean(df: DataFrame, keys: Sequence[str], row_id: str, value: str, weight: str, *, reps: int = 500) -> DataFrame:
     """(keys, mean, low, high): weighted mean with the 2.5 and 97.5 percentiles over ``reps`` Poisson resamples.
 
     A row's number of copies in a resample is a Poisson(1) draw from the hash
@@ -135,24 +133,50 @@ def bootstrap_mean(df: DataFrame, keys: Sequence[str], row_id: str, value: str,
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(row_id).alias("id"), null_if_nan(value).cast("double").alias("v"), null_if_nan(weight).cast("double").alias("w")).filter("v is not null and w > 0")
-    u = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("rep").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(1 << 32)) / float(1 << 32)
+    means = _resampled(rows, reps).groupBy(*keys, "rep").agg((F.sum(F.col("v") * F.col("w")) / F.when(F.sum("w") > 0, F.sum("w"))).alias("m"))
+    band = means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    mean = rows.groupBy(*keys).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"))
+    return join_groups(mean, band, keys)
+
+
+def poisson_steps() -> list[float]:
+    """Cumulative probabilities of 0, 1, 2, ... of a Poisson variable of mean 1."""
     steps, p, total = [], math.exp(-1), 0.0
     for k in range(12):
         total += p
-        steps.append(total)
+        steps.append(round(total, 12))
         p /= k + 1
-    times = sum(((u >= s).cast("int") for s in steps[1:]), (u >= steps[0]).cast("int"))
-    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", F.col("w") * times)
-    means = each.groupBy(*keys, "rep").agg((F.sum(F.col("v") * F.col("w")) / F.when(F.sum("w") > 0, F.sum("w"))).alias("m"))
-    band = means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    mean = rows.groupBy(*keys).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"))
-    return join_groups(mean, band, keys)
+    return steps
+
+
+def _resampled(rows: DataFrame, reps: int) -> DataFrame:
+    """Rows (id, w, ...) once per resample ``rep``, their weight times the number of copies drawn."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("rep").cast("string"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    times = sum(((F.col("u") >= s).cast("int") for s in poisson_steps()), F.lit(0))
+    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("u", u)
+    return each.withColumn("w", F.col("w") * times).drop("u").filter("w > 0")
+
+
+def bootstrap_difference(df: DataFrame, keys: Sequence[str], row_id: str, by: str, value: str, weight: str, *, low: float = 0.25, high: float = 0.75, reps: int = 500) -> DataFrame:
+    """(keys, difference, low, high): weighted mean of the rows in the upper part of ``by`` less that in its lower part, with the 2.5 and 97.5 percentiles over resamples.
+
+    The parts lie at or beyond the quantiles ``high`` and ``low`` of ``by`` in
+    the group. Groups without rows in both parts have a NULL difference.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, F.col(row_id).alias("id"), *[null_if_nan(c).cast("double").alias(n) for c, n in ((by, "x"), (value, "v"), (weight, "w"))]).filter("x is not null and v is not null and w > 0")
+    ends = linear_quantiles(rows, keys, "x", {"lo": low, "hi": high}).drop("n")
+    parted = join_groups(rows, ends, keys).withColumn("side", F.when(F.col("x") >= F.col("hi"), 1).when(F.col("x") <= F.col("lo"), 0)).filter("side is not null").select(*keys, "id", "v", "w", "side")
+    mean = lambda s: F.sum(F.when(F.col("side") == s, F.col("v") * F.col("w"))) / F.sum(F.when(F.col("side") == s, F.col("w")))
+    difference = (mean(1) - mean(0)).alias("difference")
+    band = _resampled(parted, reps).groupBy(*keys, "rep").agg(difference).groupBy(*keys).agg(F.percentile("difference", 0.025).alias("low"), F.percentile("difference", 0.975).alias("high"))
+    return join_groups(parted.groupBy(*keys).agg(difference), band, keys)
 
 
 def wls(df: DataFrame, response: str, predictors: Sequence[str], weight: str, *, fixed: Sequence[str] = (), least: int = 80) -> DataFrame:
-    """Weighted least squares with HC3 standard errors: (term, beta, se, z, p_value, n, r2, adj_r2, aic, bic).
+    """Weighted least squares with HC3 standard errors: (term, beta, se, low, high, z, p_value, n, r2, adj_r2, aic, bic).
 
-    ``fixed`` columns enter as indicator columns of their values but the first.
+    low and high bound 95 %. ``fixed`` columns enter as indicator columns of their values but the first.
     The normal equations are sums of products made in one pass; only these
     (terms x terms numbers) reach the driver, and a second pass sums the HC3
     meat with each row's leverage. Rows with a missing field or weight are left
@@ -173,7 +197,7 @@ def wls(df: DataFrame, response: str, predictors: Sequence[str], weight: str, *,
     w, y = F.col("w"), F.col("y")
     sums = [F.sum(w * terms[i] * terms[j]) for i in range(k) for j in range(i, k)] + [F.sum(w * t * y) for t in terms] + [F.sum(w * y * y), F.sum(w * y), F.sum(w), F.count(F.lit(1)), F.sum(F.log(w))]
     got = rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
-    schema = "term string, beta double, se double, z double, p_value double, n long, r2 double, adj_r2 double, aic double, bic double"
+    schema = "term string, beta double, se double, low double, high double, z double, p_value double, n long, r2 double, adj_r2 double, aic double, bic double"
     n = got[len(sums) - 2]
     if n < max(least, k + 1):
         return spark.createDataFrame([], schema)
@@ -204,7 +228,7 @@ def wls(df: DataFrame, response: str, predictors: Sequence[str], weight: str, *,
     out = []
     for name, c, s in zip(names, beta, se):
         z = float(c / s) if s > 0 else None
-        out.append((name, float(c), float(s), z, math.erfc(abs(z) / math.sqrt(2)) if z is not None else None, int(n), None if r2 is None else float(r2), None if r2 is None else float(1 - (1 - r2) * (n - 1) / (n - k)), None if like is None else float(2 * k - 2 * like), None if like is None else float(k * math.log(n) - 2 * like)))
+        out.append((name, float(c), float(s), float(c - 1.959964 * s), float(c + 1.959964 * s), z, math.erfc(abs(z) / math.sqrt(2)) if z is not None else None, int(n), None if r2 is None else float(r2), None if r2 is None else float(1 - (1 - r2) * (n - 1) / (n - k)), None if like is None else float(2 * k - 2 * like), None if like is None else float(k * math.log(n) - 2 * like)))
     return spark.createDataFrame(out, schema)
 
 

@@ -18,7 +18,7 @@ from veranico.session import null_if_nan
 
 def series(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """(keys, pts, n): the points in order of x; NULL and NaN are left out."""
-    pts = F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), null_if_nan(y).cast("double").alias("y"))))
+    pts = F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), null_if_nan(y).cast("double").alias("y"))))
     return df.filter(F.col(x).isNotNull() & null_if_nan(y).isNotNull()).groupBy(*keys).agg(pts.alias("pts")).withColumn("n", F.size("pts"))
 
 
@@ -28,7 +28,7 @@ def _pairs(pts: Column, made) -> Column:
 
 
 def array_median(values: Column) -> Column:
-    s = F.array_sort(values)
+    s = F.sort_array(values)
     n = F.size(s)
     return F.when(n > 0, (F.get(s, ((n - 1) / 2).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2)
 
@@ -108,7 +108,7 @@ def leave_one_out(df: DataFrame, keys: Sequence[str], x: str, y: str, *, least:
     """(keys, n, slope_min, slope_q25, slope_median, slope_q75, slope_max, slope_range) of the slopes with one point omitted in turn."""
     s = series(df, keys, x, y).filter(F.col("n") > least)
     without = F.transform("pts", lambda p: _slope(F.filter("pts", lambda q: q["x"] != p["x"])) * per)
-    s = s.withColumn("b", F.array_sort(without))
+    s = s.withColumn("b", F.sort_array(without))
 
     def q(p: float) -> Column:
         at = F.lit(p) * (F.size("b") - 1)
@@ -116,3 +116,10 @@ def leave_one_out(df: DataFrame, keys: Sequence[str], x: str, y: str, *, least:
         return F.get("b", lo) + (F.coalesce(F.get("b", lo + 1), F.get("b", lo)) - F.get("b", lo)) * (at - lo)
 
     return s.select(*keys, "n", q(0).alias("slope_min"), q(0.25).alias("slope_q25"), q(0.5).alias("slope_median"), q(0.75).alias("slope_q75"), q(1).alias("slope_max"), (q(1) - q(0)).alias("slope_range"))
+
+
+def truncated_slopes(df: DataFrame, keys: Sequence[str], x: str, y: str, *, years: int = 5, least: int = 8, per: float = 10.0) -> DataFrame:
+    """(keys, n, slope_all, slope_late_start, slope_early_end): slopes of the whole series and without its first or last ``years``; NULL under ``least`` points."""
+    s = series(df, keys, x, y).filter(F.col("n") >= least).withColumn("first", F.array_min(F.transform("pts", lambda p: p["x"]))).withColumn("last", F.array_max(F.transform("pts", lambda p: p["x"])))
+    parts = {"slope_all": F.col("pts"), "slope_late_start": F.filter("pts", lambda p: p["x"] >= F.col("first") + years), "slope_early_end": F.filter("pts", lambda p: p["x"] <= F.col("last") - years)}
+    return s.select(*keys, "n", *[F.when(F.size(pts) >= least, _slope(pts) * per).alias(name) for name, pts in parts.items()])

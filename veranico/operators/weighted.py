@@ -21,7 +21,7 @@ def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, weight: str) -
     return _both(df, keys, value, weight).groupBy(*keys).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-def weighted_cdf(df: DataFrame, keys: Sequence[str], value: str, weight: str, *, stretches: int = 64) -> DataFrame:
+def weighted_cdf(df: DataFrame, keys: Sequence[str], value: str, weight: str, *, stretches: int = 256) -> DataFrame:
     """(keys, v, w, upto, total): per distinct value its weight and the weight up to it.
 
     Equal values are merged first. A group's values are cut into stretches at
@@ -65,6 +65,23 @@ def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: s
     return found.select(*keys, *[between(name, p).alias(name) for name, p in probs.items()])
 
 
+def linear_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """(keys, names of ``probs``, n): unweighted quantiles, linear between the two values around rank p (n - 1).
+
+    Made from running counts over stretches of distinct values, so neither a
+    group nor a whole table is held by one task. Groups without values give no
+    rows; without keys one row comes out, with NULLs if there are no values.
+    """
+    cdf = weighted_cdf(df.select(*keys, null_if_nan(value).cast("double").alias("__x"), F.lit(1.0).alias("__one")), keys, "__x", "__one")
+    at = {name: (F.col("total") - 1) * p for name, p in probs.items()}
+    picks = []
+    for name, r in at.items():
+        picks += [F.min(F.when(F.col("upto") >= F.floor(r) + 1, F.col("v"))).alias(f"{name}_lo"), F.min(F.when(F.col("upto") >= F.ceil(r) + 1, F.col("v"))).alias(f"{name}_hi")]
+    found = cdf.groupBy(*keys).agg(F.max("total").alias("total"), *picks)
+    between = [(F.col(f"{n}_lo") + (F.coalesce(f"{n}_hi", f"{n}_lo") - F.col(f"{n}_lo")) * (r - F.floor(r))).alias(n) for n, r in at.items()]
+    return found.select(*keys, *between, F.col("total").cast("long").alias("n"))
+
+
 def weighted_zscore(df: DataFrame, keys: Sequence[str], value: str, weight: str, out: str = "z") -> DataFrame:
     """Adds ``out``: the value's distance from the weighted mean in weighted population standard deviations.
 

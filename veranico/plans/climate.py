@@ -62,7 +62,7 @@ def local_shift(uf: str = "uf") -> Column:
 def o03_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One value per day and cell of the grid's box, whatever the version of the data."""
     raw = clean_missing(table(spark, sf_dir, "daily_grid").select(F.col("obs_date").alias("time"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "expver", "tmax"))
-    return dated(standardise_grid(raw, ["time", "lat", "lon", "tmax"], (-20.0, 0.0, -60.0, -40.0)))
+    return dated(standardise_grid(raw, ["time", "lat", "lon", "tmax"]))
 
 
 def o46_daily_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +127,14 @@ def o40_annual_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ev.annual_events(x, ["k"], "day", F.col("v") >= F.col("p75"), F.col("v") - F.col("p75"), least=2), 6)
 
 
+# Scenarios: threshold and least length.
+_SCENARIOS = {"primary": ("p75", 2), "lower": ("p50", 2), "higher": ("p90", 2), "shorter": ("p75", 1), "longer": ("p75", 3), "lower_longer": ("p50", 3)}
+
+
 def o85_scenario_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other thresholds and other least lengths beside the primary ones."""
     x = _exceedance(spark, sf_dir)
-    return rounded(ev.sweep(x, {n: F.col("v") >= F.col(n) for n in ("p50", "p75", "p90")}, ["k"], "day", F.col("v") - F.col("p50"), least=2), 6)
+    return rounded(ev.sweep(x, {n: (F.col("v") >= F.col(p), least) for n, (p, least) in _SCENARIOS.items()}, ["k"], "day", F.col("v") - F.col("p50")), 6)
 
 
 def o41_persistent_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,6 +213,11 @@ def o84_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tr.leave_one_out(annual_orders(spark, sf_dir), ["k"], "y", "v", least=5), 4)
 
 
+def o84_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slopes of the whole period and of periods that start later or end earlier."""
+    return rounded(tr.truncated_slopes(annual_orders(spark, sf_dir), ["k"], "y", "v", years=2, least=4), 4)
+
+
 def o76_trend_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the trends of two series of a nation have the same sign."""
     m = monthly_orders(spark, sf_dir)
@@ -259,6 +269,17 @@ def o86_vpd_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(means.withColumn("closure", F.col("vpd") - (F.col("es") - F.col("ea"))), 5)
 
 
+def o86_vpd_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend of the deficit per region against the difference of the trends of its two parts."""
+    grid = clean_missing(table(spark, sf_dir, "daily_grid").select("region", "obs_date", "tmean", "rhmean", "vpdmean")).filter("tmean is not null and rhmean is not null and vpdmean is not null")
+    es = th.saturation_pressure("tmean", "magnus_hpa")
+    means = grid.groupBy("region", F.datediff("obs_date", F.lit("2000-01-01")).alias("day")).agg(F.avg(es).alias("es"), F.avg(es * F.col("rhmean") / 100).alias("ea"), F.avg("vpdmean").alias("vpd"))
+    parts = means.select("region", "day", F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.round(c, 6).alias("v")) for c in ("es", "ea", "vpd")])).alias("e")).select("region", "day", "e.*")
+    slopes = tr.theil_sen(parts, ["region", "part"], "day", "v", per=30.0)
+    wide = slopes.groupBy("region").agg(*[F.max(F.when(F.col("part") == c, F.col("slope"))).alias(c) for c in ("vpd", "es", "ea")], F.max("n").alias("n"))
+    return rounded(wide.withColumn("components", F.col("es") - F.col("ea")).withColumn("difference", F.col("vpd") - F.col("components")), 5)
+
+
 def o22_physical_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings out of physical range become missing; a dew point over 0.5 above the temperature too."""
     clean = qc.hourly_qc(table(spark, sf_dir, "station_hourly").select("station_id", *qc.HOURLY_LIMITS))
@@ -290,7 +311,7 @@ QUERIES = {
     for f in (
         o03_standardise, o26_regimes, o26_regime_events, o46_daily_resample, o47_daily_min_count, o48_monthly_climatology, o49_annual_mean, o50_doy_quantiles, o50_cell_quantiles, o51_doy_moments, o40_annual_events,
         o85_scenario_sweep, o41_persistent_days, o27_four_states, o42_state_episodes, o43_state_pivot, o44_event_severity, o45_valid_years, o72_kendall_p, o92_metric_matrix, o63_coverage, o67_theil_sen, o68_mann_kendall,
-        o71_conditional_trend, o84_leave_one_out, o76_trend_agreement, o35_thermo, o39_severity, o86_vpd_parts, o22_physical_qc, o22_daily_qc, o33_tolerant_lookup, o39d_cell_area, stream_hours,
+        o71_conditional_trend, o84_leave_one_out, o84_truncated, o76_trend_agreement, o35_thermo, o39_severity, o86_vpd_parts, o86_vpd_slopes, o22_physical_qc, o22_daily_qc, o33_tolerant_lookup, o39d_cell_area, stream_hours,
     )
 }
 
@@ -321,7 +342,7 @@ def _pool(source: str, keys: str, day: str, value: str) -> str:
 _EXC = f"{_D}, {_pool('(select * from d where year(day) between 1995 and 2000)', 'k', 'day', 'v')}, q as (select k, doy, quantile_cont(x, 0.5) p50, quantile_cont(x, 0.75) p75, quantile_cont(x, 0.9) p90 from p group by 1, 2), x as (select d.*, p50, p75, p90 from d left join q on d.k = q.k and {_doy('d.day')} = q.doy)"
 
 
-def _events(source: str, keys: str, flag: str, sev: str, least: int, day: str = "day") -> str:
+def _events(source: str, keys: str, flag: str, sev: str, least: int | str, day: str = "day") -> str:
     return f"""
 r0 as (select *, {_AT(day)} - row_number() over (partition by {keys} order by {day}) isl from {source} where {flag} and {_doy(day)} is not null),
 r1 as (select *, count(*) over (partition by {keys}, isl) len, min({day}) over (partition by {keys}, isl) first from r0),
@@ -375,7 +396,7 @@ def _zpos(v: str, m: str, s: str) -> str:
 
 
 SQL = {
-    "o03_standardise": f"select obs_date::varchar as time, lat, ((lon + 180) % 360) - 180 lon, max({_n('tmax')}) tmax from daily_grid where lat between -20 and 0 and lon between -60 and -40 group by 1, 2, 3",
+    "o03_standardise": f"select obs_date::varchar as time, lat, ((lon + 180) % 360) - 180 lon, max({_n('tmax')}) tmax from daily_grid where lat between -35 and 6 and lon between -75 and -32 group by 1, 2, 3",
     "o26_regimes": f"with {_REG} select region, " + ", ".join(f'count(*) filter ({c}) "{c.upper()}"' for c in ("hw", "hhw", "dhw", "chw")) + ", count(*) n_days from y group by 1",
     "o26_regime_events": f"with {_REG}, z as (" + " union all ".join(f"select '{c.upper()}' regime, {c} flag, {'tmean - tmean_p90' if c == 'hw' else 'tmax - tmax_p95'} sev, * from y" for c in ("hw", "hhw", "dhw", "chw")) + "), e as (" + _events("z", "regime, cell_id", "flag", "sev", 3, "obs_date").replace("\nr0 as", "with r0 as", 1) + ") select regime, year, sum(frequency)::bigint frequency, sum(duration)::bigint duration, round(sum(intensity), 3) intensity from e group by 1, 2",
     "o46_daily_resample": f"select station_id, cast(cast(obs_time as date) as varchar) period, count({_T}) n_tair_c, round(avg({_T}), 6) tair_c_mean, max({_T}) tair_c_max, min({_T}) tair_c_min, count({_RH}) n_rh_pct, round(avg({_RH}), 6) rh_pct_mean from station_hourly where obs_time is not null group by 1, 2",
@@ -388,7 +409,7 @@ from station_hourly where obs_time is not null group by 1, 2 having count({_T})
     "o50_cell_quantiles": f"with {_CELL}, {_pool('c', 'cell_id', 'obs_date', 'tmax')} select cell_id, doy, round(quantile_cont(x, 0.9), 4) p90 from p group by 1, 2",
     "o51_doy_moments": f"with {_CELL}, {_moments('tmax', 1, 'g')} select region, doy, round(mean + 1e-9, 6) mean, round(std + 1e-9, 6) std, n from g",
     "o40_annual_events": f"with {_EXC}, {_events('x', 'k', 'v >= p75', '(v - p75)', 2)}",
-    "o85_scenario_sweep": f"with {_EXC}, z as (select 'p50' scenario, v >= p50 flag, * from x union all select 'p75', v >= p75, * from x union all select 'p90', v >= p90, * from x), {_events('z', 'scenario, k', 'flag', '(v - p50)', 2)}",
+    "o85_scenario_sweep": f"with {_EXC}, z as (" + " union all ".join(f"select '{n}' scenario, v >= {p} flag, {least} least, * from x" for n, (p, least) in _SCENARIOS.items()) + f"), {_events('z', 'scenario, k', 'flag', '(v - p50)', 'least')}",
     "o41_persistent_days": f"with {_CELL}, r0 as (select *, {_AT('obs_date')} - row_number() over (partition by cell_id order by obs_date) isl from c where tmax >= 34 and {_doy('obs_date')} is not null), r1 as (select cell_id, obs_date::varchar obs_date, count(*) over (partition by cell_id, isl) run_length from r0) select * from r1 where run_length >= 3",
     "o27_four_states": f"with {_CELL} select region, {_STATES} state, count(*) n_days, count(distinct cell_id) n_cells from c group by 1, 2",
     "o42_state_episodes": f"with {_EPISODES} select * from e",
@@ -420,6 +441,10 @@ select k, n::bigint n, round(slope, 4) slope, round(ols_slope, 4) ols_slope, rou
 s as (select a.k, o.m om, median((b.v - a.v) / (b.m - a.m)) * 10 b from m a join m b on a.k = b.k and b.m > a.m join m o on o.k = a.k and o.m <> a.m and o.m <> b.m group by 1, 2)
 select k, n, round(min(b), 4) slope_min, round(quantile_cont(b, 0.25), 4) slope_q25, round(quantile_cont(b, 0.5), 4) slope_median, round(quantile_cont(b, 0.75), 4) slope_q75, round(max(b), 4) slope_max, round(max(b) - min(b), 4) slope_range
 from s join n using (k) where n > 5 group by 1, 2""",
+    "o84_truncated": f"""with {_D}, m as (select k, year(day) as m, round(avg(v), 6) v from d group by 1, 2), n as (select k, count(*) n, min(m) f, max(m) l from m group by 1),
+p as (select 'slope_all' part, m.* from m union all select 'slope_late_start', m.* from m join n using (k) where m >= f + 2 union all select 'slope_early_end', m.* from m join n using (k) where m <= l - 2),
+c as (select part, k, count(*) c from p group by 1, 2), s as (select a.part, a.k, median((b.v - a.v) / (b.m - a.m)) * 10 b from p a join p b on a.part = b.part and a.k = b.k and b.m > a.m group by 1, 2)
+select n.k, n.n, """ + ", ".join(f"round(max(b) filter (part = '{x}' and c >= 4), 4) {x}" for x in ("slope_all", "slope_late_start", "slope_early_end")) + " from n join c using (k) join s using (k, part) where n.n >= 4 group by 1, 2",
     "o76_trend_agreement": f"""with {_M}, q as (select c_nationkey k, year(o_orderdate) * 12 + month(o_orderdate) m, round(avg(l_quantity), 4) v from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by 1, 2),
 sa as (select a.k, median((b.v - a.v) / (b.m - a.m)) b from m a join m b on a.k = b.k and b.m > a.m group by 1), sb as (select a.k, median((b.v - a.v) / (b.m - a.m)) b from q a join q b on a.k = b.k and b.m > a.m group by 1)
 select count(*) n, round(avg(case when sign(sa.b) = sign(sb.b) then 100.0 else 0.0 end), 6) same_sign_pct from sa join sb using (k)""",
@@ -430,6 +455,9 @@ round({_T} * atan(0.151977 * sqrt({_RH1} + 8.313659)) + atan({_T} + {_RH1}) - at
     "o39_severity": f"""with {_CELL}, {_moments('tmax', 0, 'g1')}, {_moments('vpdmean', 0, 'g2')},
 e as (select c.region, {_zpos('tmax', 'g1.mean', 'g1.std')} zt, {_zpos('vpdmean', 'g2.mean', 'g2.std')} zv from c join g1 on c.region = g1.region and g1.doy = {_doy('obs_date')} join g2 on c.region = g2.region and g2.doy = {_doy('obs_date')})
 select region, round(avg(zt), 4) z_tmax, round(avg(zv), 4) z_vpd, round(avg(0.5 * zt + 0.5 * zv), 4) severity, round(max(0.5 * zt + 0.5 * zv), 4) max_severity from e group by 1""",
+    "o86_vpd_slopes": f"""with g as (select region, obs_date - date '2000-01-01' as day, {_n('tmean')} t, {_n('rhmean')} r, {_n('vpdmean')} v from daily_grid), e as (select region, day, round(avg({_es('t', 6.112, 17.62, 243.12)}), 6) es, round(avg({_es('t', 6.112, 17.62, 243.12)} * r / 100), 6) ea, round(avg(v), 6) vpd from g where t is not null and r is not null and v is not null group by 1, 2),
+s as (select a.region, median((b.vpd - a.vpd) / (b.day - a.day)) * 30 vpd, median((b.es - a.es) / (b.day - a.day)) * 30 es, median((b.ea - a.ea) / (b.day - a.day)) * 30 ea from e a join e b on a.region = b.region and b.day > a.day group by 1), n as (select region, count(*) n from e group by 1)
+select region, round(case when n >= 20 then vpd end, 5) vpd, round(case when n >= 20 then es end, 5) es, round(case when n >= 20 then ea end, 5) ea, n, round(case when n >= 20 then es - ea end, 5) components, round(case when n >= 20 then vpd - (es - ea) end, 5) difference from n left join s using (region)""",
     "o86_vpd_parts": f"""with g as (select region, month(obs_date) as month, {_n('tmean')} t, {_n('rhmean')} r, {_n('vpdmean')} v from daily_grid), e as (select region, month, avg({_es('t', 6.112, 17.62, 243.12)}) es, avg({_es('t', 6.112, 17.62, 243.12)} * r / 100) ea, avg(v) vpd from g where t is not null and r is not null and v is not null group by 1, 2)
 select region, month, round(es, 5) es, round(ea, 5) ea, round(vpd, 5) vpd, round(vpd - (es - ea), 5) closure from e""",
     "o22_physical_qc": f"""with x as (select station_id, case when {_T} between -20 and 50 then {_T} end t, case when {_TD} between -30 and 35 then {_TD} end td, case when {_RH} between 1 and 100 then {_RH} end rh, case when {_n('ws_ms')} between 0 and 60 then {_n('ws_ms')} end ws from station_hourly)

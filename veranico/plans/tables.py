@@ -13,7 +13,7 @@ from veranico.operators import weighted as wt
 from veranico.operators.proximity import rings_from_wkt, valid_points
 from veranico.plans.climate import _CELL, _n, cell_days, rounded
 from veranico.plans.problems import BOX
-from veranico.session import clean_missing, null_if_nan, table
+from veranico.session import clean_missing, join_groups, null_if_nan, table
 
 _Q = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -59,7 +59,10 @@ def o58_dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o59_region_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = towns(spark, sf_dir)
     cols = ("vpd_trend_decade", "rh_trend_decade", "transformed_non_native_pct_2024")
-    return rounded(t.groupBy("focus_region").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(c, p).alias(f"{c}_{n}") for c in cols for n, p in _Q.items()]))
+    long = t.select("focus_region", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols])).alias("e")).select("focus_region", "e.*")
+    quantiles = wt.linear_quantiles(long, ["focus_region", "c"], "v", _Q)
+    wide = quantiles.groupBy("focus_region").agg(*[F.max(F.when(F.col("c") == c, F.col(n))).alias(f"{c}_{n}") for c in cols for n in _Q])
+    return rounded(join_groups(t.groupBy("focus_region").agg(F.count(F.lit(1)).alias("n")), wide, ["focus_region"], "left"))
 
 
 def o60_all_and_each(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +73,9 @@ def o60_all_and_each(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o61_regional_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median per region and day where enough cells have a value."""
     days = cell_days(spark, sf_dir).filter("tmax is not null")
-    out = days.groupBy("region", F.col("obs_date").cast("string").alias("obs_date")).agg(F.median("tmax").alias("tmax"), F.count_distinct("cell_id").alias("n_cells"))
+    days = days.withColumn("obs_date", F.col("obs_date").cast("string"))
+    # cell_days has one row per cell and day.
+    out = wt.linear_quantiles(days, ["region", "obs_date"], "tmax", {"tmax": 0.5}).withColumnRenamed("n", "n_cells")
     return rounded(out.filter("n_cells >= 5"))
 
 
@@ -84,7 +89,7 @@ def o29_quantile_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Municipalities above fixed and data-driven cutoffs, each also with a second condition."""
     t = towns(spark, sf_dir)
     x, good = F.col("dry_minus_humid_intensity_trend"), F.coalesce(F.col("vpd_trend_decade") > 0, F.lit(False))
-    lim = t.agg(F.percentile(x, 0.75).alias("p75"), F.percentile(x, 0.9).alias("p90"))
+    lim = wt.linear_quantiles(t, [], "dry_minus_humid_intensity_trend", {"p75": 0.75, "p90": 0.9}).drop("n")
     cuts = {"over3": F.lit(3.0), "over4": F.lit(4.0), "over5": F.lit(5.0), "p75": F.col("p75"), "p90": F.col("p90")}
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("criterion"), c.alias("cut")) for n, c in cuts.items()]))
     rows = t.crossJoin(F.broadcast(lim)).select(x.alias("x"), good.alias("good"), each.alias("c"))  # one row
@@ -94,7 +99,7 @@ def o29_quantile_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o24_box_and_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of stations in a box of coordinates with a halo of one degree, in a range of years."""
     m = clean_missing(table(spark, sf_dir, "station_metadata")).filter(F.col("lat").between(-21, -9) & F.col("lon").between(-51, -39)).select("station_id")
-    h = table(spark, sf_dir, "station_hourly").select("station_id", "obs_time").filter(F.year("obs_time").between(2000, 2004))
+    h = table(spark, sf_dir, "station_hourly").select("station_id", "obs_time").filter((F.col("obs_time") >= F.lit("2000-01-01")) & (F.col("obs_time") < F.lit("2005-01-01")))
     return h.join(m, "station_id", "left_semi").groupBy("station_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -137,7 +142,7 @@ def o74_weighted_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o74_permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(st.permutation_p(towns(spark, sf_dir), "municipality_id", "vpd_trend_decade", "transformed_non_native_pct_2024", "total_area_2024_ha", permutations=49), 5)
+    return rounded(st.permutation_p(towns(spark, sf_dir), "municipality_id", "vpd_trend_decade", "transformed_non_native_pct_2024", "total_area_2024_ha"), 5)
 
 
 def o75_skill_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,16 +160,25 @@ def o25_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o78_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(st.bootstrap_mean(towns(spark, sf_dir), ["dominant_biome"], "municipality_id", "vpd_trend_decade", "total_area_2024_ha", reps=100), 5)
+    return rounded(st.bootstrap_mean(towns(spark, sf_dir), ["dominant_biome"], "municipality_id", "vpd_trend_decade", "total_area_2024_ha"), 5)
+
+
+def o78_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference of a value's mean between the upper and the lower quarter of another, with its bootstrap interval."""
+    return rounded(st.bootstrap_difference(towns(spark, sf_dir), ["dominant_biome"], "municipality_id", "agri_gain_pct_points", "vpd_trend_decade", "total_area_2024_ha"), 5)
 
 
 def o79_quartile_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of a value's median between the upper and the lower quarter of another."""
     t = towns(spark, sf_dir).filter("agri_gain_pct_points is not null and vpd_trend_decade is not null and focus_region is not null")
-    lim = t.groupBy("focus_region").agg(F.percentile("agri_gain_pct_points", 0.25).alias("lo"), F.percentile("agri_gain_pct_points", 0.75).alias("hi"))
+    lim = wt.linear_quantiles(t, ["focus_region"], "agri_gain_pct_points", {"lo": 0.25, "hi": 0.75}).drop("n")
     x, v = F.col("agri_gain_pct_points"), F.col("vpd_trend_decade")
-    out = t.join(lim, "focus_region").groupBy("focus_region").agg((F.percentile(F.when(x >= F.col("hi"), v), 0.5) - F.percentile(F.when(x <= F.col("lo"), v), 0.5)).alias("contrast"), F.count(F.lit(1)).alias("n"))
-    return rounded(out)
+    sides = F.filter(F.array(F.when(x >= F.col("hi"), "upper"), F.when(x <= F.col("lo"), "lower")), lambda s: s.isNotNull())
+    parted = t.join(lim, "focus_region").select("focus_region", v.alias("v"), F.explode(sides).alias("side"))
+    medians = wt.linear_quantiles(parted, ["focus_region", "side"], "v", {"m": 0.5})
+    median = lambda side: F.max(F.when(F.col("side") == side, F.col("m")))
+    out = medians.groupBy("focus_region").agg((median("upper") - median("lower")).alias("contrast"))
+    return rounded(out.join(t.groupBy("focus_region").agg(F.count(F.lit(1)).alias("n")), "focus_region"))
 
 
 def o80_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +189,7 @@ def o80_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o81_wls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regression on one predictor with HC3 errors."""
     fit = st.wls(towns(spark, sf_dir), "vpd_trend_decade", ["transformed_non_native_pct_2024"], "total_area_2024_ha")
-    return rounded(fit.select("term", "beta", "se", "n", "r2"))
+    return rounded(fit.select("term", "beta", "se", "low", "high", "z", "n", "r2", "adj_r2", "aic", "bic"), 5)
 
 
 def o81_wls_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +248,9 @@ def o91_share_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o94_axis_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = towns(spark, sf_dir)
     cols = ("vpd_trend_decade", "rh_trend_decade")
-    return rounded(t.agg(*[F.percentile(F.abs(c), 0.97).alias(c) for c in cols], F.count(F.lit(1)).alias("n")))
+    long = t.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.abs(c).alias("v")) for c in cols])).alias("e")).select("e.*")
+    limits = wt.linear_quantiles(long, ["c"], "v", {"q": 0.97}).agg(*[F.max(F.when(F.col("c") == c, F.col("q"))).alias(c) for c in cols])
+    return rounded(limits.crossJoin(t.agg(F.count(F.lit(1)).alias("n"))))  # one row each
 
 
 def o93_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +269,8 @@ def o28_tolerance_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o30_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered rules of which later ones override, two of them from the data's own 75th percentiles."""
     t = towns(spark, sf_dir)
-    lim = t.filter("state_acronym_norm in ('SP', 'MG', 'RJ', 'ES')").agg(F.percentile("transformed_non_native_pct_2024", 0.75).alias("p_t"), F.percentile("agri_gain_pct_points", 0.75).alias("p_a"))
+    four = t.filter("state_acronym_norm in ('SP', 'MG', 'RJ', 'ES')")
+    lim = wt.linear_quantiles(four, [], "transformed_non_native_pct_2024", {"p_t": 0.75}).drop("n").crossJoin(wt.linear_quantiles(four, [], "agri_gain_pct_points", {"p_a": 0.75}).drop("n"))  # one row each
     x = t.crossJoin(F.broadcast(lim))  # one row
     state = F.col("state_acronym_norm")
     southeast = state.isin("SP", "MG", "RJ", "ES")
@@ -310,14 +327,22 @@ def o56_zonal_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sp.zonal_means(_cells(spark, sf_dir), rings, ["tmax"], centres).withColumnRenamed("region", "polygon_id"), 5)
 
 
+def o56_zonal_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each region's weight in cells that meet a condition: the zonal mean of 1 where it holds and 0 where not."""
+    shapes = table(spark, sf_dir, "municipality_polygons")
+    cells = _cells(spark, sf_dir).select("key", "y", "x", F.when(F.col("tmax").isNotNull(), (F.col("tmax") >= 30).cast("double")).alias("hot"))
+    centres = valid_points(shapes, "polygon_id", "rep_lat", "rep_lon", BOX)
+    return rounded(sp.zonal_means(cells, rings_from_wkt(shapes, "polygon_id", "geometry_wkt"), ["hot"], centres).withColumnRenamed("region", "polygon_id"), 5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         o52_weighted_mean, o53a_quantile_inverted, o53b_quantile_interp, o53c_quantile_midpoint, o54_weighted_zscore, o55_area_percent, o57_conditional_shares, o58_dominant,
         o59_region_summary, o60_all_and_each, o61_regional_median, o62_criteria, o29_quantile_criteria, o24_box_and_period, o62_ranking, o64_keep_last, o09_unpivot_years, o65_pivot, o66_null_groups, o73_correlations,
-        o74_weighted_spearman, o74_permutation_p, o75_skill_scores, o77_capped_outliers, o25_trim, o78_bootstrap, o79_quartile_contrast, o80_anomaly, o81_wls, o81_wls_controls,
+        o74_weighted_spearman, o74_permutation_p, o75_skill_scores, o77_capped_outliers, o25_trim, o78_bootstrap, o78_difference, o79_quartile_contrast, o80_anomaly, o81_wls, o81_wls_controls,
         o82_spline, o83_lowess, o87_correlation_table, o88_same_sign, o89_gaussian, o89_opening, o90_density, o91_share_matrix, o94_axis_limit, o93_subsample, o28_tolerance_class,
-        o30_regions, o32_normalise_text, o33_station_code, o34_repair_coordinates, o13_clean_readings, o14_trusted_stations, o_nearest_cell, o56_zonal_means,
+        o30_regions, o32_normalise_text, o33_station_code, o34_repair_coordinates, o13_clean_readings, o14_trusted_stations, o_nearest_cell, o56_zonal_means, o56_zonal_share,
     )
 }
 
@@ -352,6 +377,9 @@ _NUM = lambda c: (
     f"(select try_cast(replace(case when regexp_full_match(z, '-?[0-9]{{1,3}}([.][0-9]{{3}})+,[0-9]+') then replace(z, '.', '') else z end, ',', '.') as double) from (select case when regexp_full_match(trim({c}), '[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)') or regexp_full_match(trim({c}), '-?[0-9]{{1,3}}([.][0-9]{{3}})+,[0-9]+') then trim({c}) end z))"
 )
 
+# Rows once per resample with the number of copies that the hash of id and resample draws.
+_DRAWN = "u as (select s.*, rep, ('0x' || substr(md5(id || '-' || rep), 1, 8))::bigint / 4294967296.0 u from s, (select unnest(range(1, 501)) rep)), drawn as (select *, " + " + ".join(f"(u >= {x})::int" for x in st.poisson_steps()) + " copies from u)"
+
 SQL = {
     "o52_weighted_mean": "select dominant_biome, round(sum(vpd_trend_decade * total_area_2024_ha) / sum(total_area_2024_ha), 6) mean, count(*) n from municipality_mechanism where vpd_trend_decade is not null and total_area_2024_ha > 0 group by 1",
     "o53a_quantile_inverted": f"with {_VW} select dominant_biome, " + ", ".join(f"round(min(v) filter (upto / total >= {p} - 1e-12), 6) {n}" for n, p in _Q.items()) + " from g group by 1",
@@ -384,10 +412,10 @@ select criterion, round(cut, 6) cut, count(*) filter (dry_minus_humid_intensity_
     "o73_correlations": f"with {_CELL}, s as (select region, 1 w, row_number() over () id, tmax x, vpdmean y from c where tmax is not null and vpdmean is not null), {_spearman('region', 's')}, p as (select region, count(*) n, corr(x, y) pearson from s group by 1) select region, n, round(pearson, 5) pearson, round(spearman, 5) spearman from p join (select region, corr(rx, ry) spearman from r group by 1) using (region)",
     "o74_weighted_spearman": f"with s as (select dominant_biome, municipality_id id, total_area_2024_ha w, vpd_trend_decade x, rh_trend_decade y from municipality_mechanism where vpd_trend_decade is not null and rh_trend_decade is not null and total_area_2024_ha > 0), {_spearman('dominant_biome', 's')} select dominant_biome, count(*) n, case when count(*) >= 10 then round({_wcorr()}, 5) end rho from r group by 1",
     "o74_permutation_p": f"""with s as (select municipality_id id, total_area_2024_ha w, vpd_trend_decade x, transformed_non_native_pct_2024 y from municipality_mechanism where vpd_trend_decade is not null and transformed_non_native_pct_2024 is not null and total_area_2024_ha > 0), {_spearman('', 's')},
-b as (select *, row_number() over (order by id) place from r), o as (select count(*) n, {_wcorr()} rho from r),
-h as (select k, id, rx, w, row_number() over (partition by k order by md5(id || '-' || k)) place from r, (select unnest(range(1, 50)) k)),
+b as (select *, row_number() over (order by md5(id || '-0')) place from r), o as (select count(*) n, {_wcorr()} rho from r),
+h as (select k, id, rx, w, row_number() over (partition by k order by md5(id || '-' || k)) place from r, (select unnest(range(1, 1000)) k)),
 q as (select h.k, {_wcorr('h.rx', 'b.ry').replace('w *', 'h.w *').replace('sum(w)', 'sum(h.w)')} rr from h join b using (place) group by 1)
-select n, round(rho, 5) rho, (select count(*) from q where abs(rr) >= abs(rho) - 1e-12)::int exceed, round(((select count(*) from q where abs(rr) >= abs(rho) - 1e-12) + 1) / 50.0, 5) p_value from o""",
+select n, round(rho, 5) rho, (select count(*) from q where abs(rr) >= abs(rho) - 1e-12)::int exceed, round(((select count(*) from q where abs(rr) >= abs(rho) - 1e-12) + 1) / 1000.0, 5) p_value from o""",
     "o75_skill_scores": f"""with {_CELL}, s as (select region, tmax - tmean d, tmax m, tmean o from c where tmax is not null and tmean is not null), a as (select region, count(*) n, avg(d) bias, avg(abs(d)) mae, sqrt(avg(d * d)) rmse, corr(m, o) r, stddev_pop(m) sm, stddev_pop(o) so, sqrt(avg(d * d) - avg(d) * avg(d)) c from s group by 1)
 select region, n, round(bias, 5) bias, round(mae, 5) mae, round(rmse, 5) rmse, round(r, 5) r, round(sm / so, 5) sd_ratio, round(rmse / so, 5) nrmse, round(c / so, 5) crmse from a""",
     "o77_capped_outliers": """with s as (select station_id, variable, qc_id, median_residual_era5_minus_inmet d from residual_qc where median_residual_era5_minus_inmet is not null),
@@ -406,9 +434,20 @@ select municipality_id, round(vpd_trend_decade - m, 6) anomaly from municipality
 a as (select sum(w) s0, sum(w * x) s1, sum(w * x * x) s2, sum(w * y) t0, sum(w * x * y) t1, sum(w * y * y) yy, count(*) n from s),
 b as (select *, s0 * s2 - s1 * s1 dt, (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) b0, (s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1) b1 from a),
 e as (select x, w * (y - b0 - b1 * x) / (1 - w * (s2 - 2 * s1 * x + s0 * x * x) / dt) u from s, b),
-m as (select sum(u * u) m0, sum(u * u * x) m1, sum(u * u * x * x) m2 from e)
-select 'const' term, round(b0, 6) beta, round(sqrt((s2 * s2 * m0 - 2 * s2 * s1 * m1 + s1 * s1 * m2) / (dt * dt)), 6) se, n, round(1 - (yy - b0 * t0 - b1 * t1) / (yy - t0 * t0 / s0), 6) r2 from b, m where n >= 80
-union all select 'transformed_non_native_pct_2024', round(b1, 6), round(sqrt((s1 * s1 * m0 - 2 * s0 * s1 * m1 + s0 * s0 * m2) / (dt * dt)), 6), n, round(1 - (yy - b0 * t0 - b1 * t1) / (yy - t0 * t0 / s0), 6) from b, m where n >= 80""",
+m as (select sum(u * u) m0, sum(u * u * x) m1, sum(u * u * x * x) m2 from e),
+f as (select 'const' term, b0 c, sqrt((s2 * s2 * m0 - 2 * s2 * s1 * m1 + s1 * s1 * m2) / (dt * dt)) se from b, m
+  union all select 'transformed_non_native_pct_2024', b1, sqrt((s1 * s1 * m0 - 2 * s0 * s1 * m1 + s0 * s0 * m2) / (dt * dt)) from b, m),
+g as (select n, yy - b0 * t0 - b1 * t1 rss, yy - t0 * t0 / s0 tss, (select sum(ln(w)) from s) lw from b where n >= 80),
+l as (select *, -n / 2.0 * ln(rss / n) - n / 2.0 * (1 + ln(2 * pi())) + lw / 2 ll from g)
+select term, round(c, 5) beta, round(se, 5) se, round(c - 1.959964 * se, 5) low, round(c + 1.959964 * se, 5) high, round(c / se, 5) z, n, round(1 - rss / tss, 5) r2, round(1 - rss / tss * (n - 1) / (n - 2), 5) adj_r2, round(4 - 2 * ll, 5) aic, round(2 * ln(n) - 2 * ll, 5) bic from f, l""",
+    "o78_bootstrap": f"""with s as (select dominant_biome k, municipality_id id, vpd_trend_decade v, total_area_2024_ha w from municipality_mechanism where vpd_trend_decade is not null and total_area_2024_ha > 0), {_DRAWN},
+m as (select k, rep, sum(v * w * copies) / sum(w * copies) m from drawn where copies > 0 group by 1, 2), q as (select k, quantile_cont(m, 0.025) low, quantile_cont(m, 0.975) high from m group by 1), o as (select k, sum(v * w) / sum(w) mean from s group by 1)
+select o.k dominant_biome, round(mean, 5) mean, round(low, 5) low, round(high, 5) high from o join q on o.k is not distinct from q.k""",
+    "o78_difference": f"""with t as (select dominant_biome k, municipality_id id, agri_gain_pct_points x, vpd_trend_decade v, total_area_2024_ha w from municipality_mechanism where agri_gain_pct_points is not null and vpd_trend_decade is not null and total_area_2024_ha > 0),
+e as (select k, quantile_cont(x, 0.25) lo, quantile_cont(x, 0.75) hi from t group by 1), s as (select t.*, x >= hi up from t join e on t.k is not distinct from e.k where x >= hi or x <= lo), {_DRAWN},
+m as (select k, rep, sum(v * w * copies) filter (up) / sum(w * copies) filter (up) - sum(v * w * copies) filter (not up) / sum(w * copies) filter (not up) m from drawn where copies > 0 group by 1, 2),
+q as (select k, quantile_cont(m, 0.025) low, quantile_cont(m, 0.975) high from m group by 1), o as (select k, sum(v * w) filter (up) / sum(w) filter (up) - sum(v * w) filter (not up) / sum(w) filter (not up) difference from s group by 1)
+select o.k dominant_biome, round(difference, 5) difference, round(low, 5) low, round(high, 5) high from o join q on o.k is not distinct from q.k""",
     "o87_correlation_table": "with s as (" + " union all ".join(f"select '{p}' predictor, municipality_id id, total_area_2024_ha w, {p} x, vpd_trend_decade y from municipality_mechanism where vpd_trend_decade is not null and {p} is not null and total_area_2024_ha > 0" for p in ("rh_trend_decade", "dry_minus_humid_intensity_trend", "transformed_non_native_pct_2024", "agri_gain_pct_points")) + f"), {_spearman('predictor', 's')} select predictor, count(*) n, round({_wcorr()}, 5) rho from r group by 1",
     "o88_same_sign": "select dominant_biome, round(sum(case when sign(vpd_trend_decade) = sign(rh_trend_decade) then total_area_2024_ha else 0 end) / sum(total_area_2024_ha) * 100, 6) same_sign_pct from municipality_mechanism where vpd_trend_decade is not null and rh_trend_decade is not null and total_area_2024_ha > 0 group by 1",
     "o89_gaussian": f"with {_GRID} select a.iy, a.ix, round(sum(exp(-(power(a.iy - b.iy, 2) + power(a.ix - b.ix, 2)) / 2) * b.tmax) / sum(exp(-(power(a.iy - b.iy, 2) + power(a.ix - b.ix, 2)) / 2)), 5) tmax from (select distinct iy, ix from gr) a join gr b on abs(a.iy - b.iy) <= 3 and abs(a.ix - b.ix) <= 3 and b.tmax is not null group by 1, 2",
@@ -439,4 +478,9 @@ zm as (select polygon_id, sum(tmax * cos(radians(y))) / sum(case when tmax is no
 b as (select polygon_id, rep_lat, rep_lon from municipality_polygons where rep_lat between -34 and 6 and rep_lon between -74.5 and -32 and polygon_id not in (select polygon_id from zm)),
 d as (select polygon_id, tmax, row_number() over (partition by polygon_id order by sqrt((rep_lat - y) * (rep_lat - y) + (rep_lon - x) * (rep_lon - x)), key) rn from b, cells)
 select polygon_id, round(tmax, 5) tmax, n_cells, 'zonal' as method from zm union all select polygon_id, round(tmax, 5), 0, 'nearest' from d where rn = 1""",
+    "o56_zonal_share": f"""with {_CELLS}, hots as (select key, y, x, case when tmax is not null then (tmax >= 30)::int::double end hot from cells), {_RINGS}, z as (select polygon_id, key from hots, edges where (y1 > y) <> (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) group by 1, 2 having count(*) % 2 = 1),
+zm as (select polygon_id, sum(hot * cos(radians(y))) / sum(case when hot is not null then cos(radians(y)) end) hot, count(*) n_cells from z join hots using (key) group by 1),
+b as (select polygon_id, rep_lat, rep_lon from municipality_polygons where rep_lat between -34 and 6 and rep_lon between -74.5 and -32 and polygon_id not in (select polygon_id from zm)),
+d as (select polygon_id, hot, row_number() over (partition by polygon_id order by sqrt((rep_lat - y) * (rep_lat - y) + (rep_lon - x) * (rep_lon - x)), key) rn from b, hots)
+select polygon_id, round(hot, 5) hot, n_cells, 'zonal' as method from zm union all select polygon_id, round(hot, 5), 0, 'nearest' from d where rn = 1""",
 }

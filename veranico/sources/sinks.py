@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import platform
 from collections.abc import Callable, Mapping
@@ -32,11 +33,14 @@ def run_record(spark: SparkSession, folder: str, parameters: Mapping[str, object
 
 
 def reuse(spark: SparkSession, path: str, stamp: Mapping[str, object], make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path`` if it was written with the same ``stamp``; else it is made and written.
+    """The table made with this ``stamp`` below ``path``; made and written where there is none.
 
-    The stamp lies beside the data and is written last, so a broken write is never reused.
+    Each stamp has a folder of its own, named by its digest, and its mark is
+    written after the data, so neither a broken write nor another stamp's data
+    is ever read. Folders of older stamps stay.
     """
     want = json.dumps(dict(stamp), sort_keys=True, default=str)
+    path = f"{path.rstrip('/')}/{hashlib.sha256(want.encode()).hexdigest()[:24]}"
     try:
         if spark.read.text(f"{path}.stamp").first()[0] == want:
             return spark.read.parquet(path)

@@ -56,22 +56,27 @@ def read_years(spark: SparkSession, folder: str, years: Sequence[int] | None = N
     return df.filter(F.col("year").isin(*years)) if years else df
 
 
-def read_station_text(spark: SparkSession, path: str, encoding: str = "UTF-8", preamble: int = 25) -> DataFrame:
+def read_station_text(spark: SparkSession, path: str, encoding: str | None = None, preamble: int = 25, separator: str = ";", header: Sequence[str] = ("data", "hora")) -> DataFrame:
     """Hourly rows of station files: (file, station_id, uf, lat, lon, obs_date, hour_text, fields).
 
-    A file has ``KEY;VALUE`` lines, then a header that starts with Data;Hora,
-    then rows, of which only those that start with a date are kept. ``fields``
+    A file has lines of a key and a value, then a header whose first fields
+    start with the words of ``header``, then rows, of which only those that
+    start with a date are kept. Without an ``encoding`` a file is read as UTF-8
+    where it is valid, else as Latin-1. ``fields``
     is a map from plain column name to number, so short and long rows both fit.
     A file without a header gives no rows; files are bounded by a station-year.
     """
-    text = spark.read.option("encoding", encoding).text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    raw = spark.read.format("binaryFile").load(path).select("content", F.element_at(F.split("path", "/"), -1).alias("file"))
+    value = F.decode("content", encoding) if encoding else F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
+    text, sep = raw.select(value.alias("value"), "file"), f"\\Q{separator}\\E"
     lines = text.withColumn("lines", F.split("value", "\r?\n"))
-    is_header = lambda x: F.lower(x).rlike(r"^\s*data[^;]*;\s*hora")
+    other = f"[^{re.escape(separator)}]*"
+    is_header = lambda x: F.lower(x).rlike(r"^\s*" + rf"{other}{sep}\s*".join(header))
     lines = lines.withColumn("header", F.get(F.filter("lines", is_header), F.lit(0))).filter("header is not null")
-    entry = lambda word: F.trim(F.regexp_extract(F.get(F.filter(F.slice("lines", 1, preamble), lambda x: F.lower(x).rlike(rf"^\s*{word}")), F.lit(0)), r";\s*([^;]*)", 1))
-    names = F.transform(F.split("header", ";"), lambda x: F.regexp_replace(F.lower(F.translate(x, "ÁÂÃÀÉÊÍÓÔÕÚÇáâãàéêíóôõúç", "AAAAEEIOOOUCaaaaeeiooouc")), r"[^a-z0-9]+", "_"))
-    rows = lines.select("file", entry("(codigo|wmo|station)").alias("code"), entry("uf").alias("uf"), entry("latitude").alias("lat"), entry("longitude").alias("lon"), names.alias("names"), F.explode("lines").alias("line"))
-    rows = rows.filter(F.col("line").rlike(r"^\s*(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4})\s*;")).withColumn("cells", F.split("line", ";"))
+    entry = lambda word: F.trim(F.regexp_extract(F.get(F.filter(F.slice("lines", 1, preamble), lambda x: F.lower(x).rlike(rf"^\s*{word}")), F.lit(0)), rf"{sep}\s*({other})", 1))
+    names = F.transform(F.split("header", sep), lambda x: F.regexp_replace(F.lower(F.translate(x, "ÁÂÃÀÉÊÍÓÔÕÚÇáâãàéêíóôõúç", "AAAAEEIOOOUCaaaaeeiooouc")), r"[^a-z0-9]+", "_"))
+    rows = lines.select("file", entry("(c[oó]digo|wmo|station)").alias("code"), entry("uf").alias("uf"), entry("latitude").alias("lat"), entry("longitude").alias("lon"), names.alias("names"), F.explode("lines").alias("line"))
+    rows = rows.filter(F.col("line").rlike(r"^\s*(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4})\s*" + sep)).withColumn("cells", F.split("line", sep))
     fields = F.map_from_entries(
         F.array_distinct(F.filter(F.transform("names", lambda n, i: F.struct(n.alias("k"), clean_number(F.get("cells", i)).alias("v"))), lambda e: (e["k"] != "") & ~e["k"].startswith("data") & ~e["k"].startswith("hora") & e["v"].isNotNull()))
     )
