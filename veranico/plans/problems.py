@@ -59,7 +59,7 @@ def p5_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("station_id", us.alias("at_us"), "cadence_s", "tair_c", counts.alias("counts"), "loaded_at").filter("counts")
     rows = rows.groupBy("station_id", "cadence_s", "at_us").agg(F.max_by("tair_c", "loaded_at").alias("tair_c"), F.lit(True).alias("counts"))
     grid = local_regression_grid(rows, source="station_id", at_us="at_us", cadence_s="cadence_s", value="tair_c", counts="counts")
-    return grid.withColumnRenamed("source", "station_id")
+    return grid.withColumnRenamed("source", "station_id").withColumns({c: F.round(c, 5) for c in ("estimate", "support")})
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +159,7 @@ def p5_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("station_id", us.alias("at_us"), "cadence_s", "tair_c", counts.alias("counts"), "loaded_at").filter("counts")
     rows = rows.groupBy("station_id", "cadence_s", "at_us").agg(F.max_by("tair_c", "loaded_at").alias("tair_c"), F.lit(True).alias("counts"))
     grid = local_regression_grid(rows, source="station_id", at_us="at_us", cadence_s="cadence_s", value="tair_c", counts="counts")
-    return grid.withColumnRenamed("source", "station_id")
+    return grid.withColumnRenamed("source", "station_id").withColumns({c: F.round(c, 5) for c in ("estimate", "support")})
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,6 +248,19 @@ k as (select own.s, own.v, xi, ne, coalesce(med, 0) med, mid from own join f on
 e as (select d.*, (mid * sc * 50 + med * ne) / (50 + ne) m, xi from d join k on d.s is not distinct from k.s and d.v is not distinct from k.v)
 select qc_id from e where imp or len >= 6 or (res > 7 * sc
   and res > u + m * case when xi < 1e-6 then ln(20000.0) / ln(2) else (power(20000.0, xi) - 1) / (power(2.0, xi) - 1) end)""",
+    "p5_series": """
+with r as (select h.station_id s, m.cadence_s::bigint c, epoch_us(h.obs_time) t, arg_max_null(case when isnan(tair_c) then null else tair_c end, loaded_at) y from station_hourly h join station_metadata m using (station_id)
+  where n_valid_before_outlier_qc > 0 and obs_time <= loaded_at and obs_time >= opened_on group by 1, 2, 3),
+b as (select *, c * 1000000 step, c * 1500000 reach, (t * 2 + c * 1000000) // (c * 2000000) near from r),
+e as (select s, c, t, y, step, near, unnest(range(floor((t - reach) / step)::bigint + 1, ceil((t + reach) / step)::bigint)) slot from b),
+k as (select s, c, slot, near = slot fills, (t - slot * step) / step d, case when y is not null then power(1 - power(abs((t - slot * step) / step / 1.5), 3), 3) else 0.0 end w, coalesce(y, 0.0) y from e),
+m as (select s, c, slot, count(*) filter (fills) n, sum(w) s0, sum(w * d) s1, sum(w * d * d) s2, sum(w * y) b0, sum(w * d * y) b1, sum(w * w) q from k group by 1, 2, 3),
+covered as (select s, c, slot from m where n > 0), steps as (select *, lag(slot) over (partition by s order by slot) before from covered),
+gaps as (select s, c, unnest(range(before + 1, slot)) slot from steps where slot - before > 1 and (slot - before) * c <= 30 * 86400),
+g as (select s, c, slot, false gap from covered union all select s, c, slot, true from gaps),
+f as (select g.s, g.c, g.slot, gap, coalesce(n, 0) n, coalesce(s0, 0) s0, coalesce(s1, 0) s1, coalesce(s2, 0) s2, coalesce(b0, 0) b0, coalesce(b1, 0) b1, coalesce(q, 0) q from g left join m on g.s = m.s and g.c = m.c and g.slot = m.slot),
+u as (select *, s0 * s2 - s1 * s1 det, case when q > 0 then s0 * s0 / q else 0.0 end sup from f)
+select s station_id, slot * c slot_s, round(case when sup >= 1 - 1e-9 then case when det > 1e-6 * s0 * s0 then (s2 * b0 - s1 * b1) / det else b0 / s0 end end, 5) estimate, round(sup, 5) support, n n_readings, gap missing from u""",
     "p5_found": f"""
 with covered as ({_COVERED}),
 steps as (select *, lag(slot) over (partition by station_id order by slot) before from covered)

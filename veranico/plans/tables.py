@@ -12,6 +12,7 @@ from veranico.operators import stats as st
 from veranico.operators import weighted as wt
 from veranico.operators.proximity import rings_from_wkt, valid_points
 from veranico.plans.climate import _CELL, _n, cell_days, rounded
+from veranico.plans.pipelines import station_evaluation
 from veranico.plans.problems import BOX
 from veranico.session import clean_missing, join_groups, null_if_nan, table
 
@@ -335,6 +336,16 @@ def o56_zonal_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sp.zonal_means(cells, rings_from_wkt(shapes, "polygon_id", "geometry_wkt"), ["hot"], centres).withColumnRenamed("region", "polygon_id"), 5)
 
 
+def pipe_station_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skill of the nearest grid cell's daily mean temperature against each station's, after removal of outliers."""
+    hourly = clean_missing(table(spark, sf_dir, "station_hourly").select("station_id", "obs_time", "tair_c"))
+    observed = hourly.groupBy("station_id", F.to_date("obs_time").alias("day")).agg(F.avg("tair_c").alias("t")).filter("t is not null and day is not null")
+    stations = valid_points(table(spark, sf_dir, "station_metadata"), "station_id", "lat", "lon", BOX)
+    cell = sp.nearest(stations, _cells(spark, sf_dir)).select(F.col("key").alias("station_id"), F.col("near").alias("cell_id"))
+    daily = cell_days(spark, sf_dir).filter("tmean is not null").select("cell_id", F.col("obs_date").alias("day"), F.col("tmean").alias("t"))
+    return rounded(station_evaluation(observed, daily.join(cell, "cell_id"), keys=["station_id"], day="day", value="t"), 5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -342,7 +353,7 @@ QUERIES = {
         o59_region_summary, o60_all_and_each, o61_regional_median, o62_criteria, o29_quantile_criteria, o24_box_and_period, o62_ranking, o64_keep_last, o09_unpivot_years, o65_pivot, o66_null_groups, o73_correlations,
         o74_weighted_spearman, o74_permutation_p, o75_skill_scores, o77_capped_outliers, o25_trim, o78_bootstrap, o78_difference, o79_quartile_contrast, o80_anomaly, o81_wls, o81_wls_controls,
         o82_spline, o83_lowess, o87_correlation_table, o88_same_sign, o89_gaussian, o89_opening, o90_density, o91_share_matrix, o94_axis_limit, o93_subsample, o28_tolerance_class,
-        o30_regions, o32_normalise_text, o33_station_code, o34_repair_coordinates, o13_clean_readings, o14_trusted_stations, o_nearest_cell, o56_zonal_means, o56_zonal_share,
+        o30_regions, o32_normalise_text, o33_station_code, o34_repair_coordinates, o13_clean_readings, o14_trusted_stations, o_nearest_cell, o56_zonal_means, o56_zonal_share, pipe_station_evaluation,
     )
 }
 
@@ -473,6 +484,16 @@ c as (select station_id, case when t not in (-9999, -999) then t end t, case whe
 select station_id, count(t) n_t, round(sum(t), 4) sum_t, count(h) n_h, round(sum(h), 4) sum_h, count(d) n_d, max(d)::varchar last_d from c group by 1""",
     "o14_trusted_stations": "with g as (select distinct station_id from station_metadata where lower(trim(op_status)) in ('operante', 'sim', 'true', '1')) select uf, count(*) filter (station_id in (select station_id from g)) n_trusted, count(*) filter (station_id not in (select station_id from g)) n_other from station_hourly group by 1",
     "o_nearest_cell": f"with {_CELLS}, p as (select municipality_id, rep_lat, rep_lon from municipality_mechanism where rep_lat between -34 and 6 and rep_lon between -74.5 and -32), d as (select municipality_id, key, sqrt((rep_lat - y) * (rep_lat - y) + (rep_lon - x) * (rep_lon - x)) dg from p, cells), r as (select *, row_number() over (partition by municipality_id order by dg, key) rn from d) select municipality_id, key cell_id, round(dg, 6) degrees from r where rn = 1",
+    "pipe_station_evaluation": f"""with {_CELLS}, {_CELL}, o as (select station_id, cast(obs_time as date) d, avg(case when isnan(tair_c) then null else tair_c end) o from station_hourly where obs_time is not null group by 1, 2),
+st as (select station_id, lat, lon from station_metadata where lat between -34 and 6 and lon between -74.5 and -32),
+nr as (select station_id, key, row_number() over (partition by station_id order by sqrt((lat - y) * (lat - y) + (lon - x) * (lon - x)), key) rn from st, cells),
+p as (select station_id, d, o, tmean m, tmean - o diff from o join nr using (station_id) join c on c.cell_id = nr.key and c.obs_date = o.d where rn = 1 and o is not null and tmean is not null),
+a as (select station_id, count(*) n, quantile_cont(diff, 0.25) q1, median(diff) q2, quantile_cont(diff, 0.75) q3, stddev_samp(diff) sd from p group by 1 having count(*) >= 30),
+e as (select p.*, n, q1, q3, sd, abs(diff - q2) dev from p join a using (station_id)), h as (select station_id, median(dev) * 1.4826 mad from e group by 1),
+r as (select e.station_id, d, n, row_number() over (partition by e.station_id order by dev desc, d) rn from e join h using (station_id) where dev > 6 * case when mad > 0 then mad when q3 > q1 then (q3 - q1) / 1.349 else sd end),
+k as (select p.station_id, m, o, diff d from p where not exists (select 1 from r where r.station_id = p.station_id and r.d = p.d and rn <= greatest(1, floor(n * 0.03 + 1e-9)))),
+z as (select station_id, count(*) n, avg(d) bias, avg(abs(d)) mae, sqrt(avg(d * d)) rmse, corr(m, o) r, stddev_pop(m) sm, stddev_pop(o) so, sqrt(greatest(avg(d * d) - avg(d) * avg(d), 0)) c from k group by 1 having count(*) >= 2)
+select station_id, n, round(bias, 5) bias, round(mae, 5) mae, round(rmse, 5) rmse, case when sm > 0 and so > 0 then round(r, 5) end r, case when so > 0 then round(sm / so, 5) end sd_ratio, case when so > 0 then round(rmse / so, 5) end nrmse, case when so > 0 then round(c / so, 5) end crmse from z""",
     "o56_zonal_means": f"""with {_CELLS}, {_RINGS}, z as (select polygon_id, key from cells, edges where (y1 > y) <> (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) group by 1, 2 having count(*) % 2 = 1),
 zm as (select polygon_id, sum(tmax * cos(radians(y))) / sum(case when tmax is not null then cos(radians(y)) end) tmax, count(*) n_cells from z join cells using (key) group by 1),
 b as (select polygon_id, rep_lat, rep_lon from municipality_polygons where rep_lat between -34 and 6 and rep_lon between -74.5 and -32 and polygon_id not in (select polygon_id from zm)),
