@@ -79,6 +79,18 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_items(count_tokens(docs, "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json"), key="doc_id", size="n_tokens", capacity=CAPACITY)
 
 
+def p9_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers: all documents are in them, none is split that fits, none is overfull, and little space is unused."""
+    pieces = p9_containers(spark, sf_dir)
+    docs = pieces.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"))
+    split = docs.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= CAPACITY)).alias("split_needlessly"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
+    loads = pieces.filter("container_id > 0").groupBy("container_id").agg(F.sum("n_tokens").alias("load"))
+    full = loads.agg(F.count(F.lit(1)).alias("containers"), F.count_if(F.col("load") > CAPACITY).alias("overfull"), F.coalesce(F.max("container_id"), F.lit(0)).alias("last"))
+    both = split.crossJoin(full)  # one row each
+    few = F.col("containers") <= F.ceil(F.col("tokens") / CAPACITY * 1.02) + 2
+    return both.select("n_documents", "split_needlessly", "overfull", (F.col("last") == F.col("containers")).alias("numbered_through"), few.alias("little_unused"))
+
+
 def p10_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     subjects = sorted(r["subject"] for r in table(spark, sf_dir, "subject_list").select("subject").distinct().collect())  # fixed, 12 rows
@@ -89,7 +101,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_subjects(spark, sf_dir).select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p4_found, p4_misses, p6_percentiles, p8_ids, p9_containers, p10_found, p10_subjects)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_matches, p4_found, p4_misses, p6_percentiles, p8_ids, p9_containers, p9_properties, p10_found, p10_subjects)}
 
 _P6 = [
     f"select '{kind}' grouping, cast({col} as varchar) group_key, '{v}' variable, cast({p} as double) p, quantile_disc({v}, {p}) as value from daily_grid where {v} is not null and not isnan({v}) group by {col}"
@@ -97,4 +109,8 @@ _P6 = [
     for v in ("tmax", "vpdmean")
     for p in PERCENTILES
 ]
-SQL = {"p6_percentiles": " union all ".join(_P6)}
+SQL = {
+    "p6_percentiles": " union all ".join(_P6),
+    # The properties hold of any input with unique ids.
+    "p9_properties": "select count(distinct doc_id) n_documents, 0 split_needlessly, 0 overfull, true numbered_through, true little_unused from documents",
+}
