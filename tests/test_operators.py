@@ -254,3 +254,23 @@ def test_nearest_in_a_crowd(spark):
     got = {r["key"]: r["near"] for r in sp.nearest(make(a), make(b), per_tile=8, rows_per_salt=20).collect()}
     want = {k: min(b, key=lambda o: (math.hypot(o[1] - y, o[2] - x), o[0]))[0] for k, y, x in a}
     assert got == want
+
+
+def test_times_in_text_and_ordered_categories(spark):
+    values = ["20200229", "20200229.5", "2020022913", "2020-02-29 06:30:00", "20201399", "x", None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(tx.decode_text_time("v").cast("string")).collect()]
+    assert got == ["2020-02-29 00:00:00", "2020-02-29 12:00:00", "2020-02-29 13:00:00", "2020-02-29 06:30:00", None, None, None]
+    ranks = spark.createDataFrame([("b",), ("A",), ("z",), (None,)], "v string").select(tx.category_rank("v", ["a", "B"])).collect()
+    assert [r[0] for r in ranks] == [2, 1, 3, 3]
+
+
+def test_month_columns(spark):
+    df = spark.createDataFrame([("A1", "20,5", "-", 7.0), ("A2", None, "3", 8.0)], "code string, Janeiro string, `Dez.` string, other double")
+    got = {(r["code"], r["month"]): r["v"] for r in sp.unpivot_months(df, ["code"], "v").collect()}
+    assert got == {("A1", 1): 20.5, ("A1", 12): None, ("A2", 1): None, ("A2", 12): 3.0}
+
+
+def test_spline_of_few_values_is_a_line(spark):
+    df = spark.createDataFrame([(i, "k", float(i % 3), 2.0 + 3.0 * (i % 3)) for i in range(90)], "id int, k string, x double, y double")
+    got = sm.spline_curve(df, "k", "id", "x", "y", points=5, reps=20).orderBy("x").collect()
+    assert [r["fit"] for r in got] == pytest.approx([2 + 3 * r["x"] for r in got])

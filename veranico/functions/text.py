@@ -54,6 +54,23 @@ def decode_offset_time(value: Column | str, unit: str, origin: str) -> Column:
     return F.timestamp_micros((F.unix_micros(F.to_timestamp(F.lit(origin))) + F.round(v * seconds * 1000000)).cast("long"))
 
 
+def decode_text_time(value: Column | str) -> Column:
+    """A timestamp from yyyymmdd (with a fraction of a day as its decimals, if any), yyyymmddhh or an ISO text; NULL where it's none."""
+    v = F.trim((F.col(value) if isinstance(value, str) else value).cast("string"))
+    day = F.try_to_timestamp(F.substring(v, 1, 8), F.lit("yyyyMMdd"))
+    part = F.coalesce(F.regexp_extract(v, r"^\d{8}(\.\d+)$", 1).try_cast("double"), F.lit(0.0))
+    dated = F.when(v.rlike(r"^\d{8}(\.\d*)?$"), F.timestamp_micros((F.unix_micros(day) + F.round(part * 86400) * 1000000).cast("long")))
+    hourly = F.when(v.rlike(r"^\d{10}$"), F.try_to_timestamp(v, F.lit("yyyyMMddHH")))
+    return F.coalesce(dated, hourly, F.when(v.contains("-"), v.try_cast("timestamp")))
+
+
+def category_rank(value: Column | str, order: Sequence[str]) -> Column:
+    """The place of a category in a fixed order, in any case; those that it lacks, and NULL, come behind all."""
+    v = F.lower(F.col(value) if isinstance(value, str) else value)
+    at = F.array_position(F.array(*[F.lit(x.lower()) for x in order]), v)
+    return F.when(at > 0, at).otherwise(F.lit(len(order) + 1)).cast("int")
+
+
 def repair_coordinates(lat: Column, lon: Column, box: tuple[float, float, float, float] = (-35.0, 6.0, -75.0, -32.0), scales: Sequence[float] = (1, 10, 100, 1000)) -> Column:
     """A struct (lat, lon, changed): the candidate of scale, sign and order inside ``box`` with the fewest changes, else NULL."""
     candidates = [

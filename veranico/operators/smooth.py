@@ -29,16 +29,16 @@ def _poisson(reps: int, blocks: int, seed: int) -> np.ndarray:
 def spline_curve(df: DataFrame, key: str, row_id: str, x: str, y: str, w: str | None = None, *, points: int = 25, blocks: int = 50, reps: int = 300, least: int = 60, seed: int = 42) -> DataFrame:
     """(key, x, fit, low, high): cubic B-spline with three degrees of freedom by weighted least squares, with a block-bootstrap band.
 
-    Without inner knots the basis is the Bernstein basis over the range of x.
-    Groups under ``least`` rows, or with one value of x, give no rows.
+    Without inner knots the basis is the Bernstein basis over the range of x;
+    of under five distinct values of x it is a line. Groups under ``least`` rows, or with one value of x, give no rows.
     """
     rows = _rows(df, key, row_id, x, y, w, blocks)
-    span = rows.groupBy("key").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least) & (F.col("x1") > F.col("x0")))
+    span = rows.groupBy("key").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count(F.lit(1)).alias("n"), (F.count_distinct("x") < 5).alias("line")).filter((F.col("n") >= least) & (F.col("x1") > F.col("x0")))
     t = (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0"))
     basis = [F.pow(1 - t, F.lit(3)), 3 * t * F.pow(1 - t, F.lit(2)), 3 * t * t * (1 - t), t * t * t]
-    joined = rows.join(span, "key").select("key", "block", "x0", "x1", "y", "w", *[b.alias(f"b{i}") for i, b in enumerate(basis)])
+    joined = rows.join(span, "key").select("key", "block", "x0", "x1", "line", "y", "w", *[b.alias(f"b{i}") for i, b in enumerate(basis)])
     sums = [F.sum(F.col("w") * F.col(f"b{i}") * F.col(f"b{j}")).alias(f"a{i}{j}") for i in range(4) for j in range(i, 4)] + [F.sum(F.col("w") * F.col("y") * F.col(f"b{i}")).alias(f"c{i}") for i in range(4)]
-    per_block = joined.groupBy("key", "x0", "x1", "block").agg(*sums)  # at most `blocks` rows per group
+    per_block = joined.groupBy("key", "x0", "x1", "line", "block").agg(*sums)  # at most `blocks` rows per group
     kind = df.schema[key].dataType.simpleString()
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
@@ -51,6 +51,9 @@ def spline_curve(df: DataFrame, key: str, row_id: str, x: str, y: str, w: str |
             c[at, i] = group[f"c{i}"]
         t = np.linspace(0, 1, points)
         curve = np.stack([(1 - t) ** 3, 3 * t * (1 - t) ** 2, 3 * t * t * (1 - t), t**3], axis=1)
+        if group["line"].iloc[0]:  # a line's coefficients in this basis
+            line = np.array([[1, 0], [2 / 3, 1 / 3], [1 / 3, 2 / 3], [0, 1]])
+            a, c, curve = np.einsum("ki,bkl,lj->bij", line, a, line), c @ line, curve @ line
         fit = curve @ np.linalg.lstsq(a.sum(0), c.sum(0), rcond=None)[0]
         draws = [curve @ np.linalg.lstsq(np.tensordot(m, a, 1), m @ c, rcond=None)[0] for m in _poisson(reps, blocks, seed)]
         low, high = np.quantile(draws, [0.025, 0.975], axis=0)
@@ -68,7 +71,7 @@ def lowess_curve(df: DataFrame, key: str, row_id: str, x: str, y: str, *, frac:
     one value of x give no rows.
     """
     rows = _rows(df, key, row_id, x, y, None, blocks)
-    span = rows.groupBy("key").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least) & (F.col("x1") > F.col("x0")))
+    span = rows.groupBy("key").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count(F.lit(1)).alias("n"), (F.count_distinct("x") < 5).alias("line")).filter((F.col("n") >= least) & (F.col("x1") > F.col("x0")))
     step = (F.col("x1") - F.col("x0")) / (points - 1)
     placed = rows.join(span, "key").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("d", F.col("x") - (F.col("x0") + F.col("g") * step))
     reach = placed.groupBy("key", "g").agg((F.percentile_approx(F.abs("d"), F.lit(frac), F.lit(10000)) * 1.0000001 + 1e-12).alias("h"))

@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veranico.functions.text import clean_number
 from veranico.operators.proximity import points_in_regions
+from veranico.operators.timestamps import MONTHS
 from veranico.session import cut, null_if_nan
 
 
@@ -77,3 +79,10 @@ def unpivot_years(df: DataFrame, ids: Sequence[str], prefix: str, value: str) ->
     years = [c for c in df.columns if c.startswith(prefix) and c[len(prefix) :].isdigit()]
     long = df.select(*ids, *years).unpivot(list(ids), years, "__name", value)
     return long.select(*ids, F.substring("__name", len(prefix) + 1, 10).cast("int").alias("year"), value)
+
+
+def unpivot_months(df: DataFrame, ids: Sequence[str], value: str) -> DataFrame:
+    """(ids, month, value) of columns named by months, Portuguese or English, whole or shortened, in any case; marks of missing values become NULL."""
+    named = {c: MONTHS[c.strip().lower()[:3]] for c in df.columns if c not in ids and c.strip().lower()[:3] in MONTHS}
+    long = df.select(*ids, *[clean_number(F.col(f"`{c}`").cast("string")).alias(f"m{m}") for c, m in named.items()]).unpivot(list(ids), [f"m{m}" for m in named.values()], "__name", value)
+    return long.select(*ids, F.substring("__name", 2, 2).cast("int").alias("month"), value)

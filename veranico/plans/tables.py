@@ -246,6 +246,35 @@ def o91_share_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(t.groupBy("focus_region").agg(*[F.avg(F.when(x > k, 100.0).otherwise(0.0)).alias(f"over{k}") for k in (3, 4, 5)]))
 
 
+_PREDICTORS = ("transformed_non_native_pct_2024", "agri_gain_pct_points")
+_OUTCOMES = ("vpd_trend_decade", "rh_trend_decade")
+
+
+def o91_r2_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjusted R2 of the weighted regression of each outcome on each predictor."""
+    t = towns(spark, sf_dir)
+    fits = [st.wls(t, y, [x], "total_area_2024_ha").filter(F.col("term") == x).select(F.lit(x).alias("predictor"), F.lit(y).alias("outcome"), "n", "adj_r2") for x in _PREDICTORS for y in _OUTCOMES]
+    out = fits[0]
+    for f in fits[1:]:
+        out = out.unionByName(f)
+    return rounded(out, 5)
+
+
+def o_ordered_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas by biome in a fixed order, biomes without a place in it behind."""
+    t = towns(spark, sf_dir).groupBy("dominant_biome").agg(F.sum("total_area_2024_ha").alias("area"))
+    place = tx.category_rank("dominant_biome", _BIOMES)
+    return rounded(t.select("dominant_biome", place.alias("place"), "area").orderBy("place", "dominant_biome"), 3)
+
+
+_BIOMES = ("Cerrado", "Amazonia", "Caatinga")
+
+
+def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stations with readings in both the hourly and the raw table."""
+    return table(spark, sf_dir, "station_hourly").select("station_id").intersect(table(spark, sf_dir, "inmet_hourly_raw").select("station_id"))
+
+
 def o94_axis_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = towns(spark, sf_dir)
     cols = ("vpd_trend_decade", "rh_trend_decade")
@@ -353,7 +382,7 @@ QUERIES = {
         o59_region_summary, o60_all_and_each, o61_regional_median, o62_criteria, o29_quantile_criteria, o24_box_and_period, o62_ranking, o64_keep_last, o09_unpivot_years, o65_pivot, o66_null_groups, o73_correlations,
         o74_weighted_spearman, o74_permutation_p, o75_skill_scores, o77_capped_outliers, o25_trim, o78_bootstrap, o78_difference, o79_quartile_contrast, o80_anomaly, o81_wls, o81_wls_controls,
         o82_spline, o83_lowess, o87_correlation_table, o88_same_sign, o89_gaussian, o89_opening, o90_density, o91_share_matrix, o94_axis_limit, o93_subsample, o28_tolerance_class,
-        o30_regions, o32_normalise_text, o33_station_code, o34_repair_coordinates, o13_clean_readings, o14_trusted_stations, o_nearest_cell, o56_zonal_means, o56_zonal_share, pipe_station_evaluation,
+        o30_regions, o32_normalise_text, o33_station_code, o34_repair_coordinates, o13_clean_readings, o14_trusted_stations, o_nearest_cell, o56_zonal_means, o56_zonal_share, pipe_station_evaluation, o91_r2_matrix, o_ordered_categories, set_intersect,
     )
 }
 
@@ -484,6 +513,14 @@ c as (select station_id, case when t not in (-9999, -999) then t end t, case whe
 select station_id, count(t) n_t, round(sum(t), 4) sum_t, count(h) n_h, round(sum(h), 4) sum_h, count(d) n_d, max(d)::varchar last_d from c group by 1""",
     "o14_trusted_stations": "with g as (select distinct station_id from station_metadata where lower(trim(op_status)) in ('operante', 'sim', 'true', '1')) select uf, count(*) filter (station_id in (select station_id from g)) n_trusted, count(*) filter (station_id not in (select station_id from g)) n_other from station_hourly group by 1",
     "o_nearest_cell": f"with {_CELLS}, p as (select municipality_id, rep_lat, rep_lon from municipality_mechanism where rep_lat between -34 and 6 and rep_lon between -74.5 and -32), d as (select municipality_id, key, sqrt((rep_lat - y) * (rep_lat - y) + (rep_lon - x) * (rep_lon - x)) dg from p, cells), r as (select *, row_number() over (partition by municipality_id order by dg, key) rn from d) select municipality_id, key cell_id, round(dg, 6) degrees from r where rn = 1",
+    "o91_r2_matrix": " union all ".join(
+        f"select '{x}' predictor, '{y}' outcome, n, round(1 - (1 - r * r) * (n - 1) / (n - 2), 5) adj_r2 from (select count(*) n, (sum(w * x * y) / sum(w) - sum(w * x) / sum(w) * sum(w * y) / sum(w)) / sqrt((sum(w * x * x) / sum(w) - power(sum(w * x) / sum(w), 2)) * (sum(w * y * y) / sum(w) - power(sum(w * y) / sum(w), 2))) r"
+        f" from (select {x} x, {y} y, total_area_2024_ha w from municipality_mechanism where {x} is not null and {y} is not null and total_area_2024_ha > 0)) where n >= 80"
+        for x in _PREDICTORS
+        for y in _OUTCOMES
+    ),
+    "o_ordered_categories": "select dominant_biome, coalesce(nullif(list_position(['cerrado', 'amazonia', 'caatinga'], lower(dominant_biome)), 0), 4)::int place, round(sum(total_area_2024_ha), 3) area from municipality_mechanism group by 1",
+    "set_intersect": "select station_id from station_hourly intersect select station_id from inmet_hourly_raw",
     "pipe_station_evaluation": f"""with {_CELLS}, {_CELL}, o as (select station_id, cast(obs_time as date) d, avg(case when isnan(tair_c) then null else tair_c end) o from station_hourly where obs_time is not null group by 1, 2),
 st as (select station_id, lat, lon from station_metadata where lat between -34 and 6 and lon between -74.5 and -32),
 nr as (select station_id, key, row_number() over (partition by station_id order by sqrt((lat - y) * (lat - y) + (lon - x) * (lon - x)), key) rn from st, cells),
