@@ -71,13 +71,21 @@ def lowess_curve(df: DataFrame, key: str, row_id: str, x: str, y: str, *, frac:
     one value of x give no rows.
     """
     rows = _rows(df, key, row_id, x, y, None, blocks)
-    span = rows.groupBy("key").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count(F.lit(1)).alias("n"), (F.count_distinct("x") < 5).alias("line")).filter((F.col("n") >= least) & (F.col("x1") > F.col("x0")))
+    span = rows.groupBy("key").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least) & (F.col("x1") > F.col("x0")))
     step = (F.col("x1") - F.col("x0")) / (points - 1)
-    placed = rows.join(span, "key").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("d", F.col("x") - (F.col("x0") + F.col("g") * step))
+    places, away = F.sequence(F.lit(0), F.lit(points - 1)), lambda g: F.col("x") - (F.col("x0") + g * step)
+    placed = rows.join(span, "key").withColumn("g", F.explode(places)).withColumn("d", away(F.col("g")))
     reach = placed.groupBy("key", "g").agg((F.percentile_approx(F.abs("d"), F.lit(frac), F.lit(10000)) * 1.0000001 + 1e-12).alias("h"))
     u = F.abs("d") / F.col("h")
     kernel = F.pow(1 - F.pow(u, F.lit(3)), F.lit(3))
-    near = placed.join(F.broadcast(reach) if points <= 200 else reach, ["key", "g"]).filter(u < 1).withColumn("k", kernel)  # groups x points rows
+    reaches = reach.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("g", "h"))).alias("hs"))  # a row per group
+
+    def within(data: DataFrame) -> DataFrame:
+        """Each row once per place whose reach holds it."""
+        met = F.filter(places, lambda g: F.abs(away(g)) < F.try_element_at("hs", g))
+        return data.join(reaches, "key").withColumn("g", F.explode(met)).withColumn("d", away(F.col("g"))).withColumn("h", F.try_element_at("hs", F.col("g"))).drop("hs")
+
+    near = within(rows.join(span, "key")).withColumn("k", kernel)
 
     def sums(data: DataFrame, *by: str) -> DataFrame:
         k, d, yy = F.col("k"), F.col("d"), F.col("y")
@@ -93,8 +101,7 @@ def lowess_curve(df: DataFrame, key: str, row_id: str, x: str, y: str, *, frac:
     resid = rows.join(span, "key").join(first, "key").select("key", "block", "x", "y", "x0", "x1", F.abs(F.col("y") - fitted).alias("r"))
     scale = resid.groupBy("key").agg((F.percentile_approx("r", F.lit(0.5), F.lit(10000)) * 6).alias("s"))
     robust = F.when(F.col("s") > 0, F.when(F.col("r") < F.col("s"), F.pow(1 - F.pow(F.col("r") / F.col("s"), F.lit(2)), F.lit(2))).otherwise(0.0)).otherwise(1.0)
-    again = resid.join(scale, "key").withColumn("q", robust).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("d", F.col("x") - (F.col("x0") + F.col("g") * step))
-    again = again.join(F.broadcast(reach) if points <= 200 else reach, ["key", "g"]).filter(u < 1).withColumn("k", kernel * F.col("q"))
+    again = within(resid.join(scale, "key").withColumn("q", robust)).withColumn("k", kernel * F.col("q"))
     per_block = sums(again, "block")  # at most points x blocks rows per group
     kind = df.schema[key].dataType.simpleString()
 
