@@ -122,7 +122,7 @@ def test_percentiles(spark, finish_at, block_rows):
     rows = [("big", i % 7, round(rng.gauss(0, 1) ** 3, 3)) for i in range(3000)] + [("flat", 0, 2.5)] * 400 + [("one", 1, -1.0), (None, 2, 4.0), (None, 2, 5.0), ("big", 1, None), ("big", 1, float("nan")), ("none", 1, None)]
     df = spark.createDataFrame(rows, "grp string, day int, v double").withColumn("p", F.lit("clash")).withColumn("g", F.lit(1)).withColumn("twice", F.col("v") * 2)
     answers = lambda s: {(r["grp"], r["p"]): r["value"] for r in quantiles.select_percentiles(s, PROBS, finish_at=finish_at).filter("variable = 'v'").collect()}
-    got = answers(quantiles.summarise(df, ["grp"], ["v", "twice"], block_rows=block_rows))
+    got = answers(quantiles.summarise(df, ["grp"], ["v", "twice"], spread_by=["day"], block_rows=block_rows))
     by: dict = {}
     for g, _, v in rows:
         if v is not None and v == v:

@@ -31,7 +31,7 @@ MOST_BROADCAST = 100_000
 _OWN = ("variable", "xs", "ws", "whole")
 
 
-def summarise(df: DataFrame, groups: Sequence[str], values: Sequence[str], *, resolution: float = 0.0, block_rows: int = BLOCK) -> DataFrame:
+def summarise(df: DataFrame, groups: Sequence[str], values: Sequence[str], *, resolution: float = 0.0, spread_by: Sequence[str] = (), block_rows: int = BLOCK) -> DataFrame:
     """(groups, variable, xs, ws, whole): sorted blocks of the values of each column of ``values`` per group.
 
     ``ws`` holds how often each value occurs, or is NULL where each stands for
@@ -39,17 +39,20 @@ def summarise(df: DataFrame, groups: Sequence[str], values: Sequence[str], *, re
     out. With a ``resolution`` above 0, values are rounded to its multiples, so
     a percentile is at most half of it away from the exact one and a group's
     summary is no longer than its range divided by it. 0 keeps exact values.
-    NULL groups form a group. Equal rows count each. Columns of ``groups`` must
+    NULL groups form a group. Equal rows count each. Rows of a large group are
+    spread by a hash of their values and of ``spread_by``, which should name a
+    key where many rows of a group are equal; the hash depends on nothing else,
+    so a lost task makes the same blocks again. Columns of ``groups`` must
     not be named variable, xs, ws or whole.
     """
     if set(groups) & set(_OWN):
         raise ValueError(f"group columns must not be named {', '.join(_OWN)}")
-    rows = df.select(*[F.col(f"`{g}`").alias(g) for g in groups], *[(null_if_nan(F.col(f"`{v}`").cast("double")) + 0.0).alias(f"__v{i}") for i, v in enumerate(values)])
+    rows = df.select(*[F.col(f"`{g}`").alias(g) for g in groups], *[(null_if_nan(F.col(f"`{v}`").cast("double")) + 0.0).alias(f"__v{i}") for i, v in enumerate(values)], F.xxhash64(*[F.col(f"`{c}`") for c in [*values, *spread_by]]).alias("__spread"))
     names = [f"__v{i}" for i in range(len(values))]
     if resolution > 0:
         scale = round(1 / resolution)
         each = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), (F.round(F.col(n) * scale) / scale).alias("x")) for v, n in zip(values, names)]))
-        counted = rows.select(*groups, each.alias("e")).select(*groups, "e.*").filter("x is not null").groupBy(*groups, "variable", "x").agg(F.count(F.lit(1)).alias("w"))
+        counted = rows.select(*groups, each.alias("e")).select(*groups, "e.*").filter("x is not null").groupBy(*groups, "variable", "x").agg(F.count(F.lit(1)).alias("w")).withColumn("__spread", F.xxhash64("x"))
         blocked = _blocked(counted, [*groups, "variable"], block_rows)
         pairs = blocked.groupBy(*groups, "variable", "__blocks", "__block").agg(F.sort_array(F.collect_list(F.struct("x", "w"))).alias("p"))
         return pairs.select(*groups, "variable", F.col("p.x").alias("xs"), F.col("p.w").alias("ws"), (F.col("__blocks") == 1).alias("whole"))
@@ -61,15 +64,14 @@ def summarise(df: DataFrame, groups: Sequence[str], values: Sequence[str], *, re
 
 
 def _blocked(rows: DataFrame, groups: list[str], block_rows: int) -> DataFrame:
-    """Adds __blocks, the number of blocks of the row's group, and __block, the row's own."""
+    """Adds __blocks, the number of blocks of the row's group, and __block, the row's own by its hash __spread."""
     # At most rows / block_rows rows; map-side counts come first.
     many = cut(rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows).withColumn("__blocks", F.ceil(F.col("n") / block_rows).cast("int")).drop("n"))
     few = many.count() <= MOST_BROADCAST
     # Without groups, one row for all.
     joined = join_groups(rows, F.broadcast(many) if few else many, groups, "left") if groups else rows.crossJoin(F.broadcast(many.agg(F.max("__blocks").alias("__blocks"))))
     blocks = F.coalesce("__blocks", F.lit(1))
-    others = [c for c in rows.columns if c not in groups]
-    return joined.withColumn("__block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), *others), blocks).cast("int")).withColumn("__blocks", blocks)
+    return joined.withColumn("__block", F.pmod(F.col("__spread"), blocks).cast("int")).withColumn("__blocks", blocks)
 
 
 def merge(*summaries: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of tmax and vpdmean per region, cell and day of year."""
     grid = table(spark, sf_dir, "daily_grid")
     kinds = (("region", "region"), ("cell", "cell_id"), ("doy", "doy_noleap"))
-    parts = [summarise(grid, [c], ["tmax", "vpdmean"]).select(F.lit(k).alias("grouping"), F.col(c).cast("string").alias("group_key"), "variable", "xs", "ws", "whole") for k, c in kinds]
+    parts = [summarise(grid, [c], ["tmax", "vpdmean"], spread_by=["cell_id", "obs_date"]).select(F.lit(k).alias("grouping"), F.col(c).cast("string").alias("group_key"), "variable", "xs", "ws", "whole") for k, c in kinds]
     return select_percentiles(parts[0].unionByName(parts[1]).unionByName(parts[2]), PERCENTILES)
 
 
