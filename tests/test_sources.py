@@ -38,6 +38,24 @@ def test_station_text_in_other_forms(spark, tmp_path):
     assert stations.read_station_text(spark, str(tmp_path / "c"), separator="|", header=("date", "time")).count() == 3
 
 
+def test_station_text_of_unusual_headers(spark, tmp_path):
+    """Colons, columns in another order, a code only in the file's name, a byte order mark, dates without leading zeros."""
+    (tmp_path / "INMET_MG_A521_2019.CSV").write_text("\ufeffUF: MG\nALTITUDE: 854,5\nESTAÇÃO: Ibirité\nHora Medicao;Temperatura;Data Medicao\n0300;22,5;3/1/2019\n0400;23;05-01-19\n0500;1;x\n", encoding="utf-8")
+    got = stations.read_station_text(spark, str(tmp_path)).collect()
+    assert [(r["station_id"], r["station_name"], r["uf"], r["altitude_m"], r["lat"], str(r["obs_date"]), r["hour_text"], r["fields"]) for r in got] == [
+        ("A521", "Ibirité", "MG", 854.5, None, d, h, {"temperatura": t}) for d, h, t in (("2019-01-03", "0300", 22.5), ("2019-01-05", "0400", 23.0))
+    ]
+
+
+def test_read_years(spark, tmp_path):
+    """Years that aren't asked for are pruned from the scan."""
+    df = spark.createDataFrame([(y, float(y)) for y in (2001, 2002, 2003, 2003)], "year int, v double")
+    df.write.partitionBy("year").parquet(f"{tmp_path}/t")
+    got = stations.read_years(spark, f"{tmp_path}/t", [2001, 2003])
+    assert got.count() == 3 and stations.read_years(spark, f"{tmp_path}/t").count() == 4
+    assert len(got.inputFiles()) >= 1 and "PartitionFilters: [" in got._jdf.queryExecution().toString() and "year" in got._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_columns(spark):
     assert stations.find_column(["Código IBGE", "NM_MUN"], ["nm mun"]) == "NM_MUN"
     assert stations.find_column(["x", "Latitude (graus)"], ["latitude"]) == "Latitude (graus)"

@@ -41,8 +41,8 @@ def station_code(c: Column | str) -> Column:
     return F.when(letter != "", letter).when(digits != "", digits.cast("long").cast("string"))
 
 
-def first_date(c: Column | str, formats: Sequence[str] = ("yyyy/MM/dd", "yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy")) -> Column:
-    """The date by the first format that fits the row's own text, else NULL."""
+def first_date(c: Column | str, formats: Sequence[str] = ("yyyy/M/d", "yyyy-M-d", "d/M/yyyy", "d-M-yyyy", "d/M/yy", "d-M-yy")) -> Column:
+    """The date by the first format that fits the row's own text, else NULL; years of two digits are 20xx."""
     c = F.col(c) if isinstance(c, str) else c
     return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats]).cast("date")
 

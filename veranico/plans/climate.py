@@ -184,7 +184,7 @@ def o92_metric_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = cell_days(spark, sf_dir).withColumn("month", F.month("obs_date"))
     pairs = [st.correlations(days, ["region", "month"], "tmax", c).select(F.lit(c).alias("metric"), "month", "pearson") for c in ("vpdmean", "tmean")]
     both = pairs[0].unionByName(pairs[1])
-    return rounded(both.groupBy("metric").pivot("month", [1, 2, 3]).agg(F.median("pearson")).withColumnsRenamed({"1": "m1", "2": "m2", "3": "m3"}), 5)
+    return rounded(both.groupBy("metric").pivot("month", list(range(1, 13))).agg(F.median("pearson")).withColumnsRenamed({str(m): f"m{m}" for m in range(1, 13)}), 5)
 
 
 def o45_valid_years(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,7 +420,7 @@ s as (select k, year(day) as year, avg(v - p75) severity from r1 where len >= 2
 t as (select k, sum(c * (c - 1) * (2 * c + 5))::double t, sum(c)::double n from (select k, v, count(*) c from m group by 1, 2) group by 1), w as (select k, n, s, s / sqrt((n * (n - 1) * (2 * n + 5) - t) / 18) z from s join t using (k))
 select k, n::bigint n, case when n >= 5 then round(s / (n * (n - 1) / 2), 5) end tau, case when n >= 5 then round({_TAIL('z')}, 5) end p_value from w""",
     "o92_metric_matrix": f"""with {_CELL}, u as (select 'vpdmean' metric, region, month(obs_date) mo, tmax a, vpdmean b from c union all select 'tmean', region, month(obs_date), tmax, tmean from c),
-r as (select metric, region, mo, corr(a, b) r from u where a is not null and b is not null group by 1, 2, 3 having count(*) >= 5) select metric, round(median(r) filter (mo = 1), 5) m1, round(median(r) filter (mo = 2), 5) m2, round(median(r) filter (mo = 3), 5) m3 from r group by 1""",
+r as (select metric, region, mo, corr(a, b) r from u where a is not null and b is not null group by 1, 2, 3 having count(*) >= 5) select metric, {', '.join(f'round(median(r) filter (mo = {m}), 5) m{m}' for m in range(1, 13))} from r group by 1""",
     "o45_valid_years": f"with {_D}, y as (select k, year(day) as year, case when count(v) >= 60 then avg(v) end v from d group by 1, 2) select k, count(v) n_valid_years, case when count(v) >= 5 then round(avg(v), 4) end as value from y group by 1",
     "o63_coverage": f"""with {_D}, y as (select k, year(day) as year, count(v) * 1.0 / case when (year(day) % 4 = 0 and year(day) % 100 <> 0) or year(day) % 400 = 0 then 366 else 365 end f from d group by 1, 2),
 c as (select k, count(*) filter (f >= 0.15 and year between 1995 and 1998) n_valid_baseline, count(*) filter (f >= 0.15 and year between 1995 and 2001) n_valid_full from y group by 1) select *, n_valid_baseline >= 3 and n_valid_full >= 5 selected from c""",

@@ -328,8 +328,8 @@ def o34_repair_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o13_clean_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers with decimal commas and marks of missing values, and dates of two layouts."""
-    r = table(spark, sf_dir, "inmet_hourly_raw").select("station_id", tx.clean_number("tair_text").alias("t"), tx.clean_number("rh_text").alias("h"), tx.first_date("data_text", ("yyyy/MM/dd", "yyyy-MM-dd")).alias("d"))
+    """Numbers with decimal commas and marks of missing values, and dates of all plain layouts."""
+    r = table(spark, sf_dir, "inmet_hourly_raw").select("station_id", tx.clean_number("tair_text").alias("t"), tx.clean_number("rh_text").alias("h"), tx.first_date("data_text").alias("d"))
     return rounded(r.groupBy("station_id").agg(F.count("t").alias("n_t"), F.sum("t").alias("sum_t"), F.count("h").alias("n_h"), F.sum("h").alias("sum_h"), F.count("d").alias("n_d"), F.max("d").cast("string").alias("last_d")), 4)
 
 
@@ -417,6 +417,12 @@ _NUM = lambda c: (
     f"(select try_cast(replace(case when regexp_full_match(z, '-?[0-9]{{1,3}}([.][0-9]{{3}})+,[0-9]+') then replace(z, '.', '') else z end, ',', '.') as double) from (select case when regexp_full_match(trim({c}), '[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)') or regexp_full_match(trim({c}), '-?[0-9]{{1,3}}([.][0-9]{{3}})+,[0-9]+') then trim({c}) end z))"
 )
 
+_DATES = ", ".join(
+    f"case when regexp_full_match(trim(data_text), '{pattern}') then try_strptime(trim(data_text), '{layout}') end"
+    for sep in "/-"
+    for pattern, layout in ((f"[0-9]{{4}}{sep}[0-9]{{1,2}}{sep}[0-9]{{1,2}}", f"%Y{sep}%m{sep}%d"), (f"[0-9]{{1,2}}{sep}[0-9]{{1,2}}{sep}[0-9]{{4}}", f"%d{sep}%m{sep}%Y"), (f"[0-9]{{1,2}}{sep}[0-9]{{1,2}}{sep}[0-9]{{2}}", f"%d{sep}%m{sep}%y"))
+)
+
 # Rows once per resample with the number of copies that the hash of id and resample draws.
 _DRAWN = "u as (select s.*, rep, ('0x' || substr(md5(id || '-' || rep), 1, 8))::bigint / 4294967296.0 u from s, (select unnest(range(1, 501)) rep)), drawn as (select *, " + " + ".join(f"(u >= {x})::int" for x in st.poisson_steps()) + " copies from u)"
 
@@ -508,7 +514,7 @@ when state_acronym_norm in ('SP', 'MG', 'RJ', 'ES') and transformed_non_native_p
 from municipality_mechanism, (select unnest(range(4)) i), (select unnest(range(4)) j), (select unnest([0, 1]) turn), (select unnest([0, 1]) flip)),
 r as (select *, row_number() over (partition by id order by changed, lat, lon) rn from c where lat between -35 and 6 and lon between -75 and -32)
 select municipality_id, round(lat, 5) lat, round(lon, 5) lon, coalesce(changed > 0, false) changed from municipality_mechanism left join r on id = municipality_id and rn = 1""",
-    "o13_clean_readings": f"""with r as (select station_id, {_NUM('tair_text')} t, {_NUM('rh_text')} h, coalesce(case when regexp_full_match(trim(data_text), '[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}') then try_strptime(trim(data_text), '%Y/%m/%d') end, case when regexp_full_match(trim(data_text), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then try_strptime(trim(data_text), '%Y-%m-%d') end)::date d from inmet_hourly_raw),
+    "o13_clean_readings": f"""with r as (select station_id, {_NUM('tair_text')} t, {_NUM('rh_text')} h, coalesce({_DATES})::date d from inmet_hourly_raw),
 c as (select station_id, case when t not in (-9999, -999) then t end t, case when h not in (-9999, -999) then h end h, d from r)
 select station_id, count(t) n_t, round(sum(t), 4) sum_t, count(h) n_h, round(sum(h), 4) sum_h, count(d) n_d, max(d)::varchar last_d from c group by 1""",
     "o14_trusted_stations": "with g as (select distinct station_id from station_metadata where lower(trim(op_status)) in ('operante', 'sim', 'true', '1')) select uf, count(*) filter (station_id in (select station_id from g)) n_trusted, count(*) filter (station_id not in (select station_id from g)) n_other from station_hourly group by 1",

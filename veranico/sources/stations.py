@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veranico.functions.text import clean_number, first_date, station_code
+from veranico.functions.text import ACCENTED, PLAIN, clean_number, first_date, station_code
 from veranico.functions.thermo import wrap_longitude
 
 # Names that columns of gridded and station tables go by.
@@ -56,31 +58,46 @@ def read_years(spark: SparkSession, folder: str, years: Sequence[int] | None = N
     return df.filter(F.col("year").isin(*years)) if years else df
 
 
-def read_station_text(spark: SparkSession, path: str, encoding: str | None = None, preamble: int = 25, separator: str = ";", header: Sequence[str] = ("data", "hora")) -> DataFrame:
-    """Hourly rows of station files: (file, station_id, uf, lat, lon, obs_date, hour_text, fields).
+# Words that lines before the table of a station file begin with.
+PREAMBLE = {"station_id": "codigo|wmo|station|cod", "station_name": "estacao|nome", "region": "regiao", "uf": "uf", "lat": "latitude", "lon": "longitude", "altitude_m": "altitude"}
 
-    A file has lines of a key and a value, then a header whose first fields
-    start with the words of ``header``, then rows, of which only those that
-    start with a date are kept. Without an ``encoding`` a file is read as UTF-8
-    where it is valid, else as Latin-1. ``fields``
-    is a map from plain column name to number, so short and long rows both fit.
-    A file without a header gives no rows; files are bounded by a station-year.
+
+def read_station_text(spark: SparkSession, path: str, encoding: str | None = None, preamble: int = 25, separator: str = ";", header: Sequence[str] = ("data", "hora"), search: int = 100) -> DataFrame:
+    """Hourly rows of station files: (file, the entries of PREAMBLE, obs_date, hour_text, fields).
+
+    A file has lines of a word and a value, with the separator or a colon
+    between them, then a header, then rows, of which only those that start with
+    a date are kept. The header is the first of the ``search`` first lines in
+    which each word of ``header`` begins a field, in any order, case and with
+    or without accents; date and hour are the fields of its first two words.
+    Without an ``encoding`` a file is read as UTF-8 where it is valid, else as
+    Latin-1. ``fields`` is a map from plain column name to number, so short and
+    long rows both fit; cells beyond the header have no name and are left out.
+    A file without a header gives no rows, and an entry that the preamble
+    lacks is NULL, the station's code then being that of the file's name.
+    Files are bounded by a station-year.
     """
     raw = spark.read.format("binaryFile").load(path).select("content", F.element_at(F.split("path", "/"), -1).alias("file"))
     value = F.decode("content", encoding) if encoding else F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
-    text, sep = raw.select(value.alias("value"), "file"), f"\\Q{separator}\\E"
+    text, sep = raw.select(F.ltrim(value, F.lit("\ufeff")).alias("value"), "file"), f"\\Q{separator}\\E"
+    plain = lambda x: F.regexp_replace(F.lower(F.translate(x, ACCENTED, PLAIN)), r"[^a-z0-9]+", "_")
+    cells = lambda x: F.transform(F.split(x, sep), lambda c: F.trim(plain(c), F.lit("_")))
+    starting = lambda word: lambda c: c.startswith(plain_name(word))
     lines = text.withColumn("lines", F.split("value", "\r?\n"))
-    other = f"[^{re.escape(separator)}]*"
-    is_header = lambda x: F.lower(x).rlike(r"^\s*" + rf"{other}{sep}\s*".join(header))
-    lines = lines.withColumn("header", F.get(F.filter("lines", is_header), F.lit(0))).filter("header is not null")
-    entry = lambda word: F.trim(F.regexp_extract(F.get(F.filter(F.slice("lines", 1, preamble), lambda x: F.lower(x).rlike(rf"^\s*{word}")), F.lit(0)), rf"{sep}\s*({other})", 1))
-    names = F.transform(F.split("header", sep), lambda x: F.regexp_replace(F.lower(F.translate(x, "ÁÂÃÀÉÊÍÓÔÕÚÇáâãàéêíóôõúç", "AAAAEEIOOOUCaaaaeeiooouc")), r"[^a-z0-9]+", "_"))
-    rows = lines.select("file", entry("(c[oó]digo|wmo|station)").alias("code"), entry("uf").alias("uf"), entry("latitude").alias("lat"), entry("longitude").alias("lon"), names.alias("names"), F.explode("lines").alias("line"))
-    rows = rows.filter(F.col("line").rlike(r"^\s*(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4})\s*" + sep)).withColumn("cells", F.split("line", sep))
-    fields = F.map_from_entries(
-        F.array_distinct(F.filter(F.transform("names", lambda n, i: F.struct(n.alias("k"), clean_number(F.get("cells", i)).alias("v"))), lambda e: (e["k"] != "") & ~e["k"].startswith("data") & ~e["k"].startswith("hora") & e["v"].isNotNull()))
-    )
-    return rows.select("file", station_code("code").alias("station_id"), F.upper("uf").alias("uf"), clean_number("lat").alias("lat"), clean_number("lon").alias("lon"), first_date(F.get("cells", F.lit(0))).alias("obs_date"), F.get("cells", F.lit(1)).alias("hour_text"), fields.alias("fields"))
+    is_header = lambda x: reduce(and_, [F.exists(cells(x), starting(w)) for w in header])
+    lines = lines.withColumn("header", F.get(F.filter(F.slice("lines", 1, search), is_header), F.lit(0))).filter("header is not null").withColumn("names", cells("header"))
+    place = lambda word: F.array_position(F.transform("names", starting(word)), True).cast("int") - 1
+    # The part before the first separator or colon, and the first value behind it.
+    entry = lambda words: F.get(F.filter(F.slice("lines", 1, preamble), lambda x: F.lower(F.translate(x, ACCENTED, PLAIN)).rlike(rf"^\s*({words})\b[^:{re.escape(separator)}]*[:{re.escape(separator)}]")), F.lit(0))
+    behind = lambda line: F.nullif(F.trim(F.regexp_extract(line, rf"^[^:{re.escape(separator)}]*[:{re.escape(separator)}]+\s*([^{re.escape(separator)}]*)", 1)), F.lit(""))
+    found = lines.select("file", "names", place(header[0]).alias("day_at"), place(header[1]).alias("hour_at"), *[behind(entry(words)).alias(name) for name, words in PREAMBLE.items()], F.explode("lines").alias("line"))
+    rows = found.withColumn("cells", F.split("line", sep)).withColumn("day", F.trim(F.get("cells", F.col("day_at"))))
+    rows = rows.filter(F.col("day").rlike(r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4})$"))
+    named = F.transform("names", lambda n, i: F.struct(n.alias("k"), F.when(~i.isin(F.col("day_at"), F.col("hour_at")), clean_number(F.get("cells", i))).alias("v")))
+    fields = F.map_from_entries(F.array_distinct(F.filter(named, lambda e: (e["k"] != "") & e["v"].isNotNull())))
+    code = F.coalesce(station_code("station_id"), F.upper(F.nullif(F.regexp_extract("file", r"(?:^|_)([A-Za-z]\d{3})(?:_|\.)", 1), F.lit(""))))
+    numbers = [clean_number(c).alias(c) for c in ("lat", "lon", "altitude_m")]
+    return rows.select("file", code.alias("station_id"), "station_name", "region", F.upper("uf").alias("uf"), *numbers, first_date("day").alias("obs_date"), F.get("cells", F.col("hour_at")).alias("hour_text"), fields.alias("fields"))
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
