@@ -28,13 +28,16 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
     return found.drop("__v")
 
 
-def correlations(df: DataFrame, keys: Sequence[str], x: str, y: str, *, least: int = 5) -> DataFrame:
-    """(keys, n, pearson, spearman) over rows with both values; NULL under ``least`` rows or without scatter."""
+def correlations(df: DataFrame, keys: Sequence[str], x: str, y: str, *, least: int = 5, ranks: bool = True) -> DataFrame:
+    """(keys, n, pearson, spearman) over rows with both values; NULL under ``least`` rows or without scatter.
+
+    Without ``ranks`` there is no spearman, and one aggregation does.
+    """
     rows = df.select(*keys, null_if_nan(x).cast("double").alias("x"), null_if_nan(y).cast("double").alias("y")).filter("x is not null and y is not null")
-    ranked = average_ranks(average_ranks(rows, keys, "x", "rx"), keys, "y", "ry")
+    ranked = average_ranks(average_ranks(rows, keys, "x", "rx"), keys, "y", "ry") if ranks else rows
     n = F.count(F.lit(1))
     ok = (n >= least) & (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
-    return ranked.groupBy(*keys).agg(n.alias("n"), F.when(ok, F.corr("x", "y")).alias("pearson"), F.when(ok, F.corr("rx", "ry")).alias("spearman"))
+    return ranked.groupBy(*keys).agg(n.alias("n"), F.when(ok, F.corr("x", "y")).alias("pearson"), *([F.when(ok, F.corr("rx", "ry")).alias("spearman")] if ranks else []))
 
 
 def _weighted_corr(x: Column, y: Column, w: Column) -> Column:

@@ -182,7 +182,7 @@ def o72_kendall_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o92_metric_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median over regions of each month's correlation of two pairs of daily metrics."""
     days = cell_days(spark, sf_dir).withColumn("month", F.month("obs_date"))
-    pairs = [st.correlations(days, ["region", "month"], "tmax", c).select(F.lit(c).alias("metric"), "month", "pearson") for c in ("vpdmean", "tmean")]
+    pairs = [st.correlations(days, ["region", "month"], "tmax", c, ranks=False).select(F.lit(c).alias("metric"), "month", "pearson") for c in ("vpdmean", "tmean")]
     both = pairs[0].unionByName(pairs[1])
     return rounded(both.groupBy("metric").pivot("month", list(range(1, 13))).agg(F.median("pearson")).withColumnsRenamed({str(m): f"m{m}" for m in range(1, 13)}), 5)
 
@@ -209,6 +209,14 @@ def o71_conditional_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tr.conditional_trend(monthly_orders(spark, sf_dir), ["k"], "m", "v"), 4)
 
 
+def pipe_event_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trends and tests of the yearly frequency, duration and intensity of each series' events."""
+    annual = o40_annual_events(spark, sf_dir).withColumn("regime", F.lit("p75"))
+    trends = pl.regime_trends(annual, "k", least=5).drop("regime")
+    # Slopes often lie halfway between two rounded values; the shift makes all engines round them up.
+    return rounded(trends.withColumns({c: F.col(c) + 1e-7 for c in ("slope", "ols_slope")}), 4)
+
+
 def o84_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tr.leave_one_out(annual_orders(spark, sf_dir), ["k"], "y", "v", least=5), 4)
 
@@ -311,7 +319,7 @@ QUERIES = {
     for f in (
         o03_standardise, o26_regimes, o26_regime_events, o46_daily_resample, o47_daily_min_count, o48_monthly_climatology, o49_annual_mean, o50_doy_quantiles, o50_cell_quantiles, o51_doy_moments, o40_annual_events,
         o85_scenario_sweep, o41_persistent_days, o27_four_states, o42_state_episodes, o43_state_pivot, o44_event_severity, o45_valid_years, o72_kendall_p, o92_metric_matrix, o63_coverage, o67_theil_sen, o68_mann_kendall,
-        o71_conditional_trend, o84_leave_one_out, o84_truncated, o76_trend_agreement, o35_thermo, o39_severity, o86_vpd_parts, o86_vpd_slopes, o22_physical_qc, o22_daily_qc, o33_tolerant_lookup, o39d_cell_area, stream_hours,
+        o71_conditional_trend, pipe_event_trends, o84_leave_one_out, o84_truncated, o76_trend_agreement, o35_thermo, o39_severity, o86_vpd_parts, o86_vpd_slopes, o22_physical_qc, o22_daily_qc, o33_tolerant_lookup, o39d_cell_area, stream_hours,
     )
 }
 
@@ -366,12 +374,26 @@ _REG = (
 
 
 _SLOPES = _M + ", s as (select a.k, median((b.v - a.v) / (b.m - a.m)) b from m a join m b on a.k = b.k and b.m > a.m group by 1), n as (select k, count(*) n, median(v) my, median(m) mx from m group by 1)"
-_MK = _M + """, s as (select a.k, sum(sign(b.v - a.v))::double s from m a join m b on a.k = b.k and b.m > a.m group by 1),
+_MK_STEPS = """s as (select a.k, sum(sign(b.v - a.v))::double s from m a join m b on a.k = b.k and b.m > a.m group by 1),
 t as (select k, sum(c * (c - 1) * (2 * c + 5))::double t, sum(c)::double n from (select k, v, count(*) c from m group by 1, 2) group by 1),
 w as (select k, n, s, (n * (n - 1) * (2 * n + 5) - t) / 18 var_s from s join t using (k))"""
+_MK = f"{_M}, {_MK_STEPS}"
 _TAIL = lambda z: (
     f"((1 / (1 + 0.3275911 * abs({z}) / 1.4142135623730951)) * (0.254829592 + (1 / (1 + 0.3275911 * abs({z}) / 1.4142135623730951)) * (-0.284496736 + (1 / (1 + 0.3275911 * abs({z}) / 1.4142135623730951)) * (1.421413741 + (1 / (1 + 0.3275911 * abs({z}) / 1.4142135623730951)) * (-1.453152027 + (1 / (1 + 0.3275911 * abs({z}) / 1.4142135623730951)) * 1.061405429)))) * exp(-({z}) * ({z}) / 2))"
 )
+# Steps and columns of the conditional trend of a table m of keys k, times m and values v.
+_TREND_STEPS = f"""{_MK_STEPS}, sl as (select a.k, median((b.v - a.v) / (b.m - a.m)) b from m a join m b on a.k = b.k and b.m > a.m group by 1),
+e as (select m.k, m.m, m.v - b * m.m r from m join sl using (k)),
+rk as (select k, m, rank() over (partition by k order by r) + (count(*) over (partition by k, r) - 1) / 2.0 rk from e),
+lg as (select k, rk, lead(rk) over (partition by k order by m) nx from rk),
+l1 as (select k, corr(rk, nx) lag1 from lg where nx is not null group by 1),
+o as (select k, regr_slope(v, m) * 10 ols_slope from m group by 1),
+j as (select k, n, b * 10 slope, ols_slope, lag1, 1.959963985 / sqrt(n) lag1_critical, s, var_s from w join sl using (k) join l1 using (k) join o using (k)),
+h as (select *, case when abs(lag1) > lag1_critical then 1 else 0 end as method from j),
+g as (select *, case when method = 1 then greatest(1.0, 1 + 2 * (n - 3) / n * abs(lag1)) else 1.0 end var_factor from h),
+z as (select *, (s - sign(s)) / sqrt(var_s * var_factor) z, (s - sign(s)) / sqrt(var_s) z0 from g)"""
+_TREND_COLUMNS = f"n::bigint n, round(slope, 4) slope, round(ols_slope, 4) ols_slope, round(lag1, 4) lag1, round(lag1_critical, 4) lag1_critical, method, round(var_factor, 4) var_factor, round(z, 4) z, round({_TAIL('z')}, 4) p_value, round({_TAIL('z0')}, 4) original_p"
+_TREND = f"{_TREND_STEPS} select k, {_TREND_COLUMNS} from z"
 _T, _TD, _RH = _n("tair_c"), _n("td_c"), _n("rh_pct")
 _RHC = f"(case when {_RH} < 0 then 0.0 when {_RH} > 100 then 100.0 else {_RH} end)"
 _RH1 = f"(case when {_RH} between 1 and 100 then {_RH} end)"
@@ -426,17 +448,8 @@ r as (select metric, region, mo, corr(a, b) r from u where a is not null and b i
 c as (select k, count(*) filter (f >= 0.15 and year between 1995 and 1998) n_valid_baseline, count(*) filter (f >= 0.15 and year between 1995 and 2001) n_valid_full from y group by 1) select *, n_valid_baseline >= 3 and n_valid_full >= 5 selected from c""",
     "o67_theil_sen": f"with {_SLOPES} select k, n, case when n >= 20 then round(b * 10, 4) end slope, case when n >= 20 then round(my - b * mx, 4) end intercept from s join n using (k)",
     "o68_mann_kendall": f"with {_MK}, z as (select *, (s - sign(s)) / sqrt(var_s) z from w) select k, n::bigint n, s, round(var_s, 5) var_s, round(z, 5) z, round({_TAIL('z')}, 5) p_value, round(s / (n * (n - 1) / 2), 5) tau from z",
-    "o71_conditional_trend": f"""with {_MK}, sl as (select a.k, median((b.v - a.v) / (b.m - a.m)) b from m a join m b on a.k = b.k and b.m > a.m group by 1),
-e as (select m.k, m.m, m.v - b * m.m r from m join sl using (k)),
-rk as (select k, m, rank() over (partition by k order by r) + (count(*) over (partition by k, r) - 1) / 2.0 rk from e),
-lg as (select k, rk, lead(rk) over (partition by k order by m) nx from rk),
-l1 as (select k, corr(rk, nx) lag1 from lg where nx is not null group by 1),
-o as (select k, regr_slope(v, m) * 10 ols_slope from m group by 1),
-j as (select k, n, b * 10 slope, ols_slope, lag1, 1.959963985 / sqrt(n) lag1_critical, s, var_s from w join sl using (k) join l1 using (k) join o using (k)),
-h as (select *, case when abs(lag1) > lag1_critical then 1 else 0 end as method from j),
-g as (select *, case when method = 1 then greatest(1.0, 1 + 2 * (n - 3) / n * abs(lag1)) else 1.0 end var_factor from h),
-z as (select *, (s - sign(s)) / sqrt(var_s * var_factor) z, (s - sign(s)) / sqrt(var_s) z0 from g)
-select k, n::bigint n, round(slope, 4) slope, round(ols_slope, 4) ols_slope, round(lag1, 4) lag1, round(lag1_critical, 4) lag1_critical, method, round(var_factor, 4) var_factor, round(z, 4) z, round({_TAIL('z')}, 4) p_value, round({_TAIL('z0')}, 4) original_p from z""",
+    "o71_conditional_trend": f"with {_M}, {_TREND}",
+    "pipe_event_trends": f"with {_EXC}, ev as (with {_events('x', 'k', 'v >= p75', '(v - p75)', 2).strip()}), m as (select k || '/' || metric k, m, v from (select k, year m, frequency::double frequency, duration::double duration, intensity from ev) unpivot (v for metric in (frequency, duration, intensity))), {_TREND_STEPS} select split_part(k, '/', 1)::int k, split_part(k, '/', 2) metric, {_TREND_COLUMNS.replace('slope, 4)', 'slope + 1e-7, 4)')} from z",
     "o84_leave_one_out": f"""with {_D}, m as (select k, year(day) as m, round(avg(v), 6) v from d group by 1, 2), n as (select k, count(*) n from m group by 1),
 s as (select a.k, o.m om, median((b.v - a.v) / (b.m - a.m)) * 10 b from m a join m b on a.k = b.k and b.m > a.m join m o on o.k = a.k and o.m <> a.m and o.m <> b.m group by 1, 2)
 select k, n, round(min(b), 4) slope_min, round(quantile_cont(b, 0.25), 4) slope_q25, round(quantile_cont(b, 0.5), 4) slope_median, round(quantile_cont(b, 0.75), 4) slope_q75, round(max(b), 4) slope_max, round(max(b) - min(b), 4) slope_range

@@ -14,7 +14,7 @@ from veranico.operators import spatial as sp
 from veranico.operators import stats as st
 from veranico.operators import trends as tr
 from veranico.operators import weighted as wt
-from veranico.session import join_groups, null_if_nan
+from veranico.session import cut, join_groups, null_if_nan
 
 # Percentiles of the day of year that the regimes compare with, by variable.
 THRESHOLDS = {"tmean": {"tmean_p90": 0.9}, "tmax": {"tmax_p95": 0.95}, "twbmax": {"twbmax_p95": 0.95}, "vpdmean": {"vpdmean_p75": 0.75, "vpdmean_p90": 0.9}, "sm1mean": {"sm1mean_p10": 0.1}, "ws10mean": {"ws10mean_p50": 0.5}}
@@ -65,7 +65,8 @@ def regime_trends(annual: DataFrame, key: str, *, least: int = 20) -> DataFrame:
 def municipal_association(cells: DataFrame, rings: DataFrame, centres: DataFrame, land: DataFrame, *, key: str, values: Sequence[str], predictor: str, weight: str, stratum: str) -> Mapping[str, DataFrame]:
     """Zonal means joined to land metrics, and the tables made of them: municipalities, rank correlations, contrasts, regression."""
     zonal = sp.zonal_means(cells, rings, values, centres).withColumnRenamed("region", key)
-    towns = land.join(zonal, key)
+    # Written once; every table reads it, and the regression in several passes.
+    towns = cut(land.join(zonal, key))
     out = {"municipalities": towns}
     for value in values:
         out[f"spearman_{value}"] = st.weighted_spearman(towns, [stratum], predictor, value, weight)

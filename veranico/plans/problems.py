@@ -66,15 +66,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_series(spark, sf_dir).filter("missing").select("station_id", "slot_s")
 
 
-def p7_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_spikes(
         table(spark, sf_dir, "residual_qc"), table(spark, sf_dir, "variable_limits"),
         key="qc_id", series=["station_id", "variable"], order="window_start", value="median_residual_era5_minus_inmet", variable="variable",
     )
 
 
+def p7_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reading's flags, and the residual, scatter and cutoff that they rest on."""
+    return _p7(spark, sf_dir).withColumns({c: F.round(c, 5) for c in ("residual", "scatter", "tail_cutoff")})
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_flags(spark, sf_dir).filter("impossible or is_stuck or is_spike").select("qc_id")
+    return _p7(spark, sf_dir).filter("impossible or is_stuck or is_spike").select("qc_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p3_found, p3_regions, p5_found, p5_series, p7_found, p7_flags)}
@@ -166,15 +171,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_series(spark, sf_dir).filter("missing").select("station_id", "slot_s")
 
 
-def p7_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_spikes(
         table(spark, sf_dir, "residual_qc"), table(spark, sf_dir, "variable_limits"),
         key="qc_id", series=["station_id", "variable"], order="window_start", value="median_residual_era5_minus_inmet", variable="variable",
     )
 
 
+def p7_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reading's flags, and the residual, scatter and cutoff that they rest on."""
+    return _p7(spark, sf_dir).withColumns({c: F.round(c, 5) for c in ("residual", "scatter", "tail_cutoff")})
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_flags(spark, sf_dir).filter("impossible or is_stuck or is_spike").select("qc_id")
+    return _p7(spark, sf_dir).filter("impossible or is_stuck or is_spike").select("qc_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p3_found, p3_regions, p5_found, p5_series, p7_found, p7_flags)}
@@ -211,6 +221,28 @@ _COVERED = """
   from station_hourly h join station_metadata m using (station_id)
   where h.n_valid_before_outlier_qc > 0 and h.obs_time <= h.loaded_at and h.obs_time >= m.opened_on"""
 
+_P7_SQL = """
+with lim as (select variable, max(low) low, min(high) high from variable_limits group by 1),
+b as (select qc_id, station_id s, r.variable v, window_start o, median_residual_era5_minus_inmet x, coalesce(median_residual_era5_minus_inmet < low or median_residual_era5_minus_inmet > high, false) imp from residual_qc r left join lim using (variable) where median_residual_era5_minus_inmet is not null),
+n as (select *, case when not imp then x end g, coalesce((lag(x) over (partition by s, v order by o, qc_id) <> x)::int, 1) fresh from b),
+w as (select *, sum(fresh) over (partition by s, v order by o, qc_id) run,
+  list_reverse(list_filter(coalesce(list(g) over (partition by s, v order by o, qc_id rows between 14 preceding and 1 preceding), []), lambda z: z is not null)) pb,
+  list_filter(coalesce(list(g) over (partition by s, v order by o, qc_id rows between 1 following and 14 following), []), lambda z: z is not null) pa from n),
+m as (select *, count(*) over (partition by s, v, run) len, list_median(pb[1:7]) b0, list_median(pb[8:14]) b1, list_median(pa[1:7]) a0, list_median(pa[8:14]) a1,
+  x - list_median(list_concat(list_concat(pb[1:7], case when g is null then [] else [g] end), pa[1:7])) cen from w),
+c0 as (select *, list_filter([cen, x - b0, x - a0, case when len(pa[1:7]) < 7 then x - b0 - (b0 - b1) * 4.0 / 7 end, case when len(pb[1:7]) < 7 then x - a0 - (a0 - a1) * 4.0 / 7 end], lambda z: z is not null) tried from m),
+c as (select *, list_min(list_transform(tried, lambda z: struct_pack(s := abs(z), r := z))).r signed, list_min(list_transform(tried, lambda z: abs(z))) res from c0),
+t as (select s, v, median(abs(cen)) filter (not imp) * 1.4826 mad, avg(abs(cen)) filter (not imp) * 1.2533 dev, quantile_cont(res, 0.8) filter (not imp) u from c group by 1, 2),
+d as (select c.*, case when mad > 0 then mad else dev end sc, u, case when not imp and res > u then res - u end ex from c join t on c.s is not distinct from t.s and c.v is not distinct from t.v),
+own as (select s, v, median(ex) med, count(ex) ne from d group by 1, 2),
+var as (select v, quantile_disc(ex / sc, 0.5) filter (sc > 0) q50, quantile_disc(ex / sc, 0.75) filter (sc > 0) q75, count(ex) filter (sc > 0) nq from d group by 1),
+f as (select v, coalesce(q50, 0) mid, case when q50 > 0 and q75 > q50 then greatest(0.0, log2(q75 / q50 - 1) - 7.2 / sqrt(nq)) else 0.0 end xi from var),
+k as (select own.s, own.v, xi, ne, coalesce(med, 0) med, mid from own join f on own.v is not distinct from f.v),
+e as (select d.*, (mid * sc * 50 + med * ne) / (50 + ne) m, xi from d join k on d.s is not distinct from k.s and d.v is not distinct from k.v),
+h as (select *, u + m * case when xi < 1e-6 then ln(20000.0) / ln(2) else (power(20000.0, xi) - 1) / (power(2.0, xi) - 1) end cutoff from e),
+flagged as (select *, imp impossible, len >= 6 is_stuck, coalesce(not imp and res > cutoff and res > sc * 7, false) is_spike from h)
+"""
+
 SQL = {
     "p1_found": _P1_SQL + "select raw_id, utc_us from v where utc_us is not null",
     "p1_instants": _P1_SQL + "select raw_id, station_id, utc_us from inmet_hourly_raw left join v using (raw_id)",
@@ -229,25 +261,8 @@ met as (select municipality_id, polygon_id,
   from pts, edges where y between least(y1, y2) and greatest(y1, y2))
 select municipality_id, polygon_id, bool_or(on_edge) on_boundary from met where crossed or on_edge group by 1, 2
 having count(*) filter (crossed) % 2 = 1 or bool_or(on_edge)""",
-    "p7_found": """
-with lim as (select variable, max(low) low, min(high) high from variable_limits group by 1),
-b as (select qc_id, station_id s, r.variable v, window_start o, median_residual_era5_minus_inmet x, coalesce(median_residual_era5_minus_inmet < low or median_residual_era5_minus_inmet > high, false) imp from residual_qc r left join lim using (variable) where median_residual_era5_minus_inmet is not null),
-n as (select *, case when not imp then x end g, coalesce((lag(x) over (partition by s, v order by o, qc_id) <> x)::int, 1) fresh from b),
-w as (select *, sum(fresh) over (partition by s, v order by o, qc_id) run,
-  list_reverse(list_filter(coalesce(list(g) over (partition by s, v order by o, qc_id rows between 14 preceding and 1 preceding), []), lambda z: z is not null)) pb,
-  list_filter(coalesce(list(g) over (partition by s, v order by o, qc_id rows between 1 following and 14 following), []), lambda z: z is not null) pa from n),
-m as (select *, count(*) over (partition by s, v, run) len, list_median(pb[1:7]) b0, list_median(pb[8:14]) b1, list_median(pa[1:7]) a0, list_median(pa[8:14]) a1,
-  x - list_median(list_concat(list_concat(pb[1:7], case when g is null then [] else [g] end), pa[1:7])) cen from w),
-c as (select *, least(abs(cen), abs(x - b0), abs(x - a0), case when len(pa[1:7]) < 7 then abs(x - b0 - (b0 - b1) * 4.0 / 7) end, case when len(pb[1:7]) < 7 then abs(x - a0 - (a0 - a1) * 4.0 / 7) end) res from m),
-t as (select s, v, median(abs(cen)) filter (not imp) * 1.4826 mad, avg(abs(cen)) filter (not imp) * 1.2533 dev, quantile_cont(res, 0.8) filter (not imp) u from c group by 1, 2),
-d as (select c.*, case when mad > 0 then mad else dev end sc, u, case when not imp and res > u then res - u end ex from c join t on c.s is not distinct from t.s and c.v is not distinct from t.v),
-own as (select s, v, median(ex) med, count(ex) ne from d group by 1, 2),
-var as (select v, quantile_cont(ex / sc, 0.5) filter (sc > 0) q50, quantile_cont(ex / sc, 0.75) filter (sc > 0) q75, count(ex) filter (sc > 0) nq from d group by 1),
-f as (select v, coalesce(q50, 0) mid, case when q50 > 0 and q75 > q50 then greatest(0.0, log2(q75 / q50 - 1) - 7.2 / sqrt(nq)) else 0.0 end xi from var),
-k as (select own.s, own.v, xi, ne, coalesce(med, 0) med, mid from own join f on own.v is not distinct from f.v),
-e as (select d.*, (mid * sc * 50 + med * ne) / (50 + ne) m, xi from d join k on d.s is not distinct from k.s and d.v is not distinct from k.v)
-select qc_id from e where imp or len >= 6 or (res > 7 * sc
-  and res > u + m * case when xi < 1e-6 then ln(20000.0) / ln(2) else (power(20000.0, xi) - 1) / (power(2.0, xi) - 1) end)""",
+    "p7_found": _P7_SQL + "select qc_id from flagged where impossible or is_stuck or is_spike",
+    "p7_flags": _P7_SQL + "select qc_id, s station_id, v as variable, round(signed, 5) residual, round(sc, 5) scatter, round(cutoff, 5) tail_cutoff, impossible, is_stuck, is_spike from flagged",
     "p5_series": """
 with r as (select h.station_id s, m.cadence_s::bigint c, epoch_us(h.obs_time) t, arg_max_null(case when isnan(tair_c) then null else tair_c end, loaded_at) y from station_hourly h join station_metadata m using (station_id)
   where n_valid_before_outlier_qc > 0 and obs_time <= loaded_at and obs_time >= opened_on group by 1, 2, 3),

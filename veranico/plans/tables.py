@@ -11,9 +11,10 @@ from veranico.operators import spatial as sp
 from veranico.operators import stats as st
 from veranico.operators import weighted as wt
 from veranico.operators.proximity import rings_from_wkt, valid_points
+from veranico.plans import problems
 from veranico.plans.climate import _CELL, _n, cell_days, rounded
-from veranico.plans.pipelines import station_evaluation
-from veranico.plans.problems import BOX
+from veranico.plans.pipelines import municipal_association, station_evaluation
+from veranico.plans.problems import BOX, p3_regions
 from veranico.session import clean_missing, join_groups, null_if_nan, table
 
 _Q = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -375,6 +376,16 @@ def pipe_station_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(station_evaluation(observed, daily.join(cell, "cell_id"), keys=["station_id"], day="day", value="t"), 5)
 
 
+def pipe_municipal_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation per biome between a municipality's share of transformed land and the temperature of the polygons that hold its point."""
+    shapes = table(spark, sf_dir, "municipality_polygons")
+    rings = rings_from_wkt(shapes, "polygon_id", "geometry_wkt")
+    centres = valid_points(shapes, "polygon_id", "rep_lat", "rep_lon", BOX)
+    land = towns(spark, sf_dir).select("municipality_id", "transformed_non_native_pct_2024", "total_area_2024_ha", "dominant_biome").join(p3_regions(spark, sf_dir), "municipality_id")
+    out = municipal_association(_cells(spark, sf_dir), rings, centres, land, key="polygon_id", values=["tmax"], predictor="transformed_non_native_pct_2024", weight="total_area_2024_ha", stratum="dominant_biome")
+    return rounded(out["spearman_tmax"], 5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -382,7 +393,7 @@ QUERIES = {
         o59_region_summary, o60_all_and_each, o61_regional_median, o62_criteria, o29_quantile_criteria, o24_box_and_period, o62_ranking, o64_keep_last, o09_unpivot_years, o65_pivot, o66_null_groups, o73_correlations,
         o74_weighted_spearman, o74_permutation_p, o75_skill_scores, o77_capped_outliers, o25_trim, o78_bootstrap, o78_difference, o79_quartile_contrast, o80_anomaly, o81_wls, o81_wls_controls,
         o82_spline, o83_lowess, o87_correlation_table, o88_same_sign, o89_gaussian, o89_opening, o90_density, o91_share_matrix, o94_axis_limit, o93_subsample, o28_tolerance_class,
-        o30_regions, o32_normalise_text, o33_station_code, o34_repair_coordinates, o13_clean_readings, o14_trusted_stations, o_nearest_cell, o56_zonal_means, o56_zonal_share, pipe_station_evaluation, o91_r2_matrix, o_ordered_categories, set_intersect,
+        o30_regions, o32_normalise_text, o33_station_code, o34_repair_coordinates, o13_clean_readings, o14_trusted_stations, o_nearest_cell, o56_zonal_means, o56_zonal_share, pipe_station_evaluation, pipe_municipal_association, o91_r2_matrix, o_ordered_categories, set_intersect,
     )
 }
 
@@ -548,3 +559,7 @@ b as (select polygon_id, rep_lat, rep_lon from municipality_polygons where rep_l
 d as (select polygon_id, hot, row_number() over (partition by polygon_id order by sqrt((rep_lat - y) * (rep_lat - y) + (rep_lon - x) * (rep_lon - x)), key) rn from b, hots)
 select polygon_id, round(hot, 5) hot, n_cells, 'zonal' as method from zm union all select polygon_id, round(hot, 5), 0, 'nearest' from d where rn = 1""",
 }
+SQL["pipe_municipal_association"] = f"""with zt as ({SQL['o56_zonal_means']}), located as ({problems.SQL['p3_regions']}),
+s as (select dominant_biome, municipality_id || '-' || polygon_id id, total_area_2024_ha w, transformed_non_native_pct_2024 x, tmax y from municipality_mechanism join located using (municipality_id) join zt using (polygon_id)
+  where tmax is not null and transformed_non_native_pct_2024 is not null and total_area_2024_ha > 0),
+{_spearman('dominant_biome', 's')} select dominant_biome, count(*) n, case when count(*) >= 10 then round({_wcorr()}, 5) end rho from r group by 1"""
