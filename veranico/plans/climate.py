@@ -386,7 +386,7 @@ _TREND_STEPS = f"""{_MK_STEPS}, sl as (select a.k, median((b.v - a.v) / (b.m - a
 e as (select m.k, m.m, m.v - b * m.m r from m join sl using (k)),
 rk as (select k, m, rank() over (partition by k order by r) + (count(*) over (partition by k, r) - 1) / 2.0 rk from e),
 lg as (select k, rk, lead(rk) over (partition by k order by m) nx from rk),
-l1 as (select k, corr(rk, nx) lag1 from lg where nx is not null group by 1),
+l1 as (select k, nullif(corr(rk, nx), 'nan'::double) lag1 from lg where nx is not null group by 1),
 o as (select k, regr_slope(v, m) * 10 ols_slope from m group by 1),
 j as (select k, n, b * 10 slope, ols_slope, lag1, 1.959963985 / sqrt(n) lag1_critical, s, var_s from w join sl using (k) join l1 using (k) join o using (k)),
 h as (select *, case when abs(lag1) > lag1_critical then 1 else 0 end as method from j),
