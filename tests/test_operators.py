@@ -1,6 +1,7 @@
 """Hand-computed vectors and properties of the climate, weighted and statistics operators."""
 
 import datetime as dt
+import hashlib
 import math
 import random
 
@@ -239,6 +240,25 @@ def test_bootstrap_difference(spark):
     assert st.bootstrap_difference(df.limit(0), ["g"], "id", "x", "v", "w").count() == 0
 
 
+def test_resampled_sums(spark):
+    """Copies as MD5 draws them, for ids of any length; no row per resample; rows without an id are in no resample."""
+    ids = ["7", "1234", "12345678", "é", "", "x" * 51, "x" * 52, "y" * 90, None]
+    rows = [(i, g, float(n + 1), float("inf") if i == "7" else 2.0) for n, i in enumerate(ids) for g in ("a", None)]
+    df = spark.createDataFrame(rows, "id string, g string, v double, u double")
+    out = st._resampled_sums(df, ["g"], 120, ["v", "u"])
+    assert "Generate" not in out._jdf.queryExecution().toString()
+    got, want = {(r["g"], r["rep"]): (r["v"], r["u"]) for r in out.collect()}, {}
+    for i, g, v, u in rows:
+        for rep in range(1, 121):
+            if i is not None and (n := sum(int(hashlib.md5(f"{i}-{rep}".encode()).hexdigest()[:8], 16) / 2**32 >= s for s in st.poisson_steps())):
+                a, b = want.get((g, rep), (0.0, 0.0))
+                want[g, rep] = a + n * v, b + n * u
+    assert got == want and len(got) == 240
+    assert st.bootstrap_mean(df.filter("id is null"), ["g"], "id", "v", "u").count() == 0
+    one = st.bootstrap_mean(df.filter("id != '7'"), [], "id", "v", "u", reps=50).first()
+    assert one["low"] < one["mean"] < one["high"]
+
+
 def test_truncated_slopes(spark):
     rows = [("a", y, float(y if y < 2010 else 2010 + 3 * (y - 2010))) for y in range(2000, 2020)] + [("b", 2000 + i, 1.0) for i in range(3)]
     got = {r["k"]: r for r in tr.truncated_slopes(spark.createDataFrame(rows, "k string, y int, v double"), ["k"], "y", "v", years=10).collect()}

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from veranico.functions.thermo import normal_tail
 from veranico.operators.weighted import linear_quantiles, weighted_cdf
-from veranico.session import cut, join_groups, null_if_nan
+from veranico.session import cut, join_groups, null_if_nan, parallel, ship
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -136,7 +139,8 @@ def bootstrap_mean(df: DataFrame, keys: Sequence[str], row_id: str, value: str,
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(row_id).alias("id"), null_if_nan(value).cast("double").alias("v"), null_if_nan(weight).cast("double").alias("w")).filter("v is not null and w > 0")
-    means = _resampled(rows, reps).groupBy(*keys, "rep").agg((F.sum(F.col("v") * F.col("w")) / F.when(F.sum("w") > 0, F.sum("w"))).alias("m"))
+    drawn = _resampled_sums(rows.withColumn("vw", F.col("v") * F.col("w")), keys, reps, ["vw", "w"])
+    means = drawn.withColumn("m", F.col("vw") / F.when(F.col("w") > 0, F.col("w")))
     band = means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     mean = rows.groupBy(*keys).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"))
     return join_groups(mean, band, keys)
@@ -152,12 +156,122 @@ def poisson_steps() -> list[float]:
     return steps
 
 
-def _resampled(rows: DataFrame, reps: int) -> DataFrame:
-    """Rows (id, w, ...) once per resample ``rep``, their weight times the number of copies drawn."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.col("rep").cast("string"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    times = sum(((F.col("u") >= s).cast("int") for s in poisson_steps()), F.lit(0))
-    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("u", u)
-    return each.withColumn("w", F.col("w") * times).drop("u").filter("w > 0")
+_MD5_TURNS = [*[7, 12, 17, 22] * 4, *[5, 9, 14, 20] * 4, *[4, 11, 16, 23] * 4, *[6, 10, 15, 21] * 4]
+_MD5_ADDED = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+#: Bytes that one MD5 block holds besides its end mark and length.
+_MD5_BLOCK = 55
+
+
+def md5_heads(ids: list[bytes], tails: list[bytes]) -> np.ndarray:
+    """The first 32 bits of MD5 of each id followed by each tail, (ids, tails); the ids are of one length."""
+    size = len(ids[0])
+    if size + max(map(len, tails)) > _MD5_BLOCK:
+        return np.array([[int.from_bytes(hashlib.md5(i + t).digest()[:4], "big") for t in tails] for i in ids], np.uint32)
+    left, right = np.zeros((len(ids), 64), np.uint8), np.zeros((len(tails), 64), np.uint8)
+    left[:, :size] = np.frombuffer(b"".join(ids), np.uint8).reshape(len(ids), size)
+    for row, tail in zip(right, tails):
+        end = size + len(tail)
+        row[size:end] = np.frombuffer(tail, np.uint8)
+        row[end] = 0x80
+        row[56:] = np.frombuffer((8 * end).to_bytes(8, "little"), np.uint8)
+    # The words of the message: of the id alone, of the tail alone, and at most one of both.
+    x, y = left.view("<u4").astype(np.uint32), right.view("<u4").astype(np.uint32)
+    words = [x[:, k, None] if 4 * k + 4 <= size else y[None, :, k] if 4 * k >= size else x[:, k, None] | y[None, :, k] for k in range(16)]
+    a, b, c, d = (np.full((len(ids), len(tails)), v, np.uint32) for v in _MD5_START)
+    f, t = np.empty_like(a), np.empty_like(a)
+    for i in range(61):  # the last three steps don't touch the first word
+        if i < 16:
+            k = i
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            k = (5 * i + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            k = (3 * i + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            k = 7 * i % 16
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        f += words[k] + np.uint32(_MD5_ADDED[i])
+        np.left_shift(f, np.uint32(_MD5_TURNS[i]), out=t)
+        np.right_shift(f, np.uint32(32 - _MD5_TURNS[i]), out=f)
+        f |= t
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    b += np.uint32(_MD5_START[0])
+    return b.byteswap()
+
+
+def _copies(heads: np.ndarray) -> np.ndarray:
+    """How often each row is drawn: the steps that its number, as a part of 2**32, reaches."""
+    out = np.zeros(heads.shape, np.uint8)
+    for s in poisson_steps():
+        if (least := math.ceil(s * 2**32)) < 2**32:
+            out += heads >= np.uint32(least)
+    return out
+
+
+def _resampled_sums(rows: DataFrame, keys: Sequence[str], reps: int, sums: Sequence[str]) -> DataFrame:
+    """(keys, rep, sums): the sums of columns over the rows times the number of their copies drawn in each resample.
+
+    ``rows`` has the keys, id and the columns. A row's copies are made and
+    summed inside its task, so that no row per resample is ever written. Rows
+    without an id are in no resample, and resamples without rows are left out.
+    """
+    keys = list(keys)
+    ship(rows.sparkSession)
+    tails = [f"-{r}".encode() for r in range(1, reps + 1)]
+    names = [f"s{i}" for i in range(len(sums))]
+    given = rows.filter("id is not null").select(F.col("id").cast("string").alias("id"), *[F.col(c).cast("double").alias(n) for c, n in zip(sums, names)], *keys)
+    schema = StructType([*given.select(*keys).schema.fields, StructField("rep", IntegerType()), StructField("drawn", LongType()), *[StructField(n, DoubleType()) for n in names]])
+    step = max(1, 65_536 // reps)  # hashes at a time, that stay in a core's cache
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.zeros(batch.num_rows, np.int64)
+            for k in keys:
+                codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                group = np.unique(group * batch.num_rows + codes, return_inverse=True)[1]
+            firsts = np.unique(group, return_index=True)[1]
+            ids = [i.encode() for i in batch.column("id").to_pylist()]
+            values = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            order = np.lexsort((sizes, group))
+            held = max(1, 100_000 // reps)
+            for low in range(0, len(firsts), held):  # so many groups at a time
+                n = min(held, len(firsts) - low)
+                total, drawn = np.zeros((n, len(names), reps)), np.zeros((n, reps), np.int64)
+                mine = order[np.searchsorted(group[order], low) : np.searchsorted(group[order], low + n)]
+                for size in np.unique(sizes[mine]):
+                    same = mine[sizes[mine] == size]
+                    for at in range(0, len(same), step):
+                        part = same[at : at + step]
+                        copies = _copies(md5_heads([ids[i] for i in part], tails))
+                        ends = [0, *(np.flatnonzero(np.diff(group[part])) + 1), len(part)]
+                        for start, end in zip(ends, ends[1:]):
+                            g, v, c = group[part[start]] - low, values[part[start:end]], copies[start:end]
+                            # Copies that aren't drawn add nothing, of an infinite value too.
+                            total[g] += v.T @ c.astype(np.float64) if np.isfinite(v).all() else np.where(c[:, None, :] > 0, v[:, :, None] * c[:, None, :], 0.0).sum(0)
+                            drawn[g] += c.sum(0, dtype=np.int64)
+                g, r = np.nonzero(drawn)
+                kept = pa.array(firsts[low + g])
+                columns = [*[batch.column(k).take(kept) for k in keys], pa.array(r + 1, pa.int32()), pa.array(drawn[g, r]), *[pa.array(total[g, i, r]) for i in range(len(names))]]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+
+    # Few groups leave few partitions behind a join on them.
+    parts = given.repartition(parallel(rows)).mapInArrow(add, schema)
+    return parts.groupBy(*keys, "rep").agg(*[F.sum(n).alias(c) for n, c in zip(names, sums)])
 
 
 def bootstrap_difference(df: DataFrame, keys: Sequence[str], row_id: str, by: str, value: str, weight: str, *, low: float = 0.25, high: float = 0.75, reps: int = 500) -> DataFrame:
@@ -172,7 +286,11 @@ def bootstrap_difference(df: DataFrame, keys: Sequence[str], row_id: str, by: st
     parted = join_groups(rows, ends, keys).withColumn("side", F.when(F.col("x") >= F.col("hi"), 1).when(F.col("x") <= F.col("lo"), 0)).filter("side is not null").select(*keys, "id", "v", "w", "side")
     mean = lambda s: F.sum(F.when(F.col("side") == s, F.col("v") * F.col("w"))) / F.sum(F.when(F.col("side") == s, F.col("w")))
     difference = (mean(1) - mean(0)).alias("difference")
-    band = _resampled(parted, reps).groupBy(*keys, "rep").agg(difference).groupBy(*keys).agg(F.percentile("difference", 0.025).alias("low"), F.percentile("difference", 0.975).alias("high"))
+    part = lambda c, s: F.when(F.col("side") == s, c).otherwise(0.0)
+    sides = [part(c, s).alias(f"{n}{s}") for s in (0, 1) for n, c in (("vw", F.col("v") * F.col("w")), ("w", F.col("w")))]
+    drawn = _resampled_sums(parted.select(*keys, "id", *sides), keys, reps, ["vw0", "w0", "vw1", "w1"])
+    per = lambda s: F.col(f"vw{s}") / F.when(F.col(f"w{s}") > 0, F.col(f"w{s}"))
+    band = drawn.withColumn("d", per(1) - per(0)).groupBy(*keys).agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
     return join_groups(parted.groupBy(*keys).agg(difference), band, keys)
 
 
