@@ -365,6 +365,23 @@ def test_edges_join_similar_documents(spark):
     assert labels.row.nunique() > 700 and (labels.groupby("row").y.sum() - 1).abs().max() < 1e-9
 
 
+def test_labels_move_over_all_pairs(spark):
+    """As over every pair that shares a term, listed; also where a row's only seed stands far from it among equal terms."""
+    rng = random.Random(5)
+    sets = {i: sorted(rng.sample(range(1, 13), rng.randint(1, 5)), reverse=True) for i in range(60)} | {90: [99]}
+    times = {i: 1 + i % 3 for i in sets}
+    rows = [(i, t) for i, t in sets.items() for _ in range(times[i])] + [(1000 + i, [60, 50]) for i in range(300)]
+    seeds = [(i, 1 + i % 2, 1.0) for i in range(0, 20)] + [(90, 3, 1.0), (1000, 4, 1.0)]
+    verified, s = spark.createDataFrame(rows, "row long, terms array<int>"), spark.createDataFrame(seeds, "row long, label int, y double")
+    pairs = [(a, b, times[b] * len(shared) / (len(p) * len(q)) ** 0.5) for a, p in sets.items() for b, q in sets.items() if a != b and (shared := {*p} & {*q})]
+    edges = spark.createDataFrame(pairs, "a long, b long, w double")
+    near = {(r["row"], r["label"]): r["y"] for r in subjects.propagate(edges, s.filter("row < 1000"), rounds=3, sharp=2.0).collect()}
+    for most in (1_000_000, 1):
+        got = {(r["row"], r["label"]): r["y"] for r in subjects.propagate_all(verified, s, rounds=3, most_sent=most).collect()}
+        assert {k: v for k, v in got.items() if k[0] < 1000} == pytest.approx(near)
+        assert {k for k in got if k[0] >= 1000} == {(1000 + i, 4) for i in range(300)}
+
+
 def test_passing_mentions_in_any_words(spark):
     """Own sentences count whatever words they hold, and a mention in other words doesn't, in short documents too."""
     rng, names, docs = random.Random(3), list(WORDS), []

@@ -2,16 +2,17 @@
 
 The words that labelled documents tell to be one subject's are the terms. A
 term of a document is verified when it comes in at least two of its sentences
-and claims. Documents that share a verified term are sorted by it and by their
-next rarest terms, neighbours in that order are compared, and a pair whose
-verified terms are similar enough becomes an edge; as a term's documents are a
-range of one global sort, a frequent term is spread over tasks, and the edges
-grow in proportion to the documents. Labels start at trusted seed documents,
-which stay clamped, and move along the edges by DataFrame joins; a document can
-hold several. Labelled documents then tell the subject of each term, clear
-terms tell the subjects of sentences, a term between two subjects goes to the
-one that the document was labelled with, and a document has every subject that
-a given share of its sentences with any subject treats.
+and claims. All documents that share a verified term are neighbours, the edge
+between two weighs the cosine of their verified terms. The edges grow with the
+square of the documents, so they aren't listed: as the cosine is a sum over the
+shared terms, labels move from documents to terms and on to documents, which
+gives the same sums exactly, and a step grows in proportion to the documents'
+terms. Labels start at trusted seed documents, which stay clamped, and move
+along the edges by DataFrame joins; a document can hold several. Labelled
+documents then tell the subject of each term, clear terms tell the subjects of
+sentences, a term between two subjects goes to the one that the document was
+labelled with, and a document has every subject that a given share of its
+sentences with any subject treats.
 """
 
 from __future__ import annotations
@@ -201,6 +202,7 @@ def similar_documents(verified: DataFrame, *, posts: int = 3, neighbours: int =
     ``verified`` has row and terms (distinct ids, a rarer term has a larger
     one). Each row stands under its ``posts`` rarest terms, and is compared with
     the next ``neighbours`` rows that follow it there. Pairs under several terms repeat.
+    These are few edges of many, to look at; ``propagate_all`` leaves none out.
     """
     rare = verified.select("row", "terms", F.explode(F.sequence(F.lit(1), F.least(F.lit(posts), F.size("terms")))).alias("i"))
     placed = rare.select("row", "terms", F.get("terms", F.col("i") - 1).alias("term"), F.when(F.col("i") > 1, F.get("terms", F.lit(0))).otherwise(F.get("terms", F.lit(1))).alias("next"), F.xxhash64("row", "i").alias("tie"))
@@ -225,18 +227,51 @@ def similar_documents(verified: DataFrame, *, posts: int = 3, neighbours: int =
     return placed.mapInArrow(compare, "a bigint, b bigint, w double")
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, rounds: int, least: float = 0.15) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, rounds: int, least: float = 0.15, sharp: float = 1.0) -> DataFrame:
     """(row, label, y): labels of rows after ``rounds`` steps over the edges (a, b, w).
 
     ``seeds`` (row, label, y) stay as they are. Other rows take the weighted mean
-    of their neighbours' labels; shares under ``least`` are dropped as noise.
+    of their neighbours' labels, raised to ``sharp`` and made shares again;
+    shares under ``least`` are dropped as noise.
     """
     labels = seeds
-    fixed = seeds.select("row").distinct()
     for _ in range(rounds):
         sent = edges.join(labels.withColumnRenamed("row", "b"), "b").groupBy(F.col("a").alias("row"), "label").agg(F.sum(F.col("w") * F.col("y")).alias("v"))
-        mean = sent.withColumn("y", F.col("v") / F.sum("v").over(Window.partitionBy("row"))).filter(F.col("y") >= least).select("row", "label", "y")
-        labels = cut(mean.join(fixed, "row", "left_anti").unionByName(seeds))
+        labels = _means(sent, seeds, least, sharp)
+    return labels
+
+
+def _means(sent: DataFrame, seeds: DataFrame, least: float, sharp: float) -> DataFrame:
+    """(row, label, y): the shares of what was sent (row, label, v), sharpened, and the seeds as they are."""
+    row = Window.partitionBy("row")
+    sent = sent.withColumn("v", F.pow(F.col("v") / F.max("v").over(row), F.lit(sharp)))
+    mean = sent.withColumn("y", F.col("v") / F.sum("v").over(row)).filter(F.col("y") >= least).select("row", "label", "y")
+    return cut(mean.join(seeds.select("row").distinct(), "row", "left_anti").unionByName(seeds))
+
+
+def propagate_all(verified: DataFrame, seeds: DataFrame, *, rounds: int, least: float = 0.15, sharp: float = 2.0, most_sent: int = 1_000_000) -> DataFrame:
+    """``propagate`` over the edges between all rows of ``verified`` (row, terms) that share a term, weighted by the cosine of their terms.
+
+    No edge is left out and none is listed: the cosine is a sum over the shared
+    terms of 1 / sqrt(terms of a) / sqrt(terms of b), so each term gathers its
+    rows' labels once, and a row's neighbours together are the sum over its own
+    terms, less the row itself. Steps grow with the terms of the rows, not with
+    pairs. Repeated rows weigh as often as they come, and aren't their own
+    neighbours. As all neighbours, near and far, have a voice, the means are
+    blurred; a row's shares are raised to ``sharp`` after each step.
+    """
+    folded = verified.groupBy("row").agg(F.first("terms").alias("terms"), F.count(F.lit(1)).alias("times"))
+    folded = cut(folded.withColumn("c", 1 / F.sqrt(F.size("terms"))))
+    links = folded.select("row", "c", F.explode("terms").alias("term"))
+    few = links.select("term").distinct().count() * seeds.select("label").distinct().count() <= most_sent
+    labels = seeds
+    for _ in range(rounds):
+        told = folded.join(labels, "row").select("row", "label", "terms", (F.col("times") * F.col("y")).alias("y"), "c")
+        held = told.select("label", (F.col("c") * F.col("y")).alias("s"), F.explode("terms").alias("term")).groupBy("term", "label").agg(F.sum("s").alias("s"))
+        sent = links.join(F.broadcast(held) if few else held, "term").select("row", "label", (F.col("c") * F.col("s")).alias("v"))
+        sent = sent.unionByName(told.select("row", "label", (-F.col("y")).alias("v"))).groupBy("row", "label").agg(F.sum("v").alias("v"))
+        # What is left of a row without neighbours is rounding.
+        labels = _means(sent.filter("v > 1e-9"), seeds, least, sharp)
     return labels
 
 
@@ -301,8 +336,7 @@ def label_subjects(
     held = marked.join(own, ["row", "label"], "left").withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("row"))).withColumn("least", F.min(F.coalesce("v", F.lit(0.0))).over(Window.partitionBy("row")))
     trusted = cut(held.filter(F.col("least") >= part / 2).select("row", "label", (1.0 / F.col("all")).alias("y")))
     verified = F.sort_array(F.transform(F.filter(F.arrays_zip("terms", "counts"), lambda p: p["counts"] >= 2), lambda p: p["terms"]), asc=False)
-    edges = cut(similar_documents(read.select("row", verified.alias("terms")).filter(F.size("terms") > 0)))
-    labels = propagate(edges, trusted, rounds=rounds)
+    labels = propagate_all(read.select("row", verified.alias("terms")).filter(F.size("terms") > 0), trusted, rounds=rounds, most_sent=most_terms)
     lookup = cut(_one_per_term(term_scores(links, labels), clear))
     hits = read.select("row", "doc", F.explode(F.arrays_zip("us", "ps", "ts")).alias("h")).select("row", "doc", F.col("h.us").alias("u"), F.col("h.ps").alias("p"), F.col("h.ts").alias("term"))
     hits = hits.join(F.broadcast(lookup) if lookup.count() <= most_terms else lookup, "term")
